@@ -161,6 +161,8 @@ def _convert(node: Node, vals: list, opts: Options) -> pa.Array:
     if k == "json":
         return pa.array([None if m is None else json_format.MessageToJson(m, indent=None)
                          for m in vals], type=at)
+    if k == "oneof_case":
+        return pa.array(vals, type=pa.string())
     if k == "override":
         return pa.array([None if m is None else node.fn(m) for m in vals], type=at)
     if k == "message":
@@ -540,6 +542,8 @@ def encode_batches(batches, desc_set: bytes, message: str, in_schema: T.StructTy
         for name, dt in fields:
             node = by_name.get(name)
             if node is None:
+                if registry is not None:
+                    continue        # an older writer version simply lacks this field
                 raise ValueError(f"column {name!r} is not a field of {mn}")
             out_setters.append((name, _setter(node, dt)))
         return message_class(ds, mn), out_setters

@@ -170,6 +170,7 @@ def _field_node(fd, opts: Options, sel, depth: int) -> Node:
     if fd.type in (FD.TYPE_MESSAGE, FD.TYPE_GROUP):
         mt = fd.message_type
         full = mt.full_name
+        common["proto_type"] = full
         if mt.GetOptions().map_entry:
             k = _field_node(mt.fields_by_name["key"], opts, None, depth + 1)
             v = _field_node(mt.fields_by_name["value"], opts, None, depth + 1)
