@@ -87,3 +87,28 @@ def open_fs(uri: str):
     if parsed.scheme in ("", "file"):
         return pafs.LocalFileSystem(), (parsed.path if parsed.scheme else uri)
     return pafs.FileSystem.from_uri(uri)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give a Python-heavy stage at least one partition per core.
+
+    Decode/encode cost is per message, so a single-file table read as one split
+    would run on one core.  A scan of a large table already has enough splits
+    and passes through unchanged (no extra shuffle); only a small input is
+    round-robin repartitioned, which moves little data.
+    """
+    if df.isStreaming:
+        return df
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
+def shuffle_partitions(spark) -> int:
+    """The session's shuffle width (read, never changed), at least one per core."""
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        n = 200
+    return max(n, spark.sparkContext.defaultParallelism)

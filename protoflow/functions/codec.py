@@ -525,11 +525,134 @@ def _filler(children: list[Node], dt: T.DataType):
     return fill
 
 
+class _Slow(Exception):
+    """A field needs the per-value Python path (JSON types, text timestamps, overrides)."""
+
+
+def _split_micros(us: pa.Array, trunc: bool) -> tuple[pa.Array, pa.Array]:
+    import numpy as np
+
+    v = us.fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+    if trunc:                                  # Duration: both parts carry the sign
+        sec = np.sign(v) * (np.abs(v) // 1_000_000)
+    else:                                      # Timestamp: nanos always 0..999999999
+        sec = v // 1_000_000
+    nanos = ((v - sec * 1_000_000) * 1000).astype("int32")
+    return pa.array(sec, pa.int64()), pa.array(nanos, pa.int32())
+
+
+def _prep(node: Node, arr: pa.Array, element: bool = False) -> pa.Array:
+    """Arrow column -> the shape the message constructor takes (vectorized).
+
+    Timestamps/durations become {seconds, nanos} structs, wrappers {value},
+    decimals unsigned ints; nested structs/lists/maps are rebuilt around them.
+    """
+    t = arr.type
+    mask = arr.is_null() if arr.null_count else None
+    if node.kind == "map" and not element:
+        if pa.types.is_map(t):
+            items = _prep(node.value, arr.items, element=True)
+            return pa.MapArray.from_arrays(arr.offsets, arr.keys, items, mask=mask)
+        raise _Slow()
+    if node.repeated and not element:
+        if not (pa.types.is_list(t) or pa.types.is_large_list(t)):
+            raise TypeError(f"repeated field {node.name!r} needs an array column, got {t}")
+        return pa.ListArray.from_arrays(arr.offsets, _prep(node, arr.values, element=True), mask=mask)
+    k = node.kind
+    if k in ("timestamp", "duration"):
+        if pa.types.is_timestamp(t) or pa.types.is_duration(t):
+            sec, nanos = _split_micros(arr.cast(pa.int64()), trunc=(k == "duration"))
+        elif pa.types.is_integer(t):
+            sec = arr.cast(pa.int64()).fill_null(0)
+            nanos = pa.array([0] * len(arr), pa.int32())
+        elif pa.types.is_struct(t):
+            return arr
+        else:
+            raise _Slow()
+        return pa.StructArray.from_arrays([sec, nanos], names=["seconds", "nanos"], mask=arr.is_null())
+    if k == "wrapper":
+        inner = arr.cast(pa.uint64()) if pa.types.is_decimal(t) else arr
+        return pa.StructArray.from_arrays([inner], names=["value"], mask=arr.is_null())
+    if k == "uint64" or (k == "scalar" and pa.types.is_decimal(t)):
+        return arr.cast(pa.uint64()) if pa.types.is_decimal(t) else arr
+    if k == "message":
+        if not pa.types.is_struct(t):
+            raise TypeError(f"message field {node.name!r} needs a struct column, got {t}")
+        by_name = {c.name: c for c in node.children}
+        names, children = [], []
+        for i in range(t.num_fields):
+            fname = t.field(i).name
+            child = by_name.get(fname)
+            if child is None:
+                raise ValueError(f"struct field {fname!r} is not a field of {node.full_name}")
+            names.append(fname)
+            children.append(_prep(child, arr.field(i)))
+        if not names:
+            return arr
+        return pa.StructArray.from_arrays(children, names=names, mask=arr.is_null())
+    if k in ("scalar", "enum"):
+        return arr
+    raise _Slow()
+
+
+def _pylist(arr: pa.Array) -> list:
+    """Arrow -> python values column-wise: leaf columns convert in bulk, structs are
+    zipped into dicts, lists sliced by offsets, maps zipped into dicts (much faster
+    than per-element scalar conversion of nested arrays)."""
+    t = arr.type
+    if pa.types.is_struct(t):
+        names = [t.field(i).name for i in range(t.num_fields)]
+        cols = [_pylist(arr.field(i)) for i in range(t.num_fields)]
+        rows = [dict(zip(names, vals)) for vals in zip(*cols)] if cols else [{} for _ in range(len(arr))]
+    elif pa.types.is_map(t):
+        keys, items = _pylist(arr.keys), _pylist(arr.items)
+        o = arr.offsets.to_pylist()
+        rows = [dict(zip(keys[o[i]:o[i + 1]], items[o[i]:o[i + 1]])) for i in range(len(arr))]
+    elif pa.types.is_list(t) or pa.types.is_large_list(t):
+        flat = _pylist(arr.values)
+        o = arr.offsets.to_pylist()
+        rows = [flat[o[i]:o[i + 1]] for i in range(len(arr))]
+    else:
+        if arr.null_count == 0 and (pa.types.is_integer(t) or pa.types.is_floating(t)):
+            return arr.to_numpy(zero_copy_only=False).tolist()      # bulk, no per-scalar boxing
+        return arr.to_pylist()
+    if arr.null_count:
+        rows = [r if ok else None for r, ok in zip(rows, arr.is_valid().to_pylist())]
+    return rows
+
+
+def _fast_rows(batch: pa.RecordBatch, by_name: dict, cols: tuple, struct_col: str | None):
+    """List of constructor kwargs (dict, or None for a NULL struct row) per row."""
+    if struct_col is not None:
+        arr = batch.column(struct_col)
+        t = arr.type
+        names, children = [], []
+        for i in range(t.num_fields):
+            node = by_name.get(t.field(i).name)
+            if node is None:
+                raise ValueError(f"struct field {t.field(i).name!r} is not a message field")
+            names.append(node.attr)
+            children.append(_prep(node, arr.field(i)))
+        st = pa.StructArray.from_arrays(children, names=names, mask=arr.is_null())
+    else:
+        names = [by_name[c].attr for c in cols]
+        children = [_prep(by_name[c], batch.column(c)) for c in cols]
+        st = pa.StructArray.from_arrays(children, names=names) if names else None
+    if st is None:
+        return [{} for _ in range(batch.num_rows)]
+    return _pylist(st)
+
+
 def encode_batches(batches, desc_set: bytes, message: str, in_schema: T.StructType,
                    cols: tuple, keep: tuple, out: str, partial: bool, opts: Options,
                    struct_col: str | None = None, registry: dict | None = None,
                    id_col: str | None = None):
-    """mapInArrow body: columns (or one struct column) -> serialized message bytes."""
+    """mapInArrow body: columns (or one struct column) -> serialized message bytes.
+
+    Fast path: columns are reshaped with Arrow kernels and every message is built
+    by one call of the (C-implemented) constructor; fields that need per-value
+    Python work fall back to field setters.
+    """
     def setters_for(ds, mn):
         plan = build_plan(ds, mn, None, opts)
         by_name = {n.name: n for n in plan}
@@ -546,45 +669,82 @@ def encode_batches(batches, desc_set: bytes, message: str, in_schema: T.StructTy
                     continue        # an older writer version simply lacks this field
                 raise ValueError(f"column {name!r} is not a field of {mn}")
             out_setters.append((name, _setter(node, dt)))
-        return message_class(ds, mn), out_setters
+        return message_class(ds, mn), out_setters, by_name
 
     if registry is not None:
         targets = {sid: setters_for(ds, mn) for sid, (ds, mn) in registry.items()}
     else:
         targets = {None: setters_for(desc_set, message)}
+    union_nodes: dict = {}
+    for _cls, _st, by_name in targets.values():
+        for k, v in by_name.items():
+            union_nodes.setdefault(k, v)
+    allowed = {sid: {n.attr for n in by_name.values()} for sid, (_c, _s, by_name) in targets.items()}
 
     for batch in batches:
         n = batch.num_rows
-        if struct_col is not None:
-            rows = plain_ints(batch.column(struct_col)).to_pylist()
-            values = None
-        else:
-            values = {c: plain_ints(batch.column(c)).to_pylist() for c in cols}
-            rows = None
         ids = batch.column(id_col).to_pylist() if registry is not None else [None] * n
+        try:
+            fast = _fast_rows(batch, union_nodes, cols, struct_col)
+        except _Slow:
+            fast = None
         outb = []
-        for i in range(n):
-            if rows is not None and rows[i] is None:
-                outb.append(None)
-                continue
-            target = targets.get(ids[i])
-            if target is None:
-                raise ValueError(f"schema id {ids[i]} not in registry")
-            cls, setters = target
-            m = cls()
-            for name, st in setters:
-                v = rows[i].get(name) if rows is not None else values[name][i]
-                if v is not None:
-                    try:
-                        st(m, v)
-                    except (TypeError, ValueError) as e:
-                        raise ValueError(f"field {name!r}: {e}") from e
-            if partial:
-                outb.append(m.SerializePartialToString())
-            else:
-                if not m.IsInitialized():
-                    raise ValueError(f"required field(s) {m.FindInitializationErrors()} of "
-                                     f"{cls.DESCRIPTOR.full_name} are NULL")
-                outb.append(m.SerializeToString())
+        if fast is not None:
+            for i in range(n):
+                kw = fast[i]
+                if kw is None:
+                    outb.append(None)
+                    continue
+                target = targets.get(ids[i])
+                if target is None:
+                    raise ValueError(f"schema id {ids[i]} not in registry")
+                cls = target[0]
+                if registry is not None:
+                    ok = allowed[ids[i]]
+                    kw = {k: v for k, v in kw.items() if k in ok}
+                try:
+                    m = cls(**kw)
+                except (TypeError, ValueError) as e:
+                    raise ValueError(f"cannot build {cls.DESCRIPTOR.full_name}: {e}") from e
+                outb.append(_serialize(m, cls, partial))
+        else:
+            outb = _encode_slow(batch, n, ids, targets, cols, struct_col, partial)
         arrays = [batch.column(k) for k in keep] + [pa.array(outb, type=pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, names=list(keep) + [out])
+
+
+def _serialize(m, cls, partial: bool) -> bytes:
+    if partial:
+        return m.SerializePartialToString()
+    if not m.IsInitialized():
+        raise ValueError(f"required field(s) {m.FindInitializationErrors()} of "
+                         f"{cls.DESCRIPTOR.full_name} are NULL")
+    return m.SerializeToString()
+
+
+def _encode_slow(batch, n, ids, targets, cols, struct_col, partial):
+    if struct_col is not None:
+        rows = plain_ints(batch.column(struct_col)).to_pylist()
+        values = None
+    else:
+        values = {c: plain_ints(batch.column(c)).to_pylist() for c in cols}
+        rows = None
+    outb = []
+    for i in range(n):
+        if rows is not None and rows[i] is None:
+            outb.append(None)
+            continue
+        target = targets.get(ids[i])
+        if target is None:
+            raise ValueError(f"schema id {ids[i]} not in registry")
+        cls, setters, _ = target
+        m = cls()
+        for name, st in setters:
+            v = rows[i].get(name) if rows is not None else values[name][i]
+            if v is not None:
+                try:
+                    st(m, v)
+                except (TypeError, ValueError) as e:
+                    raise ValueError(f"field {name!r}: {e}") from e
+        outb.append(_serialize(m, cls, partial))
+    return outb

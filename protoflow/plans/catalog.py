@@ -78,7 +78,7 @@ def q01_roundtrip(spark, sf_dir):
 
 
 def q02_struct_expand(spark, sf_dir):
-    ev = FX.table(spark, sf_dir, "events")
+    ev = FX.python_input(FX.table(spark, sf_dir, "events"))
     structs = ev.selectExpr("struct(event_type AS name, event_id AS id, props AS context) AS event")
     from ..functions.api import encode
     enc = encode(structs, D.app_event(), col="event", out="proto_bytes")
@@ -370,7 +370,7 @@ def q36_ingest_report(spark, sf_dir):
 
 def q37_simple_message(spark, sf_dir):
     from ..functions.api import encode
-    li = FX.table(spark, sf_dir, "lineitem").select(
+    li = FX.python_input(FX.table(spark, sf_dir, "lineitem")).select(
         F.concat("l_returnflag", "l_linestatus").alias("name"),
         F.col("l_quantity").cast("long").alias("quantity"),
         F.col("l_extendedprice").cast("float").alias("measure"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._session import shuffle_partitions, spread
 from ..functions import descriptors as D
 from ..functions.api import encode
 
@@ -27,11 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def python_input(df: DataFrame) -> DataFrame:
+    """Input of a per-message Python stage: at least one partition per core."""
+    return spread(df)
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return ev.select("event_id", "ts", "user_id", "event_type",
-                     F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
-                     "props")
+    return python_input(ev.select(
+        "event_id", "ts", "user_id", "event_type",
+        F.when(F.col("event_type") != "error", F.col("value")).alias("value"), "props"))
 
 
 def event_messages(spark: SparkSession, sf_dir: str, version: int = 1, keep=()) -> DataFrame:
@@ -54,6 +60,10 @@ def view_rows(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS_PER
             .withColumn("_split", F.coalesce(
                 F.pmod(F.coalesce(F.col("event_id"), F.lit(0)), F.ceil(F.col("_n") / F.lit(max_events))),
                 F.lit(0))))
+    # Hash-partition on the view key with the session's shuffle width: every key is
+    # bounded (<= max_events rows), so no partition can be skewed, and the explicit
+    # width keeps the Python encode that follows spread over all cores.
+    ev = ev.repartition(shuffle_partitions(spark), "user_id", "_split")
     grouped = ev.groupBy("user_id", "_split").agg(
         F.min("ts").alias("view_start"),
         F.max("ts").alias("view_end"),
@@ -114,7 +124,7 @@ def view_messages(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = python_input(table(spark, sf_dir, "orders"))
     return o.select(
         F.col("o_orderkey").alias("order_key"),
         F.col("o_orderstatus").alias("status"),
