@@ -56,6 +56,12 @@ def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | N
     extra = (_id_col,) if _id_col and _id_col not in keep and _id_col != col else ()
     src = df.select(*keep, *extra, col)
     out_fields = _fields_of(src, keep)
+    produced = [n.name for n in plan] if expanded else [out]
+    if mode == "permissive":
+        produced.append("_error")
+    clash = sorted(set(keep) & set(produced))
+    if clash:
+        raise ValueError(f"kept column(s) {clash} collide with decoded output; rename them first")
     if expanded:
         out_fields += [n.to_field() for n in plan]
     else:
