@@ -11,8 +11,8 @@ third of all rows would stall.  Instead each group is cut into hash buckets of
 at most ``bucket_rows`` rows (bucket = leading md5 bits scaled by the group's
 bucket count, monotone in the md5 order).  Per-bucket counts (a small table)
 give each bucket's offset in the group; buckets entirely inside or outside the
-first ``k`` rows are decided without ranking, only the one boundary bucket per
-group is ranked with a window of bounded size.
+first ``k`` rows are dropped before any sort, the rest are ranked inside their
+bucket with a window of bounded size.
 """
 
 from __future__ import annotations
@@ -65,12 +65,14 @@ def sample_files(df: DataFrame, prop: float, by, key: str = "path", seed: int =
     with_off = bucketed.join(offsets.select(*[F.col(c).alias(c + "_o") for c in gb], "_off", "_c"),
                              reduce(lambda a, b: a & b,
                                     [F.col(c).eqNullSafe(F.col(c + "_o")) for c in gb]))
-    inside = with_off.where(F.col("_off") + F.col("_c") <= F.col("_k"))
-    edge = with_off.where((F.col("_off") < F.col("_k")) & (F.col("_off") + F.col("_c") > F.col("_k")))
+    # Buckets wholly past the k-th row are dropped before any sort; the remaining
+    # candidate rows are ranked inside their bucket (bounded by bucket_rows) and
+    # kept when their rank in the group is <= k (true for every row of a bucket
+    # that lies wholly inside the first k).
+    cand = with_off.where(F.col("_off") < F.col("_k"))
     rank = F.row_number().over(Window.partitionBy(*gb).orderBy("_h", key))
-    edge = edge.withColumn("_r", F.col("_off") + rank).where(F.col("_r") <= F.col("_k")).drop("_r")
-    out_cols = df.columns
-    return inside.select(*out_cols).unionByName(edge.select(*out_cols))
+    kept = cand.withColumn("_r", F.col("_off") + rank).where(F.col("_r") <= F.col("_k"))
+    return kept.select(*df.columns)
 
 
 def pick_file(df: DataFrame, key: str = "path", seed: int = 0) -> DataFrame:
