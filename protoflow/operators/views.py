@@ -45,7 +45,7 @@ def explode_events(df: DataFrame, key: str = "view_id", events: str = "events",
     gen = F.posexplode_outer if outer else F.posexplode
     ex = df.select(key, gen(events).alias("pos", "_e"))
     et = df.schema[events].dataType.elementType
-    cols = [F.col(key), (F.col("pos") + 1).alias("pos")] if True else []
+    cols = [F.col(key), (F.col("pos") + 1).alias("pos")]
     cols += [F.col("_e")[f.name].alias(f.name) for f in et.fields if f.name != "info_case"]
     names = {f.name for f in et.fields}
     if "info_case" in names:
@@ -78,6 +78,20 @@ def populated_fields(df: DataFrame, exclude=("events",)) -> DataFrame:
     return agg.select(stack, F.col("__n").alias("n_rows"))
 
 
+def flatten_populated(df: DataFrame, col: str = "value", message=None, exclude=("events",),
+                      absent: str = "default", timestamp: str = "epoch_seconds", keep=()) -> DataFrame:
+    """Flat table of the fields that are set somewhere in the data (minus ``exclude``).
+
+    The keep-list comes from one aggregation over the whole dataset (not from one
+    file); only field names reach the driver - at most one per message field.
+    """
+    message = message or D.view_record()
+    probe = decode(df, message, col=col, absent="null", timestamp="timestamp")
+    names = [r["field"] for r in populated_fields(probe, exclude=exclude).where("n_set > 0").collect()]
+    order = [n for n in probe.columns if n in set(names)]          # declaration order
+    return decode(df, message, col=col, fields=order, keep=keep, absent=absent, timestamp=timestamp)
+
+
 def snake_names(df: DataFrame) -> DataFrame:
     """camelCase columns -> snake_case (``customN`` repaired to ``custom_N``);
     fails when two columns map to one name."""

@@ -23,7 +23,8 @@ from ..functions.descriptors import VIEW_RECORD_FIELDS
 from ..functions.schema import VIEW_COLUMNS_90, VIEW_RENAMES
 from ..operators.registry import decode_registered, empty_registry, encode_registered, register_schema
 from ..operators.sampling import pick_file, sample_files, subdir
-from ..operators.views import (explode_events, flatten_view, flatten_view_94, populated_fields,
+from ..operators.views import (explode_events, flatten_populated, flatten_view, flatten_view_94,
+                               populated_fields,
                                snake_names, union_days, unpivot_fields)
 from ..sources import fixtures as FX
 from ..sources.files import land_raw_day, list_files, read_messages, write_message_files
@@ -380,6 +381,10 @@ def q37_simple_message(spark, sf_dir):
                                    F.min("measure").alias("min_measure"))
 
 
+def q38_flatten_populated(spark, sf_dir):
+    return flatten_populated(_views_bytes(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in [
     q00_min_slice, q01_roundtrip, q02_struct_expand, q03_flatten_default, q04_flatten_null,
     q05_field_list, q06_business_names, q07_epoch_seconds, q08_timestamp_modes, q08b_timestamp_text,
@@ -388,4 +393,5 @@ QUERIES = {f.__name__: f for f in [
     q21_files, q22_path_date, q23_sample, q23b_sample_events, q24_pick_one, q25_union_days,
     q26_shape, q27_take, q28_table, q29_overwrite, q30_custom_type, q31_enum_modes, q31b_enum_int,
     q32_wide_types, q33_stream, q34_raw_landing, q35_unpivot, q36_ingest_report, q37_simple_message,
+    q38_flatten_populated,
 ]}

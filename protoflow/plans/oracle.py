@@ -225,4 +225,13 @@ FROM events GROUP BY event_type"""
         "max(coalesce(CAST(l_extendedprice AS FLOAT), CAST(0 AS FLOAT))) AS max_measure, "
         "min(coalesce(CAST(l_extendedprice AS FLOAT), CAST(0 AS FLOAT))) AS min_measure "
         "FROM lineitem GROUP BY 1")
+    pop_cols = []
+    for _t, _l, ft, name in VIEW_RECORD_FIELDS:
+        if name not in SET_FIELDS or name == "events":
+            continue
+        if ft == "Timestamp":
+            pop_cols.append(f"epoch_us({name}) // 1000000 AS {name}")
+        else:
+            pop_cols.append(_flat_expr(name, "default"))
+    q["q38_flatten_populated"] = _with("SELECT " + ", ".join(pop_cols) + " FROM views")
     return {k: " ".join(v.split()) for k, v in q.items()}
