@@ -95,24 +95,55 @@ class DecodeError(ValueError):
     pass
 
 
-def _raw(node: Node, msgs: list, opts: Options) -> list:
-    """Field value per parent message (python scalar, sub-message, container or None)."""
-    a = node.attr
-    if node.kind == "oneof_case":
-        return [None if m is None else m.WhichOneof(a) for m in msgs]
-    if node.repeated or node.kind == "map":
-        return [None if m is None else getattr(m, a) for m in msgs]
-    message_like = node.kind in ("message", "wrapper", "json", "override", "timestamp", "duration")
-    if node.kind in ("timestamp", "duration") and opts.absent == "default":
-        return [None if m is None else getattr(m, a) for m in msgs]
-    if message_like:
-        return [getattr(m, a) if (m is not None and m.HasField(a)) else None for m in msgs]
-    if node.presence:
-        if opts.absent == "default":
-            d = node.default
-            return [None if m is None else (getattr(m, a) if m.HasField(a) else d) for m in msgs]
-        return [getattr(m, a) if (m is not None and m.HasField(a)) else None for m in msgs]
-    return [None if m is None else getattr(m, a) for m in msgs]
+class _Clock:
+    """An unset Timestamp/Duration read in default mode (attribute access gives zeros)."""
+    seconds = 0
+    nanos = 0
+
+
+_ZERO_CLOCK = _Clock()
+_NOFILL = object()
+
+
+def _unset_value(node: Node, opts: Options):
+    """What an unset field of a present parent reads as (``_NOFILL`` = stays NULL)."""
+    default_mode = opts.absent == "default"
+    if node.kind == "map" or node.repeated:
+        return () if default_mode else _NOFILL
+    if node.kind in ("timestamp", "duration"):
+        return _ZERO_CLOCK if default_mode else _NOFILL
+    if node.kind in ("message", "wrapper", "json", "override"):
+        return _NOFILL
+    if not node.presence or default_mode:          # no presence (proto3 scalars): always the default
+        return node.default
+    return _NOFILL
+
+
+def _raw_all(nodes: list, msgs: list, opts: Options) -> list[list]:
+    """Raw value lists for all ``nodes`` over parent messages ``msgs`` (None = NULL parent).
+
+    One ``ListFields()`` call per message visits only the fields that are set, so a
+    wide, sparsely filled record costs per set field, not per declared field.
+    """
+    n = len(msgs)
+    by_number = {node.number: j for j, node in enumerate(nodes) if node.kind != "oneof_case"}
+    cols: list[list] = [[None] * n for _ in nodes]
+    for i, m in enumerate(msgs):
+        if m is None:
+            continue
+        for fd, v in m.ListFields():
+            j = by_number.get(fd.number)
+            if j is not None:
+                cols[j][i] = v
+    for j, node in enumerate(nodes):
+        if node.kind == "oneof_case":
+            a = node.attr
+            cols[j] = [None if m is None else m.WhichOneof(a) for m in msgs]
+            continue
+        fill = _unset_value(node, opts)
+        if fill is not _NOFILL:
+            cols[j] = [fill if (v is None and m is not None) else v for v, m in zip(cols[j], msgs)]
+    return cols
 
 
 def _convert(node: Node, vals: list, opts: Options) -> pa.Array:
@@ -166,7 +197,7 @@ def _convert(node: Node, vals: list, opts: Options) -> pa.Array:
     if k == "override":
         return pa.array([None if m is None else node.fn(m) for m in vals], type=at)
     if k == "message":
-        children = [_column(c, vals, opts) for c in node.children]
+        children = [_from_raw(c, r, opts) for c, r in zip(node.children, _raw_all(node.children, vals, opts))]
         mask = pa.array([v is None for v in vals], type=pa.bool_())
         if not children:
             return pa.array([None if v is None else {} for v in vals], type=pa.struct([]))
@@ -192,9 +223,13 @@ def _lists(containers: list, null_empty: bool):
     return offsets, flat, mask
 
 
-def _column(node: Node, msgs: list, opts: Options) -> pa.Array:
-    """Output column for ``node`` over parent messages ``msgs`` (None = NULL parent)."""
-    raw = _raw(node, msgs, opts)
+def _columns(nodes: list, msgs: list, opts: Options) -> list[pa.Array]:
+    """Output columns for ``nodes`` over parent messages ``msgs`` (None = NULL parent)."""
+    return [_from_raw(nd, r, opts) for nd, r in zip(nodes, _raw_all(nodes, msgs, opts))]
+
+
+def _from_raw(node: Node, raw: list, opts: Options) -> pa.Array:
+    """Arrow column of ``node`` from its raw per-row values / containers."""
     null_empty = opts.absent == "null"
     if node.kind == "map":
         offsets = [0]
@@ -283,7 +318,7 @@ def decode_batches(batches, desc_set: bytes, message: str, fields, opts: Options
                     msgs.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
             try:
-                arrays = [_column(n, msgs, opts) for n in plan]
+                arrays = _columns(plan, msgs, opts)
             except DecodeError:
                 if not permissive:
                     raise
@@ -297,12 +332,11 @@ def _rebuild_rowwise(plan, msgs, errors, opts):
         if m is None:
             continue
         try:
-            for n in plan:
-                _column(n, [m], opts)
+            _columns(plan, [m], opts)
         except DecodeError as e:
             msgs[i] = None
             errors[i] = f"DecodeError: {e}"
-    return [_column(n, msgs, opts) for n in plan], msgs, errors
+    return _columns(plan, msgs, opts), msgs, errors
 
 
 def _assemble(part, keep, plan, arrays, msgs, errors, permissive, expanded, out):
