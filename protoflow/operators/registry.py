@@ -42,30 +42,43 @@ def register_schema(registry: DataFrame, subject: str, message) -> tuple[DataFra
     """Add (subject, schema) unless present; returns (registry, schema_id).
 
     Idempotent: the same subject and schema always get the id they got first.
-    Ids are global (max + 1); versions count per subject.
+    Ids are global (max + 1); versions count per subject.  One aggregation job.
     """
     desc_set, name = message
     fp = _fingerprint(desc_set, name)
-    found = registry.where((F.col("subject") == subject) & (F.col("fingerprint") == fp)) \
-        .select("schema_id").limit(1).collect()
-    if found:
-        return registry, int(found[0]["schema_id"])
-    stats = registry.agg(F.coalesce(F.max("schema_id"), F.lit(0)).alias("m"),
-                         F.count(F.when(F.col("subject") == subject, 1)).alias("v")).first()
+    same = (F.col("subject") == subject)
+    stats = registry.agg(
+        F.max(F.when(same & (F.col("fingerprint") == fp), F.col("schema_id"))).alias("found"),
+        F.coalesce(F.max("schema_id"), F.lit(0)).alias("m"),
+        F.count(F.when(same, 1)).alias("v")).first()
+    if stats["found"] is not None:
+        return registry, int(stats["found"])
     sid = int(stats["m"]) + 1
     row = registry.sparkSession.createDataFrame(
         [(subject, sid, int(stats["v"]) + 1, name, fp, bytearray(desc_set))], REGISTRY_SCHEMA)
     return registry.unionByName(row), sid
 
 
-def registry_map(registry: DataFrame) -> dict[int, tuple[bytes, str]]:
-    """{schema_id: (descriptor_set, message_name)} - size-checked before it is shipped
-    inside the task closure (the registry is a catalog of versions, so it stays small)."""
-    n = registry.count()
-    if n > MAX_REGISTRY_ROWS:
-        raise ValueError(f"registry has {n} rows (> {MAX_REGISTRY_ROWS}); refusing to ship it")
-    rows = registry.select("schema_id", "descriptor_set", "message_name").collect()
-    return {int(r["schema_id"]): (bytes(r["descriptor_set"]), r["message_name"]) for r in rows}
+def registry_snapshot(registry) -> dict[int, tuple[bytes, str, str, int]]:
+    """{schema_id: (descriptor_set, message_name, subject, version)}.
+
+    A registry is a catalog of schema versions, not data: it is read with one
+    bounded collect (at most ``MAX_REGISTRY_ROWS`` + 1 rows, else an error) and then
+    shipped inside the task closure.  Passing a snapshot back in skips the read.
+    """
+    if isinstance(registry, dict):
+        return registry
+    rows = registry.select("schema_id", "descriptor_set", "message_name", "subject", "version") \
+        .limit(MAX_REGISTRY_ROWS + 1).collect()
+    if len(rows) > MAX_REGISTRY_ROWS:
+        raise ValueError(f"registry has more than {MAX_REGISTRY_ROWS} rows; refusing to ship it")
+    return {int(r["schema_id"]): (bytes(r["descriptor_set"]), r["message_name"], r["subject"],
+                                  int(r["version"])) for r in rows}
+
+
+def registry_map(registry) -> dict[int, tuple[bytes, str]]:
+    """{schema_id: (descriptor_set, message_name)} from a registry or a snapshot."""
+    return {k: (v[0], v[1]) for k, v in registry_snapshot(registry).items()}
 
 
 def frame(df: DataFrame, col: str, schema_id, out: str | None = None) -> DataFrame:
@@ -93,7 +106,8 @@ def encode_registered(df: DataFrame, registry: DataFrame, subject: str | None =
     ``schema_id`` is an int (one schema for all rows) or a column name holding each
     row's writer schema id (mixed versions in one pass).
     """
-    reg = registry_map(registry)
+    snap = registry_snapshot(registry)
+    reg = {k: (v[0], v[1]) for k, v in snap.items()}
     keep = tuple(keep)
     if isinstance(schema_id, str):
         if cols is None and col is None:
@@ -108,11 +122,10 @@ def encode_registered(df: DataFrame, registry: DataFrame, subject: str | None =
     if schema_id is None:
         if subject is None:
             raise ValueError("give schema_id or subject")
-        latest = registry.where(F.col("subject") == subject).orderBy(F.col("version").desc()) \
-            .select("schema_id").limit(1).collect()
-        if not latest:
+        versions = [(v[3], sid) for sid, v in snap.items() if v[2] == subject]
+        if not versions:
             raise ValueError(f"subject {subject!r} is not registered")
-        schema_id = int(latest[0]["schema_id"])
+        schema_id = max(versions)[1]
     enc = encode(df, reg[int(schema_id)], cols=cols, col=col, out=out, keep=keep)
     return frame(enc, out, int(schema_id))
 

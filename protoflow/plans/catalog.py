@@ -21,7 +21,8 @@ from ..functions.api import decode, decode_json, describe_message, validate_requ
 from ..functions.codec import timestamp_text
 from ..functions.descriptors import VIEW_RECORD_FIELDS
 from ..functions.schema import VIEW_COLUMNS_90, VIEW_RENAMES
-from ..operators.registry import decode_registered, empty_registry, encode_registered, register_schema
+from ..operators.registry import (decode_registered, empty_registry, encode_registered, register_schema,
+                                  registry_snapshot)
 from ..operators.sampling import pick_file, sample_files, subdir
 from ..operators.views import (explode_events, flatten_populated, flatten_view, flatten_view_94,
                                populated_fields,
@@ -161,10 +162,11 @@ def q12_json(spark, sf_dir):
 
 
 def _registry(spark, *versions):
+    """Registry table with the given EventMsg versions, read once into a snapshot."""
     reg = empty_registry(spark)
     for v in versions:
         reg, _ = register_schema(reg, "events-value", D.event_msg(v))
-    return reg
+    return registry_snapshot(reg)
 
 
 def q13_registry(spark, sf_dir):
