@@ -39,13 +39,21 @@ def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | N
            enums: str = "name", uint64: str = "long", timestamp: str = "timestamp",
            duration: str = "interval", oneof_case: bool = False, max_depth: int = 16,
            type_overrides=None, mode: str = "failfast", expanded: bool = True,
-           out: str = "value", _registry=None, _id_col=None) -> DataFrame:
+           out: str = "value", engine: str = "python", _registry=None, _id_col=None) -> DataFrame:
     """Binary column -> typed columns (``expanded``) or one struct column ``out``.
 
     One row in, one row out.  ``mode="permissive"`` turns unparseable rows into NULLs
     and adds an ``_error`` text column; ``"failfast"`` fails the task.
+    ``engine="jvm"`` uses Spark's built-in ``from_protobuf`` (needs the spark-protobuf
+    package on the classpath; proto names, enum names, Timestamp -> timestamp only).
     """
     desc_set, msg = _resolve(message, descriptor_set)
+    if engine == "jvm":
+        return _decode_jvm(df, desc_set, msg, col, fields, keep, absent, names, enums, uint64,
+                           timestamp, duration, oneof_case, max_depth, type_overrides, mode,
+                           expanded, out)
+    if engine != "python":
+        raise ValueError("engine must be 'python' or 'jvm'")
     if mode not in ("failfast", "permissive"):
         raise ValueError("mode must be 'failfast' or 'permissive'")
     opts = make_options(absent=absent, names=names, enums=enums, uint64=uint64,
@@ -75,6 +83,42 @@ def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | N
     return src.mapInArrow(fn, T.StructType(out_fields))
 
 
+def jvm_protobuf_available(spark: SparkSession) -> bool:
+    """True when the spark-protobuf package is on the driver's classpath."""
+    try:
+        cls = spark.sparkContext._jvm.org.apache.spark.sql.protobuf.utils.ProtobufUtils
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect has no JVM handle
+        return False
+    return type(cls).__name__ == "JavaClass"
+
+
+def _decode_jvm(df, desc_set, msg, col, fields, keep, absent, names, enums, uint64, timestamp,
+                duration, oneof_case, max_depth, type_overrides, mode, expanded, out):
+    """Built-in ``from_protobuf`` path: the parse runs in the JVM, no Python worker."""
+    unsupported = {"names": names != "proto", "timestamp": timestamp != "timestamp",
+                   "duration": duration != "interval", "oneof_case": oneof_case,
+                   "type_overrides": bool(type_overrides), "absent": absent != "null"}
+    bad = [k for k, v in unsupported.items() if v]
+    if bad:
+        raise ValueError(f"engine='jvm' does not support options {bad}; use engine='python'")
+    if not jvm_protobuf_available(df.sparkSession):
+        raise RuntimeError("engine='jvm' needs the spark-protobuf package on the classpath")
+    from pyspark.sql.protobuf.functions import from_protobuf
+
+    opts = {"mode": "PERMISSIVE" if mode == "permissive" else "FAILFAST",
+            "recursive.fields.max.depth": str(max_depth),
+            "enums.as.ints": str(enums == "int").lower(),
+            "upcast.unsigned.ints": str(uint64 == "decimal").lower(),
+            "unwrap.primitive.wrapper.types": "true"}
+    st = from_protobuf(F.col(col), msg, options=opts, binaryDescriptorSet=desc_set)
+    top = [p.split(".")[0] for p in fields] if fields else None
+    parsed = df.select(*keep, st.alias(out))
+    if not expanded:
+        return parsed
+    picked = [F.col(f"{out}.{n}").alias(n) for n in dict.fromkeys(top)] if top else [F.col(f"{out}.*")]
+    return parsed.select(*keep, *picked)
+
+
 def encode(df: DataFrame, message, cols=None, col: str | None = None, out: str = "value",
            keep=(), descriptor_set: bytes | None = None, partial_ok: bool = False,
            _registry=None, _id_col=None) -> DataFrame:

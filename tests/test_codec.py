@@ -197,3 +197,13 @@ def test_type_override(spark):
 
 def _seconds_text(ts):
     return str(ts.seconds)
+
+
+def test_jvm_engine_is_guarded(spark):
+    from protoflow.functions.api import jvm_protobuf_available
+    df = spark.createDataFrame([(bytearray(b""),)], "value binary")
+    if not jvm_protobuf_available(spark):
+        with pytest.raises(RuntimeError, match="spark-protobuf"):
+            decode(df, VIEW, engine="jvm")
+    with pytest.raises(ValueError, match="does not support"):
+        decode(df, VIEW, engine="jvm", names="camel")
