@@ -29,27 +29,64 @@ def _package_zip() -> bytes:
     return buf.getvalue()
 
 
+def _context(spark):
+    """The SparkContext, or None on Spark Connect (no JVM handle on the client)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def _app_key(spark) -> str:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.applicationId
+    return f"connect-{getattr(spark, 'session_id', id(spark))}"
+
+
 def ensure_shipped(spark) -> None:
-    """Make ``protoflow`` importable in every Python worker (once per SparkContext).
+    """Make ``protoflow`` importable in every Python worker (once per application).
 
     Functions handed to ``mapInArrow`` are pickled by reference, so workers must be
     able to import the package; ``addPyFile`` distributes a zip of it through
-    Spark's own file server (the same thing ``--py-files`` does).
+    Spark's own file server (the same thing ``--py-files`` does).  On Spark Connect
+    the zip is sent with ``addArtifacts(pyfile=True)``.
     """
-    sc = spark.sparkContext
-    key = sc.applicationId
+    key = _app_key(spark)
     if key in _SHIPPED:
         return
     with _LOCK:
         if key in _SHIPPED:
             return
         data = _package_zip()
+        path = _publish_zip(spark, data)
+        sc = _context(spark)
+        if sc is not None:
+            sc.addPyFile(path)
+        else:
+            spark.addArtifacts(path, pyfile=True)
+        _SHIPPED.add(key)
+
+
+def _publish_zip(spark, data: bytes) -> str:
+    """Put the package zip in the shared scratch folder (content-addressed name);
+    fall back to a driver-local file only if that folder cannot be written from here."""
+    import hashlib
+
+    name = f"protoflow-{hashlib.sha1(data).hexdigest()[:16]}.zip"
+    try:
+        uri = f"{scratch_dir(spark)}/protoflow/pkg/{name}"
+        fs, path = open_fs(uri)
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(path) as fh:
+            fh.write(data)
+        return uri
+    except Exception:  # noqa: BLE001 - e.g. no pyarrow driver for the shared filesystem
         folder = tempfile.mkdtemp(prefix="protoflow-py-")
-        path = os.path.join(folder, "protoflow_pkg.zip")
-        with open(path, "wb") as fh:
+        local = os.path.join(folder, name)
+        with open(local, "wb") as fh:
             fh.write(data)
-        sc.addPyFile(path)
-        _SHIPPED.add(key)
+        return local
 
 
 def scratch_dir(spark) -> str:
@@ -58,19 +95,22 @@ def scratch_dir(spark) -> str:
     Read from the session; only when it is unset (local tests) a folder is
     created and registered as the checkpoint dir.
     """
-    sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    d = sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None
     if not d:
         try:
             d = spark.conf.get("spark.checkpoint.dir", None)
         except Exception:  # noqa: BLE001
             d = None
-    if not d:
+    if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
         local = tempfile.mkdtemp(prefix="protoflow-ckpt-")
-        sc.setCheckpointDir(local)
-        d = sc.getCheckpointDir() or local
+        if sc is not None:
+            sc.setCheckpointDir(local)
+            d = sc.getCheckpointDir() or local
+        else:
+            d = local
     return d.rstrip("/")
 
 
@@ -99,7 +139,10 @@ def spread(df, min_partitions: int | None = None):
     """
     if df.isStreaming:
         return df
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    sc = _context(df.sparkSession)
+    if sc is None:                       # Spark Connect: no RDD view of the plan
+        return df
+    want = min_partitions or sc.defaultParallelism
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
@@ -111,4 +154,5 @@ def shuffle_partitions(spark) -> int:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     except (TypeError, ValueError):
         n = 200
-    return max(n, spark.sparkContext.defaultParallelism)
+    sc = _context(spark)
+    return max(n, sc.defaultParallelism if sc is not None else 1)

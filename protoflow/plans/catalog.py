@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .._session import new_scratch
+from .._session import _app_key, new_scratch
 from ..functions import descriptors as D
 from ..functions.api import decode, decode_json, describe_message, validate_required
 from ..functions.codec import timestamp_text
@@ -44,7 +44,7 @@ _TREE_LOCK = threading.Lock()
 
 def view_tree(spark: SparkSession, sf_dir: str) -> str:
     """Folder with one view-record file per view: <base>/yyyy/MM/dd/HH/view-<id>.pb."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (_app_key(spark), sf_dir.rstrip("/"))
     with _TREE_LOCK:
         base = _TREES.get(key)
         if base is None:
