@@ -79,3 +79,15 @@ def pick_file(df: DataFrame, key: str = "path", seed: int = 0) -> DataFrame:
     """One row: the smallest ``md5(key)`` (a seeded, reproducible "random" pick).
     Planned as a distributed top-1 (per-partition top-k, then merge)."""
     return df.orderBy(order_hash(F.col(key), seed), F.col(key)).limit(1)
+
+
+def sample_tree(files: DataFrame, base: str, prop: float, seed: int = 0,
+                bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Per-folder sample of a listing below ``base``: every first-level subfolder
+    contributes ``floor(prop * n)`` of its files (nested levels count toward their
+    first-level parent); files lying directly in ``base`` are all kept."""
+    grouped = files.withColumn("_top", subdir("path", base, level=1))
+    loose = grouped.where(F.col("_top") == "")
+    picked = sample_files(grouped.where(F.col("_top") != ""), prop, by="_top", key="path",
+                          seed=seed, bucket_rows=bucket_rows)
+    return loose.unionByName(picked).drop("_top")

@@ -198,3 +198,26 @@ def test_scratch_dir_comes_from_session(spark):
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     expected = conf or spark.sparkContext.getCheckpointDir()
     assert d == expected.rstrip("/")
+
+
+def test_sample_tree_keeps_loose_files(spark, tree):
+    from protoflow.operators.sampling import sample_tree
+    base, n = tree
+    day_dirs = list_files(spark, base).withColumn("_d", F.regexp_extract("path", r"(.*/\d{4}/\d{2}/\d{2})/", 1))
+    day = day_dirs.orderBy("path").first()["_d"]          # a day folder: hour folders below it
+    files = list_files(spark, day)
+    got = sample_tree(files, day, 0.5).collect()
+    pdf = files.toPandas()
+    pdf["hour"] = pdf["path"].str.slice(len(day) + 1, len(day) + 3)
+    expect = sum(math.floor(0.5 * c) for c in pdf.groupby("hour").size())
+    assert len(got) == expect
+
+
+def test_sample_tree_loose_files_kept(spark):
+    from protoflow.operators.sampling import sample_tree
+    base = new_scratch(spark, "test-loose")
+    rel = [f"a/x{i}.pb" for i in range(3)] + [f"b/c/y{i}.pb" for i in range(4)] + ["l1.pb", "l2.pb"]
+    df = spark.createDataFrame([(r, bytearray(b"\x08\x01")) for r in rel], "relpath string, value binary")
+    write_message_files(df, base)
+    got = sorted(r["path"].rsplit("/", 1)[-1] for r in sample_tree(list_files(spark, base), base, 0.5).collect())
+    assert len(got) == 1 + 2 + 2 and "l1.pb" in got and "l2.pb" in got
