@@ -55,9 +55,8 @@ def list_files(spark: SparkSession, path, recursive: bool = True, glob: str | No
         .select("path", "modificationTime", "length")
 
 
-def normalize_path(c: Column | str = "path", scheme_from: str = "dbfs:/",
-                   scheme_to: str = "/dbfs/") -> Column:
-    """Rewrite a path prefix natively (the FUSE-mount spelling of an object-store path)."""
+def normalize_path(c: Column | str, scheme_from: str, scheme_to: str) -> Column:
+    """Rewrite a path prefix natively, e.g. a URI scheme to its local-mount spelling."""
     c = F.col(c) if isinstance(c, str) else c
     return F.regexp_replace(c, "^" + scheme_from.replace(".", r"\."), scheme_to)
 

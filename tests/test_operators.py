@@ -107,8 +107,8 @@ def test_path_partition_and_day_read(spark, tree):
 
 
 def test_normalize_path(spark):
-    df = spark.createDataFrame([("dbfs:/FileStore/a/b.pb",)], "path string")
-    assert df.select(normalize_path("path")).first()[0] == "/dbfs/FileStore/a/b.pb"
+    df = spark.createDataFrame([("store:/data/a/b.pb",)], "path string")
+    assert df.select(normalize_path("path", "store:/", "/mnt/store/")).first()[0] == "/mnt/store/data/a/b.pb"
 
 
 def test_land_raw_day_rerun_is_idempotent(spark, tree):
