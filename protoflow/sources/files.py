@@ -123,6 +123,10 @@ def land_raw_day(spark: SparkSession, base: str, day: str, path: str) -> DataFra
 # Writing one message per file (Spark has no binary-file sink)
 # ---------------------------------------------------------------------------
 def _write_files(batches, base: str, path_col: str, content_col: str):
+    from pyspark import TaskContext
+
+    ctx = TaskContext.get()
+    attempt = f"{ctx.stageId()}-{ctx.partitionId()}-{ctx.attemptNumber()}" if ctx else "0"
     fs, root = open_fs(base)
     made: set = set()
     for batch in batches:
@@ -135,9 +139,14 @@ def _write_files(batches, base: str, path_col: str, content_col: str):
             if parent not in made:
                 fs.create_dir(parent, recursive=True)
                 made.add(parent)
-            # deterministic name + whole-file overwrite: a retried task rewrites the same bytes
-            with fs.open_output_stream(full) as fh:
+            # write a hidden per-attempt temp file, then rename it into place: a task lost
+            # mid-write leaves no partial message visible (listings skip dot-files), and a
+            # retry rewrites the same deterministic name with the same bytes
+            parent_dir, name = full.rsplit("/", 1)
+            tmp = f"{parent_dir}/.{name}.{attempt}.tmp"
+            with fs.open_output_stream(tmp) as fh:
                 fh.write(blob or b"")
+            fs.move(tmp, full)
             paths.append(full)
             sizes.append(len(blob or b""))
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())],
