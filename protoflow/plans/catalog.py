@@ -28,9 +28,9 @@ from ..operators.views import (explode_events, flatten_populated, flatten_view,
                                populated_fields,
                                snake_names, union_days, unpivot_fields)
 from ..sources import fixtures as FX
-from ..sources.files import land_raw_day, list_files, read_messages, write_message_files
+from ..sources.files import land_raw_day, list_files, normalize_path, read_messages, write_message_files
 from ..streaming.ingest import ingest_stream
-from .tables import ingest_report, shape, write_table
+from .tables import ingest_report, shape, table_detail, write_table
 
 NTZ = dict(timestamp="timestamp_ntz")
 SPLIT_DATE = "2024-01-16 00:00:00"       # q25: the two "day slices" meet here
@@ -387,6 +387,40 @@ def q38_flatten_populated(spark, sf_dir):
     return flatten_populated(_views_bytes(spark, sf_dir))
 
 
+def q39_hour_folders(spark, sf_dir):
+    """Hour-folder selection (all 24 hour globs of every day): the path list is the filter."""
+    base = view_tree(spark, sf_dir)
+    dec = read_messages(spark, base, D.view_record(), day="*/*/*", hours=range(24),
+                        fields=["view_id", "watch_time"], keep=("view_date", "view_hour"))
+    return dec.groupBy("view_hour").agg(F.count(F.lit(1)).alias("n_views"),
+                                        F.sum("watch_time").alias("total_watch"))
+
+
+def q40_path_contains(spark, sf_dir):
+    """Path substring filter: files of views whose id starts with '1'."""
+    base = view_tree(spark, sf_dir)
+    files = list_files(spark, base, glob="*.pb", contains="/view-1")
+    return files.select(F.regexp_extract("path", r"view-([^/]+)\.pb$", 1).alias("view_id"))
+
+
+def q41_normalize_path(spark, sf_dir):
+    """Prefix rewrite of listed paths (scheme/mount spelling), counted per day folder."""
+    base = view_tree(spark, sf_dir)
+    files = list_files(spark, base, glob="*.pb")
+    seen = base if ":" in base.split("/", 1)[0] else "file:" + base     # as the scan spells it
+    local = normalize_path("path", seen.rstrip("/") + "/", "/mnt/views/")
+    out = files.select(local.alias("local_path"))
+    return out.groupBy(F.substring("local_path", 1, 21).alias("day_folder")) \
+        .agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def q42_table_detail(spark, sf_dir):
+    path = new_scratch(spark, "detail")
+    name = f"protoflow_detail_{uuid.uuid4().hex[:10]}"
+    write_table(_tree_views(spark, sf_dir), path=path, name=name, partition_by="view_date")
+    return table_detail(spark, name).select("format", "num_rows", "partition_columns")
+
+
 QUERIES = {f.__name__: f for f in [
     q00_min_slice, q01_roundtrip, q02_struct_expand, q03_flatten_default, q04_flatten_null,
     q05_field_list, q06_business_names, q07_epoch_seconds, q08_timestamp_modes, q08b_timestamp_text,
@@ -395,5 +429,5 @@ QUERIES = {f.__name__: f for f in [
     q21_files, q22_path_date, q23_sample, q23b_sample_events, q24_pick_one, q25_union_days,
     q26_shape, q27_take, q28_table, q29_overwrite, q30_custom_type, q31_enum_modes, q31b_enum_int,
     q32_wide_types, q33_stream, q34_raw_landing, q35_unpivot, q36_ingest_report, q37_simple_message,
-    q38_flatten_populated,
+    q38_flatten_populated, q39_hour_folders, q40_path_contains, q41_normalize_path, q42_table_detail,
 ]}

@@ -234,4 +234,13 @@ FROM events GROUP BY event_type"""
         else:
             pop_cols.append(_flat_expr(name, "default"))
     q["q38_flatten_populated"] = _with("SELECT " + ", ".join(pop_cols) + " FROM views")
+    q["q39_hour_folders"] = _with(
+        "SELECT CAST(hour(view_start) AS INTEGER) AS view_hour, count(*) AS n_views, "
+        "CAST(sum(watch_time) AS BIGINT) AS total_watch FROM views GROUP BY 1")
+    q["q40_path_contains"] = _with("SELECT view_id FROM views WHERE view_id LIKE '1%'")
+    q["q41_normalize_path"] = _with(
+        "SELECT '/mnt/views/' || strftime(view_start, '%Y/%m/%d') AS day_folder, count(*) AS n_files "
+        "FROM views GROUP BY 1")
+    q["q42_table_detail"] = _with("SELECT 'parquet' AS format, count(*) AS num_rows, "
+                                  "'view_date' AS partition_columns FROM views")
     return {k: " ".join(v.split()) for k, v in q.items()}

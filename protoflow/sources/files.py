@@ -8,6 +8,7 @@ is one ``binaryFile`` scan: Spark packs many small files into one partition
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 import pyarrow as pa
@@ -58,7 +59,7 @@ def list_files(spark: SparkSession, path, recursive: bool = True, glob: str | No
 def normalize_path(c: Column | str, scheme_from: str, scheme_to: str) -> Column:
     """Rewrite a path prefix natively, e.g. a URI scheme to its local-mount spelling."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, "^" + scheme_from.replace(".", r"\."), scheme_to)
+    return F.regexp_replace(c, "^" + re.escape(scheme_from), scheme_to.replace("$", "\\$"))
 
 
 def with_path_partition(df: DataFrame, path_col: str = "path", pattern: str = DATE_HOUR) -> DataFrame:
@@ -78,7 +79,9 @@ def day_paths(base: str, day: str, hours=None) -> list[str]:
     base = base.rstrip("/")
     if hours is None:
         return [f"{base}/{day}/*"]
-    return [f"{base}/{day}/{int(h):02d}" for h in hours]
+    # one brace glob: hours without a folder are simply not matched (a path list would
+    # fail on the first missing hour)
+    return [f"{base}/{day}/{{{','.join(f'{int(h):02d}' for h in hours)}}}"]
 
 
 def read_raw(spark: SparkSession, base: str, day: str | None = None, hours=None,
