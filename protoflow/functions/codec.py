@@ -440,7 +440,6 @@ def _setter(node: Node, dt: T.DataType):
     elem_dt = dt.elementType if (node.repeated and isinstance(dt, T.ArrayType)) else dt
     one = _element_writer(node, elem_dt)
     if node.kind == "map":
-        kw = _element_writer(node.key, dt.keyType)  # noqa: F841  (keys are scalars)
         if node.value.kind in ("message",):
             fill = _filler(node.value.children, dt.valueType)
 
