@@ -221,3 +221,18 @@ def test_sample_tree_loose_files_kept(spark):
     write_message_files(df, base)
     got = sorted(r["path"].rsplit("/", 1)[-1] for r in sample_tree(list_files(spark, base), base, 0.5).collect())
     assert len(got) == 1 + 2 + 2 and "l1.pb" in got and "l2.pb" in got
+
+
+def test_managed_table_rerun_replaces_only_its_days(spark, tree):
+    base, _ = tree
+    views = read_messages(spark, base, D.view_record(), fields=["view_id", "watch_time"], keep=("view_date",))
+    path = new_scratch(spark, "test-managed")
+    name = f"pf_days_{uuid.uuid4().hex[:8]}"
+    write_table(views, path=path, name=name)
+    first_day = views.agg(F.min("view_date")).first()[0]
+    one_day = views.where(F.col("view_date") == first_day).withColumn("watch_time", F.lit(-1))
+    write_table(one_day, path=path, name=name)
+    t = spark.read.table(name)
+    assert t.count() == views.count()
+    assert t.where(F.col("watch_time") == -1).count() == one_day.count()
+    assert t.where((F.col("view_date") != first_day) & (F.col("watch_time") == -1)).count() == 0
