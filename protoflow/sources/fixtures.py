@@ -58,7 +58,9 @@ def view_rows(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS_PER
     counts = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     ev = (ev.join(counts, "user_id", "left")
             .withColumn("_split", F.coalesce(
-                F.pmod(F.coalesce(F.col("event_id"), F.lit(0)), F.ceil(F.col("_n") / F.lit(max_events))),
+                # rows without an event_id spread by a deterministic hash of the row instead
+                F.pmod(F.coalesce(F.col("event_id"), F.xxhash64("ts", "event_type", "value", "props")),
+                       F.ceil(F.col("_n") / F.lit(max_events))),
                 F.lit(0))))
     # Hash-partition on the view key with the session's shuffle width: every key is
     # bounded (<= max_events rows), so no partition can be skewed, and the explicit
