@@ -16,7 +16,7 @@ import pyarrow as pa
 from google.protobuf import json_format
 from pyspark.sql import types as T
 
-from .descriptors import message_class
+from .descriptors import message_class, pruned_class
 from .schema import Node, Options, build_plan
 
 _EPOCH = _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
@@ -291,6 +291,12 @@ def decode_batches(batches, desc_set: bytes, message: str, fields, opts: Options
 
     plan = build_plan(desc_set, message, fields, opts)
     reader_cls = message_class(desc_set, message)
+    if fields is not None:
+        # parse with a copy of the message that declares only the selected top-level
+        # fields: unselected tags stay raw bytes instead of becoming message objects
+        top = tuple(sorted({n.attr for n in plan if n.kind != "oneof_case"}))
+        if len(top) < len(reader_cls.DESCRIPTOR.fields):
+            reader_cls = pruned_class(desc_set, message, top)
     known_ids = set(registry) if registry is not None else None
     for batch in batches:
         for part in _slices(batch, col, MAX_SLICE_BYTES):

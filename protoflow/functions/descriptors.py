@@ -440,7 +440,7 @@ def order_msg() -> tuple[bytes, str]:
 # Per-process class cache (executors rebuild classes from bytes once per worker).
 # ---------------------------------------------------------------------------
 _CACHE: dict[tuple[str, str], type] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
 def fingerprint(desc_set: bytes) -> str:
@@ -467,3 +467,67 @@ def message_class(desc_set: bytes, message: str):
 
 def message_descriptor(desc_set: bytes, message: str):
     return message_class(desc_set, message).DESCRIPTOR
+
+
+def pruned_class(desc_set: bytes, message: str, keep: tuple):
+    """Class of a copy of ``message`` that declares only the top-level fields ``keep``
+    (same names, numbers and types).  Parsing with it leaves the other tags as raw
+    unknown bytes, so unselected subtrees (e.g. a long nested event list) are never
+    built into message objects.  Cached per worker like ``message_class``."""
+    key = (fingerprint(desc_set), message, "prune:" + ",".join(sorted(keep)))
+    cls = _CACHE.get(key)
+    if cls is not None:
+        return cls
+    with _LOCK:
+        cls = _CACHE.get(key)
+        if cls is not None:
+            return cls
+        fds = descriptor_pb2.FileDescriptorSet()
+        fds.ParseFromString(desc_set)
+        full = message_descriptor(desc_set, message)
+        pkg_file = full.file.name
+        outer = full.full_name[len(full.file.package) + 1:] if full.file.package else full.full_name
+        pool = descriptor_pool.DescriptorPool()
+        suffix = "Pruned" + hashlib.sha1(",".join(sorted(keep)).encode()).hexdigest()[:10]
+        for f in fds.file:
+            if f.name == pkg_file:
+                f = _with_pruned_copy(f, outer, set(keep), suffix)
+            pool.Add(f)
+        name = f"{full.file.package}.{outer.replace('.', '_')}_{suffix}" if full.file.package \
+            else f"{outer.replace('.', '_')}_{suffix}"
+        cls = message_factory.GetMessageClass(pool.FindMessageTypeByName(name))
+        _CACHE[key] = cls
+    return cls
+
+
+def _with_pruned_copy(fdp, outer: str, keep: set, suffix: str):
+    """Copy of the file with one extra top-level message: ``outer`` minus unkept fields."""
+    src = None
+    parts = outer.split(".")
+    scope = fdp.message_type
+    for p in parts:
+        src = next(m for m in scope if m.name == p)
+        scope = src.nested_type
+    new_fdp = descriptor_pb2.FileDescriptorProto()
+    new_fdp.CopyFrom(fdp)
+    msg = new_fdp.message_type.add()
+    msg.name = f"{outer.replace('.', '_')}_{suffix}"
+    oneof_map = {}
+    for fld in src.field:
+        if fld.name not in keep:
+            continue
+        nf = msg.field.add()
+        nf.CopyFrom(fld)
+        if fld.HasField("oneof_index"):
+            if fld.oneof_index not in oneof_map:
+                oneof_map[fld.oneof_index] = len(msg.oneof_decl)
+                msg.oneof_decl.add().CopyFrom(src.oneof_decl[fld.oneof_index])
+            nf.oneof_index = oneof_map[fld.oneof_index]
+        if fld.type == FDP.TYPE_MESSAGE and fld.type_name.endswith("Entry"):
+            # map fields point at an entry type nested in the source message: copy it along
+            entry = next((n for n in src.nested_type if fld.type_name.endswith("." + n.name)), None)
+            if entry is not None:
+                msg.nested_type.add().CopyFrom(entry)
+                pkg = f"{fdp.package}." if fdp.package else ""
+                nf.type_name = f".{pkg}{msg.name}.{entry.name}"
+    return new_fdp

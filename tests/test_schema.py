@@ -103,3 +103,16 @@ def test_describe_rows_cover_nested_paths():
     assert paths["events"][3:5] == ("eventstream.Event", "repeated")
     assert paths["events.rendition_info.bitrate"][2] == 4
     assert len([p for p in paths if "." not in p]) == 114
+
+
+def test_pruned_class_keeps_only_selected_fields():
+    ds, mn = D.view_record()
+    full = D.message_class(ds, mn)
+    m = full(view_id="a", asn=3)
+    m.events.add(type="x")
+    pruned = D.pruned_class(ds, mn, ("asn", "view_id"))
+    p = pruned.FromString(m.SerializePartialToString())
+    assert [f.name for f, _ in p.ListFields()] == ["view_id", "asn"]
+    assert p.SerializePartialToString() == m.SerializePartialToString()   # unknown tags kept
+    o = D.pruned_class(*D.order_msg(), ("counters", "status"))
+    assert o.DESCRIPTOR.fields_by_name["counters"].message_type.GetOptions().map_entry
