@@ -292,11 +292,9 @@ def decode_batches(batches, desc_set: bytes, message: str, fields, opts: Options
     plan = build_plan(desc_set, message, fields, opts)
     reader_cls = message_class(desc_set, message)
     if fields is not None:
-        # parse with a copy of the message that declares only the selected top-level
-        # fields: unselected tags stay raw bytes instead of becoming message objects
-        top = tuple(sorted({n.attr for n in plan if n.kind != "oneof_case"}))
-        if len(top) < len(reader_cls.DESCRIPTOR.fields):
-            reader_cls = pruned_class(desc_set, message, top)
+        # parse with a copy of the message that declares only the selected fields (at
+        # every depth): unselected tags stay raw bytes instead of becoming objects
+        reader_cls = pruned_class(desc_set, message, _plan_selection(plan, reader_cls.DESCRIPTOR))
     known_ids = set(registry) if registry is not None else None
     for batch in batches:
         for part in _slices(batch, col, MAX_SLICE_BYTES):
@@ -332,6 +330,24 @@ def decode_batches(batches, desc_set: bytes, message: str, fields, opts: Options
             yield _assemble(part, keep, plan, arrays, msgs, errors, permissive, expanded, out)
 
 
+def _plan_selection(nodes: list, desc) -> dict:
+    """Selection tree of a decode plan: field -> None (whole) or a nested selection."""
+    sel: dict = {}
+    for n in nodes:
+        if n.kind == "oneof_case":
+            continue
+        sub = None
+        if n.kind == "message":
+            sub_desc = desc.fields_by_name[n.attr].message_type
+            real = [c for c in n.children if c.kind != "oneof_case"]
+            if len(real) < len(sub_desc.fields) or any(c.kind == "message" for c in real):
+                sub = _plan_selection(n.children, sub_desc)
+                if all(v is None for v in sub.values()) and len(sub) == len(sub_desc.fields):
+                    sub = None
+        sel[n.attr] = sub
+    return sel
+
+
 def _rebuild_rowwise(plan, msgs, errors, opts):
     """Permissive path after a value error: find the failing rows one by one."""
     for i, m in enumerate(msgs):

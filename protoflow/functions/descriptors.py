@@ -469,12 +469,17 @@ def message_descriptor(desc_set: bytes, message: str):
     return message_class(desc_set, message).DESCRIPTOR
 
 
-def pruned_class(desc_set: bytes, message: str, keep: tuple):
-    """Class of a copy of ``message`` that declares only the top-level fields ``keep``
-    (same names, numbers and types).  Parsing with it leaves the other tags as raw
-    unknown bytes, so unselected subtrees (e.g. a long nested event list) are never
-    built into message objects.  Cached per worker like ``message_class``."""
-    key = (fingerprint(desc_set), message, "prune:" + ",".join(sorted(keep)))
+def pruned_class(desc_set: bytes, message: str, selection: dict):
+    """Class of a copy of ``message`` that declares only the selected fields.
+
+    ``selection`` maps proto field names to ``None`` (the whole field) or to a nested
+    selection of the field's message type.  Parsing with the copy leaves every other
+    tag as raw unknown bytes, so unselected subtrees (e.g. the timestamps inside a long
+    event list) are never built into message objects.  Pruned copies keep names,
+    numbers and types; they are added to the files that define the originals.
+    Cached per worker like ``message_class``.
+    """
+    key = (fingerprint(desc_set), message, "prune:" + repr(_canonical(selection)))
     cls = _CACHE.get(key)
     if cls is not None:
         return cls
@@ -482,39 +487,50 @@ def pruned_class(desc_set: bytes, message: str, keep: tuple):
         cls = _CACHE.get(key)
         if cls is not None:
             return cls
+        root = message_descriptor(desc_set, message)
         fds = descriptor_pb2.FileDescriptorSet()
         fds.ParseFromString(desc_set)
-        full = message_descriptor(desc_set, message)
-        pkg_file = full.file.name
-        outer = full.full_name[len(full.file.package) + 1:] if full.file.package else full.full_name
+        files = {f.name: f for f in fds.file}
+        made: dict = {}
+        new_root = _prune_type(root, selection, files, made)
         pool = descriptor_pool.DescriptorPool()
-        suffix = "Pruned" + hashlib.sha1(",".join(sorted(keep)).encode()).hexdigest()[:10]
         for f in fds.file:
-            if f.name == pkg_file:
-                f = _with_pruned_copy(f, outer, set(keep), suffix)
             pool.Add(f)
-        name = f"{full.file.package}.{outer.replace('.', '_')}_{suffix}" if full.file.package \
-            else f"{outer.replace('.', '_')}_{suffix}"
-        cls = message_factory.GetMessageClass(pool.FindMessageTypeByName(name))
+        cls = message_factory.GetMessageClass(pool.FindMessageTypeByName(new_root.lstrip(".")))
         _CACHE[key] = cls
     return cls
 
 
-def _with_pruned_copy(fdp, outer: str, keep: set, suffix: str):
-    """Copy of the file with one extra top-level message: ``outer`` minus unkept fields."""
-    src = None
-    parts = outer.split(".")
-    scope = fdp.message_type
-    for p in parts:
-        src = next(m for m in scope if m.name == p)
+def _canonical(sel):
+    if sel is None:
+        return None
+    return tuple(sorted((k, _canonical(v)) for k, v in sel.items()))
+
+
+def _source_proto(fdp, desc):
+    rel = desc.full_name[len(fdp.package) + 1:] if fdp.package else desc.full_name
+    scope, src = fdp.message_type, None
+    for part in rel.split("."):
+        src = next(m for m in scope if m.name == part)
         scope = src.nested_type
-    new_fdp = descriptor_pb2.FileDescriptorProto()
-    new_fdp.CopyFrom(fdp)
-    msg = new_fdp.message_type.add()
-    msg.name = f"{outer.replace('.', '_')}_{suffix}"
-    oneof_map = {}
+    return rel, src
+
+
+def _prune_type(desc, selection: dict, files: dict, made: dict) -> str:
+    """Add a pruned copy of ``desc`` to its file; returns its full type name ('.pkg.Name')."""
+    key = (desc.full_name, repr(_canonical(selection)))
+    if key in made:
+        return made[key]
+    fdp = files[desc.file.name]
+    rel, src = _source_proto(fdp, desc)
+    suffix = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
+    msg = fdp.message_type.add()
+    msg.name = f"{rel.replace('.', '_')}_Pruned{suffix}"
+    pkg = f"{fdp.package}." if fdp.package else ""
+    made[key] = full = f".{pkg}{msg.name}"
+    oneof_map: dict = {}
     for fld in src.field:
-        if fld.name not in keep:
+        if fld.name not in selection:
             continue
         nf = msg.field.add()
         nf.CopyFrom(fld)
@@ -523,11 +539,12 @@ def _with_pruned_copy(fdp, outer: str, keep: set, suffix: str):
                 oneof_map[fld.oneof_index] = len(msg.oneof_decl)
                 msg.oneof_decl.add().CopyFrom(src.oneof_decl[fld.oneof_index])
             nf.oneof_index = oneof_map[fld.oneof_index]
-        if fld.type == FDP.TYPE_MESSAGE and fld.type_name.endswith("Entry"):
-            # map fields point at an entry type nested in the source message: copy it along
-            entry = next((n for n in src.nested_type if fld.type_name.endswith("." + n.name)), None)
-            if entry is not None:
-                msg.nested_type.add().CopyFrom(entry)
-                pkg = f"{fdp.package}." if fdp.package else ""
-                nf.type_name = f".{pkg}{msg.name}.{entry.name}"
-    return new_fdp
+        fd = desc.fields_by_name[fld.name]
+        if fd.message_type is not None and fd.message_type.GetOptions().map_entry:
+            # a map's entry type must be nested in the message holding the map: copy it along
+            entry = next(n for n in src.nested_type if n.name == fd.message_type.name)
+            msg.nested_type.add().CopyFrom(entry)
+            nf.type_name = f"{full}.{entry.name}"
+        elif fd.message_type is not None and selection[fld.name] is not None:
+            nf.type_name = _prune_type(fd.message_type, selection[fld.name], files, made)
+    return full

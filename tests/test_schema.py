@@ -110,9 +110,21 @@ def test_pruned_class_keeps_only_selected_fields():
     full = D.message_class(ds, mn)
     m = full(view_id="a", asn=3)
     m.events.add(type="x")
-    pruned = D.pruned_class(ds, mn, ("asn", "view_id"))
+    pruned = D.pruned_class(ds, mn, {"asn": None, "view_id": None})
     p = pruned.FromString(m.SerializePartialToString())
     assert [f.name for f, _ in p.ListFields()] == ["view_id", "asn"]
     assert full.FromString(p.SerializePartialToString()) == m    # unknown tags are kept
-    o = D.pruned_class(*D.order_msg(), ("counters", "status"))
+    o = D.pruned_class(*D.order_msg(), {"counters": None, "status": None})
     assert o.DESCRIPTOR.fields_by_name["counters"].message_type.GetOptions().map_entry
+
+
+def test_nested_pruning():
+    ds, mn = D.view_record()
+    full = D.message_class(ds, mn)
+    m = full(view_id="a")
+    e = m.events.add(type="x", sequence_number=4)
+    e.server_time.seconds = 9
+    p = D.pruned_class(ds, mn, {"events": {"type": None}})
+    ev = p.FromString(m.SerializePartialToString()).events[0]
+    assert [f.name for f, _ in ev.ListFields()] == ["type"] and ev.type == "x"
+    assert full.FromString(p.FromString(m.SerializePartialToString()).SerializePartialToString()) == m
