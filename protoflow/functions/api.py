@@ -197,6 +197,21 @@ def validate_required(df: DataFrame, message, col: str = "value", out: str = "_v
     return src.mapInArrow(fn, schema)
 
 
+def field_presence(df: DataFrame, message, col: str = "value", descriptor_set: bytes | None = None,
+                   names: str = "proto") -> DataFrame:
+    """field, n_set, n_rows over all messages of ``col`` without decoding any value.
+
+    Each task parses with a shallow copy of the type (nested messages stay raw bytes)
+    and emits one row per field; the per-task rows are summed (a shuffle of
+    #tasks x #fields rows).  Empty repeated fields count as unset.
+    """
+    desc_set, msg = _resolve(message, descriptor_set)
+    ensure_shipped(df.sparkSession)
+    fn = partial(codec.presence_batches, desc_set=desc_set, message=msg, col=col, names=names)
+    per_task = df.select(col).mapInArrow(fn, "field string, n_set long, n_rows long")
+    return per_task.groupBy("field").agg(F.sum("n_set").alias("n_set"), F.sum("n_rows").alias("n_rows"))
+
+
 def describe_message(spark: SparkSession, message, descriptor_set: bytes | None = None,
                      **options) -> DataFrame:
     """One row per field path: message, path, tag, proto_type, label, spark_type."""

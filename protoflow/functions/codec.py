@@ -16,7 +16,7 @@ import pyarrow as pa
 from google.protobuf import json_format
 from pyspark.sql import types as T
 
-from .descriptors import message_class, pruned_class
+from .descriptors import message_class, pruned_class, shallow_class
 from .schema import Node, Options, build_plan
 
 _EPOCH = _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
@@ -380,6 +380,28 @@ def _assemble(part, keep, plan, arrays, msgs, errors, permissive, expanded, out)
     return pa.RecordBatch.from_arrays(cols, names=names)
 
 
+def presence_batches(batches, desc_set: bytes, message: str, col: str, names: str):
+    """mapInArrow body: one row per top-level field with the number of messages in this
+    task that set it, plus the number of messages; only presence is looked at."""
+    cls = shallow_class(desc_set, message)
+    full = message_class(desc_set, message).DESCRIPTOR
+    order = [f.number for f in full.fields]
+    label = {f.number: (f.camelcase_name if names == "camel" else f.name) for f in full.fields}
+    counts = dict.fromkeys(order, 0)
+    rows = 0
+    for batch in batches:
+        for b in batch.column(col).to_pylist():
+            if b is None:
+                continue
+            rows += 1
+            for fd, _v in cls.FromString(b).ListFields():
+                if fd.number in counts:
+                    counts[fd.number] += 1
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([label[n] for n in order], pa.string()), pa.array([counts[n] for n in order], pa.int64()),
+         pa.array([rows] * len(order), pa.int64())], names=["field", "n_set", "n_rows"])
+
+
 def validate_batches(batches, desc_set: bytes, message: str, col: str, keep: tuple, out: str):
     """mapInArrow body: ``out`` = message parses and all required fields (nested too) are set."""
     cls = message_class(desc_set, message)

@@ -548,3 +548,44 @@ def _prune_type(desc, selection: dict, files: dict, made: dict) -> str:
         elif fd.message_type is not None and selection[fld.name] is not None:
             nf.type_name = _prune_type(fd.message_type, selection[fld.name], files, made)
     return full
+
+
+def shallow_class(desc_set: bytes, message: str):
+    """Class of a copy of a proto2 ``message`` whose message-typed fields are declared as
+    ``bytes`` (same tags, same length-delimited wire type): parsing it never builds a
+    nested object, enough to see which top-level fields are set.  proto3 messages
+    (where an empty ``bytes`` would lose presence) get the ordinary class."""
+    root = message_descriptor(desc_set, message)
+    key = (fingerprint(desc_set), message, "shallow")
+    cls = _CACHE.get(key)
+    if cls is not None:
+        return cls
+    with _LOCK:
+        cls = _CACHE.get(key)
+        if cls is not None:
+            return cls
+        fds = descriptor_pb2.FileDescriptorSet()
+        fds.ParseFromString(desc_set)
+        files = {f.name: f for f in fds.file}
+        fdp = files[root.file.name]
+        if fdp.syntax not in ("", "proto2"):
+            cls = message_class(desc_set, message)
+            _CACHE[key] = cls
+            return cls
+        rel, src = _source_proto(fdp, root)
+        msg = fdp.message_type.add()
+        msg.CopyFrom(src)
+        msg.name = f"{rel.replace('.', '_')}_Shallow"
+        del msg.nested_type[:]
+        del msg.enum_type[:]
+        for f in msg.field:
+            if f.type == FDP.TYPE_MESSAGE:          # enums keep their (absolute) type names
+                f.type = FDP.TYPE_BYTES
+                f.ClearField("type_name")
+        pool = descriptor_pool.DescriptorPool()
+        for f in fds.file:
+            pool.Add(f)
+        pkg = f"{fdp.package}." if fdp.package else ""
+        cls = message_factory.GetMessageClass(pool.FindMessageTypeByName(pkg + msg.name))
+        _CACHE[key] = cls
+    return cls

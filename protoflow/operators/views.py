@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import descriptors as D
-from ..functions.api import decode
+from ..functions.api import decode, field_presence
+from ..functions.descriptors import message_descriptor
 from ..functions.schema import VIEW_COLUMNS_90, VIEW_RENAMES, snake_name
 
 
@@ -82,13 +83,14 @@ def flatten_populated(df: DataFrame, col: str = "value", message=None, exclude=(
                       absent: str = "default", timestamp: str = "epoch_seconds", keep=()) -> DataFrame:
     """Flat table of the fields that are set somewhere in the data (minus ``exclude``).
 
-    The keep-list comes from one aggregation over the whole dataset (not from one
-    file); only field names reach the driver - at most one per message field.
+    The keep-list comes from one presence count over the whole dataset (not from one
+    file), read straight from the bytes; only field names reach the driver - at most
+    one per message field.
     """
     message = message or D.view_record()
-    probe = decode(df, message, col=col, absent="null", timestamp="timestamp")
-    names = [r["field"] for r in populated_fields(probe, exclude=exclude).where("n_set > 0").collect()]
-    order = [n for n in probe.columns if n in set(names)]          # declaration order
+    present = field_presence(df, message, col=col).where("n_set > 0").select("field")
+    names = {r["field"] for r in present.collect()} - set(exclude)
+    order = [f.name for f in message_descriptor(*message).fields if f.name in names]   # tag order
     return decode(df, message, col=col, fields=order, keep=keep, absent=absent, timestamp=timestamp)
 
 

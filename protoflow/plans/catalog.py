@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .._session import _app_key, new_scratch
 from ..functions import descriptors as D
-from ..functions.api import decode, decode_json, describe_message, validate_required
+from ..functions.api import decode, decode_json, describe_message, field_presence, validate_required
 from ..functions.codec import timestamp_text
 from ..functions.descriptors import VIEW_RECORD_FIELDS
 from ..functions.schema import VIEW_COLUMNS_90, VIEW_RENAMES
@@ -421,6 +421,11 @@ def q42_table_detail(spark, sf_dir):
     return table_detail(spark, name).select("format", "num_rows", "partition_columns")
 
 
+def q43_field_presence(spark, sf_dir):
+    """Which fields are set, counted from the bytes without decoding values."""
+    return field_presence(_views_bytes(spark, sf_dir), D.view_record())
+
+
 QUERIES = {f.__name__: f for f in [
     q00_min_slice, q01_roundtrip, q02_struct_expand, q03_flatten_default, q04_flatten_null,
     q05_field_list, q06_business_names, q07_epoch_seconds, q08_timestamp_modes, q08b_timestamp_text,
@@ -430,4 +435,5 @@ QUERIES = {f.__name__: f for f in [
     q26_shape, q27_take, q28_table, q29_overwrite, q30_custom_type, q31_enum_modes, q31b_enum_int,
     q32_wide_types, q33_stream, q34_raw_landing, q35_unpivot, q36_ingest_report, q37_simple_message,
     q38_flatten_populated, q39_hour_folders, q40_path_contains, q41_normalize_path, q42_table_detail,
+    q43_field_presence,
 ]}

@@ -236,3 +236,15 @@ def test_managed_table_rerun_replaces_only_its_days(spark, tree):
     assert t.count() == views.count()
     assert t.where(F.col("watch_time") == -1).count() == one_day.count()
     assert t.where((F.col("view_date") != first_day) & (F.col("watch_time") == -1)).count() == 0
+
+
+def test_field_presence_equals_decoded_counts(spark, sf_small):
+    from protoflow.functions.api import field_presence
+    msgs = FX.view_messages(spark, sf_small)
+    fast = {r["field"]: (r["n_set"], r["n_rows"]) for r in field_presence(msgs, D.view_record()).collect()}
+    dec = decode(msgs, D.view_record(), timestamp="timestamp_ntz")
+    slow = {r["field"]: (r["n_set"], r["n_rows"]) for r in populated_fields(dec, exclude=()).collect()}
+    assert fast == slow
+    orders = FX.order_messages(spark, sf_small)                  # proto3: ordinary class
+    pres = {r["field"]: r["n_set"] for r in field_presence(orders, D.order_msg()).collect()}
+    assert pres["total_price"] == orders.count() and pres["attrs"] == 0
