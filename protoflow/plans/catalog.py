@@ -437,3 +437,56 @@ QUERIES = {f.__name__: f for f in [
     q38_flatten_populated, q39_hour_folders, q40_path_contains, q41_normalize_path, q42_table_detail,
     q43_field_presence,
 ]}
+
+# Which SURVEY §2 rows each query exercises (the coverage map in the README is built
+# from the same pairs).
+SURVEY_ROWS = {
+    "q00_min_slice": "D1 D12 C1 P2 (flagship: encode -> decode -> group by)",
+    "q01_roundtrip": "D1 D2 D6 D9 D12 D18",
+    "q02_struct_expand": "P2 P3 D2 D17 (AppEvent demo shape)",
+    "q03_flatten_default": "P5 C4 P10 (default mode)",
+    "q04_flatten_null": "D9 C4 (null mode)",
+    "q05_field_list": "C2 P8 (dotted keep-list)",
+    "q06_business_names": "P6 (94 columns, renames)",
+    "q07_epoch_seconds": "P9 C3",
+    "q08_timestamp_modes": "D8 (timestamp)",
+    "q08b_timestamp_text": "§1.2 Timestamp as RFC 3339 text",
+    "q09_duration": "§1.2 Duration as interval",
+    "q10_explode_events": "P13",
+    "q11_oneof_case": "§1.2 oneof",
+    "q12_json": "D10 D11",
+    "q13_registry": "D13 D14 D15",
+    "q14_mixed_versions": "D14 D15 C9 (mixed writers, one pass)",
+    "q15_evolution": "C9 (newer reader)",
+    "q16_required": "D16",
+    "q17_corrupt": "malformed input, permissive mode",
+    "q18_populated": "C7 (decoded columns)",
+    "q19_snake_names": "C8 §1.4",
+    "q20_describe_message": "C5 C6",
+    "q21_files": "S1 S2 S7",
+    "q22_path_date": "S7 S8 S9 S10",
+    "q23_sample": "S3",
+    "q23b_sample_events": "S3 (any table)",
+    "q24_pick_one": "S4",
+    "q25_union_days": "U1 U2",
+    "q26_shape": "K4",
+    "q27_take": "L1 L2",
+    "q28_table": "K1",
+    "q29_overwrite": "K2 S13 (rerun idempotent)",
+    "q30_custom_type": "D7",
+    "q31_enum_modes": "§1.2 enum as name",
+    "q31b_enum_int": "§1.2 enum as int",
+    "q32_wide_types": "§1.2 bytes, unsigned, wrappers, map, repeated",
+    "q33_stream": "§2.12 streaming",
+    "q34_raw_landing": "S14",
+    "q35_unpivot": "S12",
+    "q36_ingest_report": "K8",
+    "q37_simple_message": "D12 D1 (SimpleMessage demo shape)",
+    "q38_flatten_populated": "C7 P9 P10 (keep-list from the data)",
+    "q39_hour_folders": "S7 (hour selection)",
+    "q40_path_contains": "S5",
+    "q41_normalize_path": "S6",
+    "q42_table_detail": "K3",
+    "q43_field_presence": "C7 (from the bytes)",
+}
+assert set(SURVEY_ROWS) == set(QUERIES)
