@@ -64,13 +64,16 @@ def normalize_path(c: Column | str, scheme_from: str, scheme_to: str) -> Column:
 
 def with_path_partition(df: DataFrame, path_col: str = "path", pattern: str = DATE_HOUR) -> DataFrame:
     """Adds ``view_date`` (date) and ``view_hour`` (int) from ``/yyyy/mm/dd/hh/`` in the path;
-    NULL when the path has no such part."""
+    NULL when the path has no such part or it is no valid date / hour."""
     p = F.col(path_col)
     y, m, d, h = (F.regexp_extract(p, pattern, i) for i in (1, 2, 3, 4))
     hit = y != F.lit("")
+    # try_: a folder name that is no real date (month 13, day 45) gives NULL, not a failed job
+    day = F.to_date(F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-MM-dd")))
+    hour = h.try_cast("int")
     return df.withColumns({
-        "view_date": F.when(hit, F.make_date(y.cast("int"), m.cast("int"), d.cast("int"))),
-        "view_hour": F.when(hit, h.cast("int")),
+        "view_date": F.when(hit, day),
+        "view_hour": F.when(hit & hour.between(0, 23), hour),
     })
 
 

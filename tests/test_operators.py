@@ -102,8 +102,8 @@ def test_path_partition_and_day_read(spark, tree):
     assert one_day.count() == files.where(F.col("view_date") == day["view_date"]).count()
     hours = read_messages(spark, base, D.view_record(), day=d, hours=[day["view_hour"]], fields=["view_id"])
     assert 1 <= hours.count() <= one_day.count()
-    undated = spark.createDataFrame([("file:/x/y.pb",)], "path string")
-    assert with_path_partition(undated).first()["view_date"] is None
+    undated = spark.createDataFrame([("file:/x/y.pb",), ("file:/x/2024/13/45/99/y.pb",)], "path string")
+    assert [tuple(r)[1:] for r in with_path_partition(undated).collect()] == [(None, None), (None, None)]
 
 
 def test_normalize_path(spark):
