@@ -92,8 +92,8 @@ def unframe(df: DataFrame, col: str) -> DataFrame:
     """Adds ``_magic``, ``_schema_id``, ``_payload`` parsed from the header natively."""
     b = F.col(col)
     return df.withColumns({
-        "_magic": F.conv(F.hex(F.substring(b, 1, 1)), 16, 10).cast("int"),
-        "_schema_id": F.conv(F.hex(F.substring(b, 2, 4)), 16, 10).cast("int"),
+        "_magic": F.conv(F.hex(F.substring(b, 1, 1)), 16, 10).try_cast("int"),
+        "_schema_id": F.conv(F.hex(F.substring(b, 2, 4)), 16, 10).try_cast("int"),   # NULL if > int
         "_payload": F.expr(f"substring(`{col}`, 6)"),
     })
 

@@ -32,7 +32,7 @@ views AS (
   SELECT coalesce(CAST(user_id AS VARCHAR), 'none') || '-' || CAST(_split AS VARCHAR) AS view_id,
          'property-' || CAST(((user_id % 7) + 7) % 7 AS VARCHAR) AS property_id,
          min(ts) AS view_start, max(ts) AS view_end,
-         CAST(user_id AS INTEGER) AS asn,
+         TRY_CAST(user_id AS INTEGER) AS asn,
          min(event_type) AS custom_2,
          CASE WHEN ((user_id % 2) + 2) % 2 = 1 THEN 'widevine' END AS custom_3,
          max(props) AS custom_4,
@@ -203,7 +203,7 @@ FROM events GROUP BY event_type"""
     q["q31_enum_modes"] = f"SELECT o_orderkey AS order_key, o_orderstatus AS status, {prio_name} AS priority FROM orders"
     q["q31b_enum_int"] = ("SELECT o_orderkey AS order_key, "
                           "CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 WHEN 'P' THEN 3 END AS INTEGER) AS status, "
-                          "CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority FROM orders")
+                          "TRY_CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority FROM orders")
     q["q32_wide_types"] = (
         "SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_orderkey AS order_key_u64, "
         "o_orderpriority AS priority_text, o_totalprice AS total_price, o_orderstatus AS status_text, "

@@ -101,7 +101,7 @@ def view_rows(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS_PER
         F.concat(F.lit("property-"), F.pmod(F.col("user_id"), F.lit(7)).cast("string")).alias("property_id"),
         "view_start", "view_end",
         events.alias("events"),
-        F.col("user_id").cast("int").alias("asn"),
+        F.col("user_id").try_cast("int").alias("asn"),
         "custom_2",
         F.when(F.pmod(F.col("user_id"), F.lit(2)) == 1, F.lit("widevine")).alias("custom_3"),
         "custom_4", "custom_5", "latitude", "longitude", "player_source_duration",
@@ -130,7 +130,7 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("order_key"),
         F.col("o_orderstatus").alias("status"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"),
+        F.substring("o_orderpriority", 1, 1).try_cast("int").alias("priority"),
         F.col("o_custkey").alias("cust_key"),
         F.col("o_orderkey").cast("decimal(20,0)").alias("order_key_u64"),
         F.encode("o_orderpriority", "UTF-8").alias("priority_bytes"),
