@@ -29,7 +29,7 @@ from ..operators.views import (explode_events, flatten_populated, flatten_view,
                                snake_names, union_days, unpivot_fields)
 from ..sources import fixtures as FX
 from ..sources.files import land_raw_day, list_files, normalize_path, read_messages, write_message_files
-from ..streaming.ingest import ingest_stream
+from ..streaming.ingest import ingest_records, ingest_stream
 from .tables import ingest_report, shape, table_detail, write_table
 
 NTZ = dict(timestamp="timestamp_ntz")
@@ -426,6 +426,21 @@ def q43_field_presence(spark, sf_dir):
     return field_presence(_views_bytes(spark, sf_dir), D.view_record())
 
 
+def q44_record_stream(spark, sf_dir):
+    """Registry-framed records through a streaming decode (message-bus shape)."""
+    reg = _registry(spark, 1, 2)
+    rows = (FX.event_rows(spark, sf_dir)
+            .withColumn("writer_id", F.when(F.pmod("event_id", F.lit(2)) == 1, F.lit(2)).otherwise(F.lit(1)))
+            .withColumn("source", F.concat(F.col("event_type"), F.lit("-src"))))
+    out = new_scratch(spark, "records")
+    encode_registered(rows, reg, schema_id="writer_id").write.parquet(f"{out}/topic")
+    q = ingest_records(spark, f"{out}/topic", reg, D.event_msg(2), sink=f"{out}/sink",
+                       checkpoint=f"{out}/checkpoint", fields=["event_id", "source"])
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/sink").select(
+        "event_id", F.col("_schema_id").alias("schema_id"), "source")
+
+
 QUERIES = {f.__name__: f for f in [
     q00_min_slice, q01_roundtrip, q02_struct_expand, q03_flatten_default, q04_flatten_null,
     q05_field_list, q06_business_names, q07_epoch_seconds, q08_timestamp_modes, q08b_timestamp_text,
@@ -435,7 +450,7 @@ QUERIES = {f.__name__: f for f in [
     q26_shape, q27_take, q28_table, q29_overwrite, q30_custom_type, q31_enum_modes, q31b_enum_int,
     q32_wide_types, q33_stream, q34_raw_landing, q35_unpivot, q36_ingest_report, q37_simple_message,
     q38_flatten_populated, q39_hour_folders, q40_path_contains, q41_normalize_path, q42_table_detail,
-    q43_field_presence,
+    q43_field_presence, q44_record_stream,
 ]}
 
 # Which SURVEY §2 rows each query exercises (the coverage map in the README is built
@@ -488,5 +503,6 @@ SURVEY_ROWS = {
     "q41_normalize_path": "S6",
     "q42_table_detail": "K3",
     "q43_field_presence": "C7 (from the bytes)",
+    "q44_record_stream": "D13 D14 K9 §2.12 (registry records through a stream)",
 }
 assert set(SURVEY_ROWS) == set(QUERIES)

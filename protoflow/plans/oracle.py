@@ -160,6 +160,7 @@ FROM events GROUP BY event_type"""
         pop.append(f"SELECT '{name}' AS field, {n} AS n_set, count(*) AS n_rows FROM views")
     q["q18_populated"] = _with(" UNION ALL ".join(pop))
     q["q43_field_presence"] = q["q18_populated"]
+    q["q44_record_stream"] = q["q14_mixed_versions"]
     q["q19_snake_names"] = _with("SELECT view_id, property_id, custom_2, custom_3, watch_time, "
                                  "used_fullscreen, player_source_duration FROM views")
     desc = ", ".join(

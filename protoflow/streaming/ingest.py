@@ -45,3 +45,36 @@ def ingest_stream(spark: SparkSession, base: str, message, sink: str, checkpoint
     elif processing_time:
         w = w.trigger(processingTime=processing_time)
     return w.start()
+
+
+def record_stream(spark: SparkSession, topic: str, registry, reader, value_col: str = "value",
+                  keep=(), max_files_per_trigger: int | None = None, **decode_options) -> DataFrame:
+    """Streaming decode of registry-framed records (a ``value`` binary column, as a message
+    bus delivers them) landing as Parquet files under ``topic``: the header is parsed
+    natively and each payload is read into ``reader`` whatever version wrote it."""
+    from ..operators.registry import decode_registered
+
+    r = spark.readStream.format("parquet").schema(_topic_schema(spark, topic, value_col, keep))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return decode_registered(r.load(topic), registry, reader, col=value_col, keep=keep, **decode_options)
+
+
+def _topic_schema(spark: SparkSession, topic: str, value_col: str, keep):
+    from pyspark.sql import types as T
+
+    fields = [T.StructField(value_col, T.BinaryType(), True)]
+    known = spark.read.parquet(topic).schema
+    fields += [known[k] for k in keep]
+    return T.StructType(fields)
+
+
+def ingest_records(spark: SparkSession, topic: str, registry, reader, sink: str, checkpoint: str,
+                   keep=(), available_now: bool = True, **decode_options):
+    """Start ``record_stream`` into an append-only Parquet sink; returns the StreamingQuery."""
+    stream = record_stream(spark, topic, registry, reader, keep=keep, **decode_options)
+    w = (stream.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", checkpoint).option("path", sink))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
