@@ -39,7 +39,8 @@ def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | N
            enums: str = "name", uint64: str = "long", timestamp: str = "timestamp",
            duration: str = "interval", oneof_case: bool = False, max_depth: int = 16,
            type_overrides=None, mode: str = "failfast", expanded: bool = True,
-           out: str = "value", engine: str = "python", _registry=None, _id_col=None) -> DataFrame:
+           out: str = "value", engine: str = "python", float_digits: int | None = None,
+           _registry=None, _id_col=None) -> DataFrame:
     """Binary column -> typed columns (``expanded``) or one struct column ``out``.
 
     One row in, one row out.  ``mode="permissive"`` turns unparseable rows into NULLs
@@ -48,6 +49,8 @@ def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | N
     package on the classpath; proto names, enum names, Timestamp -> timestamp only).
     """
     desc_set, msg = _resolve(message, descriptor_set)
+    if engine == "jvm" and float_digits is not None:
+        raise ValueError("engine='jvm' does not support options ['float_digits']; use engine='python'")
     if engine == "jvm":
         return _decode_jvm(df, desc_set, msg, col, fields, keep, absent, names, enums, uint64,
                            timestamp, duration, oneof_case, max_depth, type_overrides, mode,
@@ -58,7 +61,7 @@ def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | N
         raise ValueError("mode must be 'failfast' or 'permissive'")
     opts = make_options(absent=absent, names=names, enums=enums, uint64=uint64,
                         timestamp=timestamp, duration=duration, oneof_case=oneof_case,
-                        max_depth=max_depth, type_overrides=type_overrides)
+                        max_depth=max_depth, type_overrides=type_overrides, float_digits=float_digits)
     plan = build_plan(desc_set, msg, fields, opts)
     keep = tuple(keep)
     extra = (_id_col,) if _id_col and _id_col not in keep and _id_col != col else ()
@@ -153,7 +156,7 @@ def encode(df: DataFrame, message, cols=None, col: str | None = None, out: str =
 
 def decode_json(df: DataFrame, message, col: str = "value", out: str = "content",
                 descriptor_set: bytes | None = None, names: str = "camel",
-                int64_as_string: bool = False, keep=None) -> DataFrame:
+                int64_as_string: bool = False, keep=None, float_digits: int | None = None) -> DataFrame:
     """``withColumn``-shaped: input columns + JSON text of the message in ``out``.
 
     Unset fields are omitted (``to_json`` drops NULLs); the JSON itself is made by
@@ -163,7 +166,7 @@ def decode_json(df: DataFrame, message, col: str = "value", out: str = "content"
     keep = tuple(c for c in df.columns if c != out) if keep is None else tuple(keep)
     decoded = decode(df, message, col=col, descriptor_set=descriptor_set, keep=keep,
                      names=names, timestamp="string", duration="string", expanded=False,
-                     out="_msg")
+                     out="_msg", float_digits=float_digits)
     st = decoded.schema["_msg"].dataType
     value = F.col("_msg")
     if int64_as_string:

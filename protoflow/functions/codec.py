@@ -151,6 +151,9 @@ def _convert(node: Node, vals: list, opts: Options) -> pa.Array:
     k = node.kind
     at = arrow_type(node.dtype)
     if k == "scalar":
+        if opts.float_digits and isinstance(node.dtype, (T.FloatType, T.DoubleType)):
+            fmt = f".{int(opts.float_digits)}g"
+            vals = [None if v is None else float(format(v, fmt)) for v in vals]
         return pa.array(vals, type=at)
     if k == "enum":
         if opts.enums == "int":
@@ -184,6 +187,9 @@ def _convert(node: Node, vals: list, opts: Options) -> pa.Array:
         return arr if opts.duration == "micros" else arr.cast(at)
     if k == "wrapper":
         inner = [None if w is None else w.value for w in vals]
+        if opts.float_digits and isinstance(node.dtype, (T.FloatType, T.DoubleType)):
+            fmt = f".{int(opts.float_digits)}g"
+            inner = [None if v is None else float(format(v, fmt)) for v in inner]
         if isinstance(node.dtype, T.LongType) and node.full_name.endswith("UInt64Value"):
             for v in inner:
                 if v is not None and v > _I64_MAX:

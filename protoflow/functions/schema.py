@@ -57,6 +57,7 @@ class Options:
     oneof_case: bool = False          # add "<oneof>_case" string columns
     max_depth: int = 16               # recursion cut-off; deeper messages become JSON text
     type_overrides: tuple = ()        # ((full_name, fn(message) -> value, DataType), ...)
+    float_digits: int | None = None   # round float/double values to this many significant digits
 
     def __post_init__(self):
         checks = {"absent": ("null", "default"), "names": ("proto", "camel"),
@@ -66,6 +67,8 @@ class Options:
         for k, allowed in checks.items():
             if getattr(self, k) not in allowed:
                 raise ValueError(f"{k}={getattr(self, k)!r}; expected one of {allowed}")
+        if self.float_digits is not None and not (1 <= int(self.float_digits) <= 17):
+            raise ValueError("float_digits must be between 1 and 17")
 
 
 def make_options(type_overrides=None, **kw) -> Options:

@@ -207,3 +207,10 @@ def test_jvm_engine_is_guarded(spark):
             decode(df, VIEW, engine="jvm")
     with pytest.raises(ValueError, match="does not support"):
         decode(df, VIEW, engine="jvm", names="camel")
+
+
+def test_float_digits(spark):
+    cls = D.message_class(*VIEW)
+    df = _bytes_df(spark, [cls(view_id="f", latitude=3.14159265358979, max_downscale_percentage=0.123456)])
+    r = decode(df, VIEW, fields=["latitude", "max_downscale_percentage"], float_digits=3).first()
+    assert r["latitude"] == 3.14 and abs(r["max_downscale_percentage"] - 0.123) < 1e-7
