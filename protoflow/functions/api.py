@@ -40,7 +40,7 @@ def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | N
            duration: str = "interval", oneof_case: bool = False, max_depth: int = 16,
            type_overrides=None, mode: str = "failfast", expanded: bool = True,
            out: str = "value", engine: str = "python", float_digits: int | None = None,
-           _registry=None, _id_col=None) -> DataFrame:
+           registry=None, _registry=None, _id_col=None) -> DataFrame:
     """Binary column -> typed columns (``expanded``) or one struct column ``out``.
 
     One row in, one row out.  ``mode="permissive"`` turns unparseable rows into NULLs
@@ -48,6 +48,15 @@ def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | N
     ``engine="jvm"`` uses Spark's built-in ``from_protobuf`` (needs the spark-protobuf
     package on the classpath; proto names, enum names, Timestamp -> timestamp only).
     """
+    if registry is not None:
+        # framed records: header parsed natively, payload read into ``message`` (the reader)
+        from ..operators.registry import decode_registered
+        return decode_registered(df, registry, _resolve(message, descriptor_set), col=col, keep=keep,
+                                 mode=mode, fields=fields, absent=absent, names=names, enums=enums,
+                                 uint64=uint64, timestamp=timestamp, duration=duration,
+                                 oneof_case=oneof_case, max_depth=max_depth,
+                                 type_overrides=type_overrides, expanded=expanded, out=out,
+                                 float_digits=float_digits)
     desc_set, msg = _resolve(message, descriptor_set)
     if engine == "jvm" and float_digits is not None:
         raise ValueError("engine='jvm' does not support options ['float_digits']; use engine='python'")
@@ -122,8 +131,9 @@ def _decode_jvm(df, desc_set, msg, col, fields, keep, absent, names, enums, uint
     return parsed.select(*keep, *picked)
 
 
-def encode(df: DataFrame, message, cols=None, col: str | None = None, out: str = "value",
+def encode(df: DataFrame, message=None, cols=None, col: str | None = None, out: str = "value",
            keep=(), descriptor_set: bytes | None = None, partial_ok: bool = False,
+           registry=None, subject: str | None = None, schema_id=None,
            _registry=None, _id_col=None) -> DataFrame:
     """Columns (or one struct column ``col``) -> serialized message in binary column ``out``.
 
@@ -132,6 +142,11 @@ def encode(df: DataFrame, message, cols=None, col: str | None = None, out: str =
     Timestamp fields take timestamp / timestamp_ntz (wall clock read as UTC),
     epoch seconds or RFC 3339 text; Duration fields take day-time intervals.
     """
+    if registry is not None:
+        # encode with the registered schema(s) and prefix the 5-byte header
+        from ..operators.registry import encode_registered
+        return encode_registered(df, registry, subject=subject, schema_id=schema_id, cols=cols,
+                                 col=col, out=out, keep=keep)
     desc_set, msg = _resolve(message, descriptor_set)
     keep = tuple(keep)
     if col is None:

@@ -248,3 +248,13 @@ def test_field_presence_equals_decoded_counts(spark, sf_small):
     orders = FX.order_messages(spark, sf_small)                  # proto3: ordinary class
     pres = {r["field"]: r["n_set"] for r in field_presence(orders, D.order_msg()).collect()}
     assert pres["total_price"] == orders.count() and pres["attrs"] == 0
+
+
+def test_registry_through_decode_and_encode_arguments(spark, sf_small):
+    reg, sid = register_schema(empty_registry(spark), "events-value", D.event_msg(1))
+    rows = FX.event_rows(spark, sf_small)
+    framed = encode(rows, registry=reg, subject="events-value", keep=("event_id",)) \
+        .withColumnRenamed("event_id", "src_id")
+    out = decode(framed, D.event_msg(1), registry=reg, keep=("src_id",), fields=["event_id"])
+    assert out.where("src_id <> event_id").count() == 0 and out.count() == rows.count()
+    assert {r[0] for r in out.select("_schema_id").distinct().collect()} == {sid}
