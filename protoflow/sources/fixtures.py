@@ -6,7 +6,7 @@ from ``events`` / ``orders`` rows, so the work grows with the tables:
 * EventMsg  - one message per ``events`` row (``value`` unset for ``error``).
 * view record - one message per view = the events of one user, in (ts, event_id)
   order.  A user with more than ``max_events`` events is split into
-  ``ceil(n / max_events)`` views by ``event_id`` modulo, so no message and no
+  ``ceil(n / max_events)`` views by a hash of the event, so no message and no
   group grows without bound even when one user holds a third of all rows.
 * OrderMsg  - one message per ``orders`` row (enums, bytes, unsigned, wrappers, map).
 """
@@ -57,10 +57,10 @@ def view_rows(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS_PER
     # shuffle join whose skewed partitions AQE splits.
     counts = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     ev = (ev.join(counts, "user_id", "left")
+            # a hash, not event_id modulo: ids handed out with a stride would all share one
+            # residue and put a hot user back into a single view
             .withColumn("_split", F.coalesce(
-                # rows without an event_id spread by a deterministic hash of the row instead
-                F.pmod(F.coalesce(F.col("event_id"), F.xxhash64("ts", "event_type", "value", "props")),
-                       F.ceil(F.col("_n") / F.lit(max_events))),
+                F.pmod(F.xxhash64("event_id", "ts", "event_type"), F.ceil(F.col("_n") / F.lit(max_events))),
                 F.lit(0))))
     # Hash-partition on the view key with the session's shuffle width: every key is
     # bounded (<= max_events rows), so no partition can be skewed, and the explicit
