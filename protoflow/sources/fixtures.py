@@ -21,7 +21,6 @@ from ..functions import descriptors as D
 from ..functions.api import encode
 
 MAX_EVENTS_PER_VIEW = 5000
-EPOCH_NTZ = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
