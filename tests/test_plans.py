@@ -54,3 +54,13 @@ def test_view_grouping_shuffles_on_the_bounded_view_key(spark, sf_small):
     p = plan(FX.view_rows(spark, sf_small))
     assert "hashpartitioning(user_id" in p and "_split" in p and "REPARTITION_BY_NUM" in p
     assert "Window" not in p                       # no per-user window over a hot key
+
+
+def test_spread_only_touches_small_inputs(spark, sf_small):
+    from protoflow._session import spread
+    small = spark.read.parquet(f"{sf_small}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert small.rdd.getNumPartitions() < cores
+    assert spread(small).rdd.getNumPartitions() == cores
+    wide = small.repartition(cores * 2)
+    assert spread(wide) is wide                    # enough splits already: no extra shuffle
