@@ -184,6 +184,11 @@ FROM events GROUP BY event_type"""
         f"SELECT rel, day FROM (SELECT {_rel()} AS rel, strftime(view_start, '%Y/%m/%d') AS day FROM views) f "
         "QUALIFY row_number() OVER (PARTITION BY day ORDER BY md5(rel), rel) "
         "<= floor(0.25 * count(*) OVER (PARTITION BY day))")
+    q["q45_read_sampled"] = _with(
+        f"SELECT view_id, CAST(view_start AS DATE) AS view_date, watch_time FROM "
+        f"(SELECT *, {_rel()} AS rel, strftime(view_start, '%Y/%m/%d') AS day FROM views) f "
+        "QUALIFY row_number() OVER (PARTITION BY day ORDER BY md5(rel), rel) "
+        "<= floor(0.25 * count(*) OVER (PARTITION BY day))")
     q["q23b_sample_events"] = (
         "SELECT event_id, event_type FROM events "
         "QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) "

@@ -99,13 +99,46 @@ def read_raw(spark: SparkSession, base: str, day: str | None = None, hours=None,
     return with_path_partition(df)
 
 
-def read_messages(spark: SparkSession, base: str, message, day: str | None = None, hours=None,
+def _read_paths(batches, path_col: str):
+    for batch in batches:
+        paths = batch.column(path_col).to_pylist()
+        blobs, sizes = [], []
+        for p in paths:
+            fs, local = open_fs(p)
+            with fs.open_input_stream(local) as fh:
+                data = fh.read()
+            blobs.append(data)
+            sizes.append(len(data))
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()),
+                                          pa.array(blobs, pa.binary())],
+                                         names=[path_col, "length", "content"])
+
+
+def read_listed(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """Content of exactly the files in ``files`` (e.g. a sample of a listing), read by the
+    executors: path, length, content.  The list stays distributed (never collected), and
+    files outside it are never opened - a join against a full binaryFile scan would read
+    every file first."""
+    ensure_shipped(files.sparkSession)
+    fn = partial(_read_paths, path_col=path_col)
+    return files.select(path_col).mapInArrow(
+        fn, T.StructType([T.StructField(path_col, T.StringType(), True),
+                          T.StructField("length", T.LongType(), True),
+                          T.StructField("content", T.BinaryType(), True)]))
+
+
+def read_messages(spark: SparkSession, base: str | None, message, day: str | None = None, hours=None,
                   glob: str | None = None, contains: str | None = None,
-                  keep=("path", "view_date", "view_hour"), **decode_options) -> DataFrame:
-    """One scan over the files, decoded on the executors: never a loop over files."""
+                  keep=("path", "view_date", "view_hour"), files: DataFrame | None = None,
+                  **decode_options) -> DataFrame:
+    """One scan over the files, decoded on the executors: never a loop over files.
+    With ``files`` (a DataFrame of paths, e.g. from ``sample_files``) only those are read."""
     from ..functions.api import decode
 
-    raw = read_raw(spark, base, day, hours, glob, contains)
+    if files is not None:
+        raw = with_path_partition(read_listed(files))
+    else:
+        raw = read_raw(spark, base, day, hours, glob, contains)
     return decode(raw, message, col="content", keep=keep, **decode_options)
 
 
