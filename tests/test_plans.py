@@ -64,3 +64,11 @@ def test_spread_only_touches_small_inputs(spark, sf_small):
     assert spread(small).rdd.getNumPartitions() == cores
     wide = small.repartition(cores * 2)
     assert spread(wide) is wide                    # enough splits already: no extra shuffle
+
+
+def test_sampled_read_lists_without_content(spark, sf_small):
+    from protoflow.plans.catalog import q45_read_sampled
+    p = plan(q45_read_sampled(spark, sf_small))
+    assert "content" not in [line for line in p.splitlines() if "ReadSchema" in line][0]
+    import re
+    assert len(re.findall(r"^\(\d+\) MapInArrow", p, re.M)) == 2   # read the chosen files, then decode
