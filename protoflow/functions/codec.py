@@ -126,15 +126,22 @@ def _raw_all(nodes: list, msgs: list, opts: Options) -> list[list]:
     wide, sparsely filled record costs per set field, not per declared field.
     """
     n = len(msgs)
-    by_number = {node.number: j for j, node in enumerate(nodes) if node.kind != "oneof_case"}
     cols: list[list] = [[None] * n for _ in nodes]
-    for i, m in enumerate(msgs):
-        if m is None:
-            continue
-        for fd, v in m.ListFields():
-            j = by_number.get(fd.number)
-            if j is not None:
-                cols[j][i] = v
+    first = next((m for m in msgs if m is not None), None)
+    if first is not None:
+        # keyed by the field descriptors of the class actually parsed (possibly a pruned
+        # copy), so the loop does one dict lookup per set field and no attribute reads
+        by_number = first.DESCRIPTOR.fields_by_number
+        slot = {by_number[node.number]: j for j, node in enumerate(nodes)
+                if node.kind != "oneof_case" and node.number in by_number}
+        get = slot.get
+        for i, m in enumerate(msgs):
+            if m is None:
+                continue
+            for fd, v in m.ListFields():
+                j = get(fd)
+                if j is not None:
+                    cols[j][i] = v
     for j, node in enumerate(nodes):
         if node.kind == "oneof_case":
             a = node.attr
