@@ -14,6 +14,7 @@ from decimal import Decimal
 
 import pyarrow as pa
 from google.protobuf import json_format
+from google.protobuf.message import EncodeError
 from pyspark.sql import types as T
 
 from .descriptors import message_class, pruned_class, shallow_class
@@ -806,10 +807,11 @@ def encode_batches(batches, desc_set: bytes, message: str, in_schema: T.StructTy
 def _serialize(m, cls, partial: bool) -> bytes:
     if partial:
         return m.SerializePartialToString()
-    if not m.IsInitialized():
+    try:
+        return m.SerializeToString()          # checks required fields itself
+    except EncodeError:
         raise ValueError(f"required field(s) {m.FindInitializationErrors()} of "
-                         f"{cls.DESCRIPTOR.full_name} are NULL")
-    return m.SerializeToString()
+                         f"{cls.DESCRIPTOR.full_name} are NULL") from None
 
 
 def _encode_slow(batch, n, ids, targets, cols, struct_col, partial):
