@@ -258,3 +258,14 @@ def test_registry_through_decode_and_encode_arguments(spark, sf_small):
     out = decode(framed, D.event_msg(1), registry=reg, keep=("src_id",), fields=["event_id"])
     assert out.where("src_id <> event_id").count() == 0 and out.count() == rows.count()
     assert {r[0] for r in out.select("_schema_id").distinct().collect()} == {sid}
+
+
+def test_writer_leaves_no_temp_files(spark, tree):
+    import pyarrow.fs as pafs
+
+    from protoflow._session import open_fs
+    base, n = tree
+    fs, root = open_fs(base)
+    names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(root, recursive=True))
+             if i.type == pafs.FileType.File]
+    assert len(names) == n and not [x for x in names if x.startswith(".") or x.endswith(".tmp")]

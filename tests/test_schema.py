@@ -128,3 +128,19 @@ def test_nested_pruning():
     ev = p.FromString(m.SerializePartialToString()).events[0]
     assert [f.name for f, _ in ev.ListFields()] == ["type"] and ev.type == "x"
     assert full.FromString(p.FromString(m.SerializePartialToString()).SerializePartialToString()) == m
+
+
+def test_decode_reslices_large_batches(monkeypatch):
+    import pyarrow as pa
+
+    from protoflow.functions import codec
+    from protoflow.functions.schema import make_options
+    ds, mn = D.view_record()
+    cls = D.message_class(ds, mn)
+    blobs = [cls(view_id=str(i), custom_1="x" * 100).SerializePartialToString() for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], names=["value"])
+    monkeypatch.setattr(codec, "MAX_SLICE_BYTES", 1000)     # ~9 messages per slice
+    out = list(codec.decode_batches([batch], ds, mn, ["view_id"], make_options(), "value", (), False,
+                                    True, "value"))
+    assert len(out) > 1
+    assert [v for b in out for v in b.column(0).to_pylist()] == [str(i) for i in range(50)]
