@@ -76,15 +76,19 @@ def compare(spark_table, duck_table):
 def main(argv=None):
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--conf", action="append", default=[], help="extra session conf k=v")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args(argv)
     sys.path.insert(0, ".")
     import __spark_entry__ as E
     from pyspark.sql import SparkSession
 
-    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "America/New_York")
-             .getOrCreate())
+    builder = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+               .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "America/New_York"))
+    for kv in a.conf:
+        k, v = kv.split("=", 1)
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(a.sf)
     qs, os_ = E.queries(), E.oracle_sql()
