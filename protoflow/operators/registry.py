@@ -83,8 +83,15 @@ def registry_map(registry) -> dict[int, tuple[bytes, str]]:
 
 def frame(df: DataFrame, col: str, schema_id, out: str | None = None) -> DataFrame:
     """Prefix ``col`` with the 5-byte header; ``schema_id`` is an int or a column name."""
-    sid = F.lit(int(schema_id)) if isinstance(schema_id, int) else F.col(schema_id)
-    header = F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(sid.cast("int")), 8, "0")))
+    if isinstance(schema_id, int):
+        if not 0 <= schema_id < 2**31:
+            raise ValueError(f"schema id {schema_id} outside 0..2^31-1")
+        sid = F.lit(schema_id)
+    else:
+        raw = F.col(schema_id).cast("long")
+        sid = F.when(raw.between(0, 2**31 - 1), raw).otherwise(
+            F.raise_error(F.concat(F.lit("schema id outside 0..2^31-1: "), raw.cast("string"))))
+    header = F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(sid), 8, "0")))
     return df.withColumn(out or col, F.concat(header, F.col(col)))
 
 

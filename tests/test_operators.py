@@ -269,3 +269,13 @@ def test_writer_leaves_no_temp_files(spark, tree):
     names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(root, recursive=True))
              if i.type == pafs.FileType.File]
     assert len(names) == n and not [x for x in names if x.startswith(".") or x.endswith(".tmp")]
+
+
+def test_frame_rejects_out_of_range_ids(spark):
+    df = spark.createDataFrame([(bytearray(b"\x01"), -1)], "value binary, sid int")
+    with pytest.raises(ValueError):
+        frame(df, "value", -1)
+    with pytest.raises(Exception, match="outside"):
+        frame(df, "value", "sid").collect()
+    ok = unframe(frame(df.withColumn("sid", F.lit(2**31 - 1)), "value", "sid"), "value").first()
+    assert ok["_schema_id"] == 2**31 - 1
