@@ -99,19 +99,24 @@ def read_raw(spark: SparkSession, base: str, day: str | None = None, hours=None,
     return with_path_partition(df)
 
 
+IO_THREADS = 16      # concurrent file operations per task (object stores are latency-bound)
+
+
 def _read_paths(batches, path_col: str):
-    for batch in batches:
-        paths = batch.column(path_col).to_pylist()
-        blobs, sizes = [], []
-        for p in paths:
-            fs, local = open_fs(p)
-            with fs.open_input_stream(local) as fh:
-                data = fh.read()
-            blobs.append(data)
-            sizes.append(len(data))
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()),
-                                          pa.array(blobs, pa.binary())],
-                                         names=[path_col, "length", "content"])
+    from concurrent.futures import ThreadPoolExecutor
+
+    def read_one(p):
+        fs, local = open_fs(p)
+        with fs.open_input_stream(local) as fh:
+            return fh.read()
+
+    with ThreadPoolExecutor(max_workers=IO_THREADS) as pool:
+        for batch in batches:
+            paths = batch.column(path_col).to_pylist()
+            blobs = list(pool.map(read_one, paths))              # order preserved
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array([len(b) for b in blobs], pa.int64()),
+                 pa.array(blobs, pa.binary())], names=[path_col, "length", "content"])
 
 
 def read_listed(files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -162,34 +167,37 @@ def land_raw_day(spark: SparkSession, base: str, day: str, path: str) -> DataFra
 # Writing one message per file (Spark has no binary-file sink)
 # ---------------------------------------------------------------------------
 def _write_files(batches, base: str, path_col: str, content_col: str):
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark import TaskContext
 
     ctx = TaskContext.get()
     attempt = f"{ctx.stageId()}-{ctx.partitionId()}-{ctx.attemptNumber()}" if ctx else "0"
     fs, root = open_fs(base)
     made: set = set()
-    for batch in batches:
-        rels = batch.column(path_col).to_pylist()
-        blobs = batch.column(content_col).to_pylist()
-        paths, sizes = [], []
-        for rel, blob in zip(rels, blobs):
-            full = f"{root.rstrip('/')}/{rel.lstrip('/')}"
-            parent = full.rsplit("/", 1)[0]
-            if parent not in made:
+
+    def write_one(full: str, blob: bytes) -> None:
+        # write a hidden per-attempt temp file, then rename it into place: a task lost
+        # mid-write leaves no partial message visible (listings skip dot-files), and a
+        # retry rewrites the same deterministic name with the same bytes
+        parent_dir, name = full.rsplit("/", 1)
+        tmp = f"{parent_dir}/.{name}.{attempt}.tmp"
+        with fs.open_output_stream(tmp) as fh:
+            fh.write(blob)
+        fs.move(tmp, full)
+
+    with ThreadPoolExecutor(max_workers=IO_THREADS) as pool:
+        for batch in batches:
+            rels = batch.column(path_col).to_pylist()
+            blobs = [b or b"" for b in batch.column(content_col).to_pylist()]
+            paths = [f"{root.rstrip('/')}/{rel.lstrip('/')}" for rel in rels]
+            for parent in {p.rsplit("/", 1)[0] for p in paths} - made:
                 fs.create_dir(parent, recursive=True)
                 made.add(parent)
-            # write a hidden per-attempt temp file, then rename it into place: a task lost
-            # mid-write leaves no partial message visible (listings skip dot-files), and a
-            # retry rewrites the same deterministic name with the same bytes
-            parent_dir, name = full.rsplit("/", 1)
-            tmp = f"{parent_dir}/.{name}.{attempt}.tmp"
-            with fs.open_output_stream(tmp) as fh:
-                fh.write(blob or b"")
-            fs.move(tmp, full)
-            paths.append(full)
-            sizes.append(len(blob or b""))
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())],
-                                         names=["file", "bytes"])
+            list(pool.map(write_one, paths, blobs))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()),
+                                              pa.array([len(b) for b in blobs], pa.int64())],
+                                             names=["file", "bytes"])
 
 
 def write_message_files(df: DataFrame, base: str, path_col: str = "relpath",
