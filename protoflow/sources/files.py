@@ -155,7 +155,8 @@ def land_raw_day(spark: SparkSession, base: str, day: str, path: str) -> DataFra
     """Copy one day of message files into a Parquet table partitioned by ``view_date``.
 
     Dynamic partition overwrite: a rerun replaces that day only, other days stay.
-    Returns the landed day read back (path, modificationTime, length, content, view_date).
+    Returns the whole landed table read back (path, modificationTime, length, content,
+    view_date); ``day`` may be a glob such as ``"*/*/*"`` to land every day in one job.
     """
     raw = read_raw(spark, base, day).drop("view_hour")
     (raw.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
