@@ -29,6 +29,7 @@ MAX_SLICE_BYTES = 32 << 20      # input bytes parsed per output batch
 # Spark type -> Arrow type
 # ---------------------------------------------------------------------------
 def arrow_type(dt: T.DataType) -> pa.DataType:
+    """Arrow type that ``mapInArrow`` must emit for a Spark type."""
     if isinstance(dt, T.BooleanType):
         return pa.bool_()
     if isinstance(dt, T.ByteType):
@@ -80,11 +81,13 @@ def _frac(nanos: int) -> str:
 
 
 def timestamp_text(seconds: int, nanos: int) -> str:
+    """RFC 3339 text as the protobuf JSON mapping writes it (0, 3, 6 or 9 fraction digits)."""
     day = _EPOCH + _dt.timedelta(seconds=seconds)
     return day.strftime("%Y-%m-%dT%H:%M:%S") + _frac(nanos) + "Z"
 
 
 def duration_text(seconds: int, nanos: int) -> str:
+    """Duration text as the protobuf JSON mapping writes it, e.g. ``-1.500s``."""
     sign = "-" if seconds < 0 or nanos < 0 else ""
     return f"{sign}{abs(seconds)}{_frac(abs(nanos))}s"
 

@@ -72,6 +72,7 @@ class Options:
 
 
 def make_options(type_overrides=None, **kw) -> Options:
+    """Options from keyword arguments; ``type_overrides`` as {full_name: (fn, DataType)}."""
     ov = tuple((k, v[0], v[1]) for k, v in (type_overrides or {}).items())
     return Options(type_overrides=ov, **kw)
 
@@ -227,6 +228,7 @@ def _message_nodes(desc, opts: Options, sel, depth: int) -> list[Node]:
 
 
 def build_plan(desc_set: bytes, message: str, fields=None, opts: Options | None = None) -> list[Node]:
+    """Top-level ``Node`` list of ``message`` restricted to ``fields`` (dotted paths)."""
     opts = opts or Options()
     return _message_nodes(message_descriptor(desc_set, message), opts, _selection(fields), 0)
 
@@ -269,6 +271,7 @@ def snake_name(name: str) -> str:
 
 
 def camel_name(name: str) -> str:
+    """snake_case -> lowerCamelCase (the JSON name protobuf derives)."""
     head, *rest = name.split("_")
     return head + "".join(p[:1].upper() + p[1:] for p in rest)
 

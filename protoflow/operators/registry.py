@@ -31,6 +31,7 @@ MAX_REGISTRY_ROWS = 100_000     # registries hold schema versions, not data; che
 
 
 def empty_registry(spark: SparkSession) -> DataFrame:
+    """A registry table with no schemas yet."""
     return spark.createDataFrame([], REGISTRY_SCHEMA)
 
 

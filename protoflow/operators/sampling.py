@@ -27,6 +27,7 @@ _H60 = float(1 << 60)
 
 
 def order_hash(key: Column, seed: int = 0) -> Column:
+    """md5 of the key text (seeded): the deterministic "random" order used for sampling."""
     text = key.cast("string")
     if seed:
         text = F.concat(F.lit(f"{seed}:"), text)

@@ -34,6 +34,7 @@ def flatten_view(df: DataFrame, col: str = "value", message=None, fields=VIEW_CO
 
 
 def flatten_view_94(df: DataFrame, col: str = "value", **kw) -> DataFrame:
+    """The 94-column flat table: the 90 plus custom_2..5 under their business names."""
     cols = list(VIEW_COLUMNS_90)
     at = cols.index("country_name") + 1
     fields = cols[:at] + list(VIEW_RENAMES) + cols[at:]

@@ -514,3 +514,6 @@ SURVEY_ROWS = {
     "q45_read_sampled": "S3 S8 (read only the sampled files) - the main ingest path",
 }
 assert set(SURVEY_ROWS) == set(QUERIES)
+for _name, _fn in QUERIES.items():
+    if not _fn.__doc__:
+        _fn.__doc__ = f"SURVEY rows: {SURVEY_ROWS[_name]}."

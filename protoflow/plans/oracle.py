@@ -97,6 +97,7 @@ _VALUE = "CASE WHEN event_type <> 'error' THEN value END"
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL per query key, over the raw tables (whitespace collapsed to one line)."""
     q: dict[str, str] = {}
     q["q00_min_slice"] = f"""
 SELECT event_type, count(*) AS n, count({_VALUE}) AS n_value, CAST(sum(event_id) AS BIGINT) AS sum_event_id,

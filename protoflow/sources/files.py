@@ -148,6 +148,7 @@ def read_messages(spark: SparkSession, base: str | None, message, day: str | Non
 
 
 def read_day(spark: SparkSession, base: str, day: str, message, hours=None, **decode_options):
+    """Decoded messages of one day folder (``yyyy/mm/dd``), optionally some hours."""
     return read_messages(spark, base, message, day=day, hours=hours, **decode_options)
 
 
