@@ -86,7 +86,7 @@ def failures(counts: DataFrame) -> DataFrame:
         "short": n < 10,
         "repeats": F.col("n_repeat_words") * 100 > n * 20,
         "symbols": F.col("n_symbols") * 10 > n,
-        "dup_lines": F.col("n_dup_lines") * 10 > F.col("n_lines") * 3,
+        "dup_lines": (F.col("n_dup_lines") >= 4) & (F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
         "word_length": (F.col("word_chars") < n * 2) | (F.col("word_chars") > n * 20),
     }
     return counts.select("*", *[fails[r].alias(f"fails_{r}") for r in RULES],

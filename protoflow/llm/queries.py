@@ -84,7 +84,7 @@ QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_best_fit_packing, op3_lm_scoring, op4_binary_ids, op5_sharding, op6_jaccard_join,
     op7_decontamination, op8_line_dedup, op9_language_id, op10_quality_rules)}
 
-_WORDS = "list_filter(string_split_regex(lower(coalesce({}, '')), '[ \\t-\\r]+'), w -> w <> '')"
+_WORDS = "[x FOR x IN string_split_regex(lower(coalesce({}, '')), '[ \\t-\\r]+') IF x <> '']"
 
 ORACLE = {
     "op7_decontamination": f"""
@@ -100,12 +100,12 @@ FROM dg JOIN bg USING (g) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) * 10 >= n_item * 8""",
     "op8_line_dedup": """
 WITH l AS (SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line,
-                  generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents WHERE text IS NOT NULL),
+                  generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 shared AS (SELECT line, min(doc_id) AS first FROM l WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
            GROUP BY line HAVING count(DISTINCT site) >= 3),
 kept AS (SELECT doc_id, count(*) AS n_lines,
                 count(*) FILTER (WHERE first IS NOT NULL AND doc_id <> first) AS n_removed,
-                coalesce(string_agg(l.line, chr(10) ORDER BY at) FILTER (WHERE first IS NULL OR doc_id = first), '') AS text
+                coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE first IS NULL OR doc_id = first), '') AS text
          FROM l LEFT JOIN shared USING (line) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept.text AS text
 FROM documents LEFT JOIN kept USING (doc_id)""",
