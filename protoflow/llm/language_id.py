@@ -1,8 +1,8 @@
 """Language identification in two steps: the family first, then the language within it.
 
 Texts become hashed counts of one to three bytes (square roots, unit length).  Families are
-not given: languages whose mean vectors, less the mean of all, point the same way are merged
-until none do.  One linear support vector machine per family tells it from the rest; within a
+not given: the languages whose mean vectors, less the mean of all, point most the same way are
+merged until about as many families are left as a family has languages.  One linear support vector machine per family tells it from the rest; within a
 family one machine per pair of languages votes.  Fitting uses a bounded sample, drawn by hash
 with an equal share per language; prediction reads every whole text.
 """
@@ -64,16 +64,14 @@ def machine(x: np.ndarray, positive: np.ndarray, rounds: int = 150, margin: floa
 
 
 def families(means: np.ndarray) -> list[list[int]]:
-    """Languages merged, closest groups first, while two groups lie on one side of the common mean."""
+    """Languages merged, closest groups first, into about as many families as a family has languages."""
     centred = means - means.mean(axis=0)
     groups = [[i] for i in range(len(means))]
-    while len(groups) > 1:
+    while len(groups) > np.ceil(np.sqrt(len(means))):
         centre = np.array([centred[g].mean(axis=0) for g in groups])
         centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
-        near = centre @ centre.T - 2 * np.eye(len(groups))
+        near = centre @ centre.T - 3 * np.eye(len(groups))
         i, j = np.unravel_index(np.argmax(near), near.shape)
-        if near[i, j] <= 0:
-            break
         groups[min(i, j)] += groups.pop(max(i, j))
     return groups
 
