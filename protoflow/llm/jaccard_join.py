@@ -1,8 +1,10 @@
 """Exact self-join of documents on shingle overlap, by a token-group matrix.
 
-Texts with equal shingle sets form one node, known by a hash of its set.  Under one fixed
-order of the shingles (common ones last, else by hash) two sets of similarity t or more share
-one of their first ``n - ceil(t n) + 1`` shingles, so only these prefixes are indexed.  Nodes
+Texts with equal shingle sets form one node, known by a hash of its set.  Under any one order
+of the shingles two sets of similarity t or more share one of their first
+``n - ceil(t n) + 1`` shingles, so only these prefixes are indexed.  The order takes rare
+shingles first, by a sketch of fixed size that counts all shingles of the corpus by hash (ties
+by hash): it decides how many candidates there are, never which links are found.  Nodes
 that share a prefix shingle with another node are partitioned into groups of similar sets (by
 smallest hash, about GROUP nodes each); the matrix has, for every prefix shingle, the groups
 whose union holds it.  A group is a candidate for another where their rows of the matrix meet;
@@ -30,7 +32,8 @@ WORDS = 3
 PERCENT = 90
 GROUP = 32             # nodes of a group, on average
 GROUP_SHINGLES = 1 << 18
-COMMON = 0.002         # share of documents from which a shingle counts as common
+SLOTS = 1 << 22        # counters of the sketch that orders the shingles; its size bounds what is broadcast
+PAGE = 1 << 16
 
 
 def shingle_sets(texts: list[bytes], n: int = WORDS):
@@ -68,44 +71,65 @@ def _signature(w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, n: int) -> DataFrame:
-    """One row per document (key, row, size, node, low) and, with ``common``, one per locally common shingle."""
+    """One row per document (key, row, size, node, low), and the pages (page, counts) of every task's
+    sketch of shingle counts."""
     schema = only(docs, key="key").schema.add("row", "long").add("size", "long").add("node", "long").add(
-        "low", "long").add("common", "long")
+        "low", "long").add("page", "long").add("counts", "binary")
+    names = [f.name for f in schema]
 
     def run(batches):
         import pyarrow as pa
 
+        sketch = np.zeros(SLOTS, np.uint32)
+        kind = None
         for batch in batches:
-            many = []
+            kind = batch.schema.field(0).type
             for a, b, w, of, bounds in _sets(batch.column(2), n):
-                many.append(w)
+                np.add.at(sketch, (w & np.uint64(SLOTS - 1)).astype(np.int64), np.uint32(1))
                 low = np.zeros(b - a, np.uint64)
                 some = np.flatnonzero(np.diff(bounds))
                 low[some] = w[bounds[:-1][some]]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(bounds)),
                      pa.array(_signature(w, bounds).view(np.int64)), pa.array(low.view(np.int64)),
-                     pa.nulls(b - a, pa.int64())], names=names)
-            w, count = np.unique(np.concatenate(many) if many else np.zeros(0, np.uint64), return_counts=True)
-            often = count >= max(8, COMMON / 2 * batch.num_rows)
-            if often.any():
-                m = int(often.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(m, batch.schema.field(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                     pa.nulls(m, pa.int64()), pa.array(w[often].view(np.int64)), pa.array(count[often])], names=names)
+                     pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.binary())], names=names)
+        pages = [p for p in range(0, SLOTS, PAGE) if sketch[p:p + PAGE].any()]
+        if pages:
+            none = pa.nulls(len(pages), pa.int64())
+            small = np.minimum(sketch, 0xFFFF).astype("<u2")      # of one task: a shingle this common is last anyway
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(pages), kind), none, none, none, none, pa.array(pages, pa.int64()),
+                 pa.array([small[p:p + PAGE].tobytes() for p in pages], pa.binary())], names=names)
 
-    names = [f.name for f in schema]
     return docs.select("key", "row", "text").mapInArrow(run, schema)
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFrame:
+def _sketch(pages: DataFrame) -> np.ndarray:
+    """The summed sketch: pages are added on the executors, the driver gets SLOTS numbers whatever the corpus."""
+    def add_up(group):
+        import pyarrow as pa
+
+        total = np.zeros(PAGE, np.uint64)
+        for x in group.column("counts"):
+            total += np.frombuffer(x.as_buffer(), "<u2")
+        # steps of a twentieth keep the order of counts in two bytes
+        level = np.minimum(20 * np.log2(1 + total.astype(float)), 0xFFFF).astype("<u2")
+        return pa.table({"page": group.column("page").slice(0, 1), "counts": pa.array([level.tobytes()], pa.binary())})
+
+    out = np.zeros(SLOTS, np.uint16)
+    for r in pages.groupBy("page").applyInArrow(add_up, "page long, counts binary").toLocalIterator():
+        out[r["page"]:r["page"] + PAGE] = np.frombuffer(r["counts"], "<u2")
+    return out
+
+
+def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
     """(token, node, size): the prefix shingles of every set."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
         import pyarrow as pa
 
-        hot, seen = shared.value, set()
+        level, seen = shared.value, set()
         for batch in batches:
             for _, _, w, of, bounds in _sets(batch.column(0), n):
                 size, node = np.diff(bounds), _signature(w, bounds).view(np.int64)
@@ -115,10 +139,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> Data
                         keep[i] = True
                         if len(seen) < 1_000_000:
                             seen.add(x)
-                late = np.zeros(len(w), bool)
-                if len(hot):
-                    late = hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w
-                order = np.lexsort((w, late, of))
+                order = np.lexsort((w, level[(w & np.uint64(SLOTS - 1)).astype(np.int64)], of))
                 rank = np.arange(len(w)) - bounds[of]     # sorted by text, so places match
                 length = size - (size * percent + 99) // 100 + 1
                 mine = order[(rank < length[of]) & keep[of]]
@@ -224,9 +245,9 @@ def _grouped_by(nodes: DataFrame, by: str) -> DataFrame:
         "group", F.xxhash64(F.col(by), F.pmod(F.xxhash64("node"), F.col("parts")))).drop("parts")
 
 
-def similar_nodes(docs: DataFrame, nodes: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFrame:
+def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
     """Links (u, v) that connect every two nodes a chain of links connects."""
-    rows = written(_prefixes(docs, common, n, percent), "prefixes")
+    rows = written(_prefixes(docs, sketch, n, percent), "prefixes")
     token = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
     post = written(rows.join(token.select("token"), "token").distinct(), "matrix")
     active = (nodes.groupBy("node", "size", "low").agg(F.min("row").alias("row"))
@@ -273,12 +294,9 @@ def _placed(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataF
     src = only(docs, key=key, text=text)
     src = src.select("key", row_key(F.col("key"), F.col("text")).alias("row"), "text")
     found = written(_nodes(src, n), "shingles")
-    nodes = found.where("common is null")
-    rows = nodes.count()
-    often = found.where("common is not null").groupBy("low").agg(F.sum("common").alias("c"))
-    # At most (shingles of an average document) / COMMON shingles can be this common.
-    common = often.where(F.col("c") >= COMMON * rows).select("low").toPandas()["low"].to_numpy(np.int64)
-    links = similar_nodes(src, nodes.where("size > 0"), np.sort(common.view(np.uint64)), n, percent)
+    nodes = found.where("page is null").select("key", "row", "size", "node", "low")
+    sketch = _sketch(found.where("page is not null").select("page", "counts"))
+    links = similar_nodes(src, nodes.where("size > 0"), sketch, n, percent)
     return nodes.join(components(links), "node", "left").select(
         "key", "row", "size", F.when(F.col("size") > 0, F.coalesce("root", "node")).alias("root"))
 

@@ -26,7 +26,7 @@ _LETTER = re.compile(rb"[A-Za-z]")
 _SHIFT = np.uint64(64 - 11)
 
 
-def features(texts: list[bytes]) -> np.ndarray:
+def features(texts: list[bytes], orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     """One unit vector per text (zero for an empty one); grams do not cross texts."""
     out = np.zeros((len(texts), DIM), np.float32)
     for a, b in grouped(texts, 1 << 20):
@@ -35,11 +35,13 @@ def features(texts: list[bytes]) -> np.ndarray:
         of = np.repeat(np.arange(b - a), sizes)
         total = np.zeros((b - a) * DIM, np.int64)
         gram = data.copy()
-        for n in ORDERS:
+        for n in range(1, max(orders) + 1):
             if n > 1:
                 gram = (gram[:-1] << np.uint64(8)) | data[n - 1:]
             if not len(gram):
                 break
+            if n not in orders:
+                continue
             same = of[:len(gram)] == of[n - 1:]
             slot = ((gram + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15) >> _SHIFT).astype(np.int64)
             total += np.bincount((of[:len(gram)] * DIM + slot)[same], minlength=len(total))
