@@ -1,8 +1,10 @@
 """Exact self-join of documents on shingle overlap, by a token-group matrix.
 
 Texts with equal shingle sets form one node, known by a hash of its set.  Under any one order
-of the shingles two sets of similarity t or more share one of their first
-``n - ceil(t n) + 1`` shingles, so only these prefixes are indexed.  The order takes rare
+of the shingles two sets of similarity t or more share ``m`` of their first
+``n - ceil(t n) + m`` shingles, so only these prefixes are indexed, with ``m`` (``needed``) a
+share of the set's size: a text that has a passage or some phrases in common with others does
+not get that far.  The order takes rare
 shingles first, by a sketch of fixed size that counts all shingles of the corpus by hash (ties
 by hash): it decides how many candidates there are, never which links are found.  Nodes
 that share a prefix shingle with another node are partitioned into groups of similar sets (by
@@ -70,6 +72,18 @@ def _signature(w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix64(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
 
 
+def needed(size, percent: int):
+    """How many shingles the prefixes of two linked sets share at least, if the smaller has ``size``
+    (an array or a Column): half of what a set of that size may lack, plus one."""
+    part = size * (100 - percent) / 200
+    return 1 + (np.floor(part).astype(np.int64) if isinstance(size, np.ndarray) else F.floor(part + 1e-9))
+
+
+def least_needed(size, percent: int):
+    """``needed`` for the smallest set that a set of ``size`` can be linked with."""
+    return needed(F.ceil(size * percent / 100 - 1e-9), percent)
+
+
 def _nodes(docs: DataFrame, n: int) -> DataFrame:
     """One row per document (key, row, size, node, low), and the pages (page, counts) of every task's
     sketch of shingle counts."""
@@ -141,7 +155,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
                             seen.add(x)
                 order = np.lexsort((w, level[(w & np.uint64(SLOTS - 1)).astype(np.int64)], of))
                 rank = np.arange(len(w)) - bounds[of]     # sorted by text, so places match
-                length = size - (size * percent + 99) // 100 + 1
+                length = size - (size * percent + 99) // 100 + needed(size, percent)
                 mine = order[(rank < length[of]) & keep[of]]
                 if len(mine):
                     yield pa.RecordBatch.from_arrays(
@@ -247,18 +261,26 @@ def _grouped_by(nodes: DataFrame, by: str) -> DataFrame:
 
 def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
     """Links (u, v) that connect every two nodes a chain of links connects."""
-    rows = written(_prefixes(docs, sketch, n, percent), "prefixes")
-    token = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
-    post = written(rows.join(token.select("token"), "token").distinct(), "matrix")
+    post = written(_prefixes(docs, sketch, n, percent), "prefixes")
+    for _ in range(2):                                    # those that are left may have lost their partners
+        dealt = post.repartition("token")
+        token = dealt.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
+        shared = dealt.join(token.select("token"), "token").distinct()
+        enough = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("s")).where(
+            F.col("c") >= least_needed(F.col("s"), percent)).select("node")
+        post = written(shared.join(enough, "node"), "matrix").select("token", "node", "size")
     active = (nodes.groupBy("node", "size", "low").agg(F.min("row").alias("row"))
               .join(post.select("node").distinct(), "node", "left_semi"))
     active = written(_grouped_by(active, "low"), "groups")
     picked = docs.join(active.select("row"), "row", "left_semi")
     sets = written(_node_sets(picked, n).join(active.select("node"), "node", "left_semi")
                    .dropDuplicates(["node"]), "sets")
-    matrix = post.join(active.select("node", "group"), "node").select("token", "group").distinct()
-    after = F.lead("group").over(Window.partitionBy("token").orderBy("group"))
-    chain = matrix.select(F.col("group").alias("a"), after.alias("b")).where("b is not null").distinct()
+    matrix = post.join(active.select("node", "group"), "node").groupBy("token", "group").agg(F.min("size").alias("low"))
+    along = Window.partitionBy("token").orderBy("group")
+    chain = matrix.select(F.col("group").alias("a"), F.lead("group").over(along).alias("b"),
+                          F.least("low", F.lead("low").over(along)).alias("low")).where("b is not null")
+    chain = chain.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("low")).where(
+        F.col("c") >= needed(F.col("low"), percent)).select("a", "b")
     own = active.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(
         F.col("group").alias("a"), F.col("group").alias("b"))
     members = active.select("node", "group").join(sets, "node")
@@ -274,8 +296,10 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int,
     x, y = meets.alias("x"), meets.alias("y")
     apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.unit") < F.col("y.unit"))
                    & (F.col("x.high") * 100 >= F.col("y.low") * percent)
-                   & (F.col("y.high") * 100 >= F.col("x.low") * percent)).select(
-        F.col("x.unit").alias("x"), F.col("y.unit").alias("y")).distinct()
+                   & (F.col("y.high") * 100 >= F.col("x.low") * percent)).groupBy(
+        F.col("x.unit").alias("x"), F.col("y.unit").alias("y")).agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.least("x.low", "y.low")).alias("low")).where(
+        F.col("c") >= needed(F.col("low"), percent)).select("x", "y")
     parts = placed.groupBy("unit", "group").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     pairs = (apart.join(parts.select(F.col("unit").alias("x"), F.col("group").alias("a"),
                                      F.col("low").alias("al"), F.col("high").alias("ah")), "x")
