@@ -16,6 +16,8 @@ CACHE_WORDS = 1_000_000      # bound of a worker's store of words; results do no
 BATCH = 4000
 _MARK = "■"             # a character the word-level vocabulary has as one token
 _INNER = re.compile(r"(?<=\S)(?= \S)")
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_ASCII_SPACES = [c for c in _SPACES if c.isascii()]
 _LOADED: dict = {}
 
 
@@ -90,7 +92,7 @@ class Encoder:
         """Units after which a cut is sure: a space before a word, or a line's end before one."""
         if not text:
             return [], b""
-        if not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text
+        if not (any(c in text for c in (_ASCII_SPACES if text.isascii() else _SPACES)) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
                 or text[0].isspace() or text[-1].isspace()):
             first, _, rest = text.replace("\n", " \n").partition(" ")
             return (rest.split(" ") if rest else []), self._whole([first])[0]
@@ -121,25 +123,26 @@ class Encoder:
         if self.units is None:
             return self._whole(texts) if texts else []
         learn = self._learn_spaced if self.units == self._spaced else self._learn_byte_level
-        known, out = self.known, []
-        split = [self.units(t) for t in texts]
-        missing = set()
-        for units, _ in split:
-            missing.update(units)
-        new = list(missing.difference(known))
-        fresh: dict = {}
+        known, split, missing = self.known, [], set()
+        for t in texts:
+            units, head = self.units(t)
+            ids = list(map(known.get, units))
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            missing.update([units[i] for i in gaps])
+            split.append((units, ids, gaps, head))
+        new, fresh = list(missing), {}
         for i in range(0, len(new), BATCH):
             fresh.update(zip(new[i:i + BATCH], learn(new[i:i + BATCH])))
         room = CACHE_WORDS - len(known)
         if room >= len(fresh):
             known.update(fresh)
-            for units, head in split:
-                out.append(head + b"".join(map(known.__getitem__, units)))
-            return out
-        for w in list(fresh)[:max(room, 0)]:
-            known[w] = fresh[w]
-        for units, head in split:
-            out.append(head + b"".join([known.get(u) or fresh.get(u, b"") for u in units]))
+        else:
+            known.update((w, fresh[w]) for w in new[:max(room, 0)])
+        out = []
+        for units, ids, gaps, head in split:
+            for i in gaps:
+                ids[i] = fresh[units[i]]
+            out.append(head + b"".join(ids))
         return out
 
 

@@ -75,14 +75,14 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
         grid[-1, :n % block] = ids[n // block * block:]
     flat = grid.ravel()
     selector, taken = _choices(_bit_lengths(flat))
-    step, begin, firsts = taken.tobytes(), [], []
-    for b in range(blocks):
-        i, end = b * wide, b * wide + min(block, n - b * block)
-        firsts.append(len(begin))
-        while i < end:
-            begin.append(i)
-            i += step[i]
-    begin = np.array(begin)
+    firsts = np.arange(blocks) * wide
+    at, end, begin = firsts, firsts + np.minimum(block, n - np.arange(blocks) * block), []
+    while len(at):                                        # the next word of every block that has one
+        begin.append(at)
+        at = at + taken[at]
+        more = at < end
+        at, end = at[more], end[more]
+    begin = np.sort(np.concatenate(begin))
     kind = selector[begin]
     escaped = kind == 0
     place = np.arange(len(begin)) + np.cumsum(escaped) - escaped
@@ -97,7 +97,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
             words[place[mine]] = word
     raw = np.flatnonzero(escaped)
     words[place[raw] + 1] = flat[begin[raw]]
-    return words, place[firsts].astype(np.uint32)
+    return words, place[np.searchsorted(begin, firsts)].astype(np.uint32)
 
 
 def decode(words: np.ndarray, block_words: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:

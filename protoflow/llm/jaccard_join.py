@@ -14,7 +14,7 @@ when the two are opened in a task, sets whose overlap with the other group's who
 below the bound are set aside, and the rest are compared exactly.
 
 Only connectivity is asked for, so candidates come in two rounds.  The first opens each group
-and, along every shingle, each group with the next one.  The second partitions the linked
+and, for every shingle, the first group that has it with the others.  The second partitions the linked
 nodes by component and opens the pairs that are still apart.  A family of near copies is
 joined in the first round, and its pairs are never listed.  Each opening emits a spanning
 star of its links.
@@ -36,6 +36,7 @@ GROUP = 32             # nodes of a group, on average
 GROUP_SHINGLES = 1 << 18
 SLOTS = 1 << 22        # counters of the sketch that orders the shingles; its size bounds what is broadcast
 PAGE = 1 << 16
+BROADCAST = 32 << 20   # bytes of row keys that may be broadcast to pick the candidate texts
 
 
 def shingle_sets(texts: list[bytes], n: int = WORDS):
@@ -272,19 +273,21 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int,
     active = (nodes.groupBy("node", "size", "low").agg(F.min("row").alias("row"))
               .join(post.select("node").distinct(), "node", "left_semi"))
     active = written(_grouped_by(active, "low"), "groups")
-    picked = docs.join(active.select("row"), "row", "left_semi")
-    sets = written(_node_sets(picked, n).join(active.select("node"), "node", "left_semi")
+    wanted, nodes_wanted = active.select("row"), active.select("node")
+    if active.count() * 16 <= BROADCAST:                  # else both join by a shuffle
+        wanted, nodes_wanted = F.broadcast(wanted), F.broadcast(nodes_wanted)
+    picked = docs.join(wanted, "row", "left_semi")
+    sets = written(_node_sets(picked, n).join(nodes_wanted, "node", "left_semi")
                    .dropDuplicates(["node"]), "sets")
     matrix = post.join(active.select("node", "group"), "node").groupBy("token", "group").agg(F.min("size").alias("low"))
-    along = Window.partitionBy("token").orderBy("group")
-    chain = matrix.select(F.col("group").alias("a"), F.lead("group").over(along).alias("b"),
-                          F.least("low", F.lead("low").over(along)).alias("low")).where("b is not null")
-    chain = chain.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("low")).where(
-        F.col("c") >= needed(F.col("low"), percent)).select("a", "b")
+    first = F.min("group").over(Window.partitionBy("token"))
+    star = matrix.select(first.alias("a"), F.col("group").alias("b"), "low").where("a != b")
+    star = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("low")).where(
+        F.col("c") >= needed(F.ceil(F.col("low") * percent / 100 - 1e-9), percent)).select("a", "b")
     own = active.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(
         F.col("group").alias("a"), F.col("group").alias("b"))
     members = active.select("node", "group").join(sets, "node")
-    first = written(_open(own.unionByName(chain), members, percent), "links-1")
+    first = written(_open(own.unionByName(star), members, percent), "links-1")
 
     roots = components(first)
     placed = active.join(roots, "node", "left")
