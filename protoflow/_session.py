@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import threading
 import uuid
 import zipfile
-from urllib.parse import urlparse
+from urllib.parse import quote
 
 _SHIPPED: set = set()
 _LOCK = threading.Lock()
@@ -92,8 +93,9 @@ def _publish_zip(spark, data: bytes) -> str:
 def scratch_dir(spark) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a folder is
-    created and registered as the checkpoint dir.
+    Read from the session; only when it is unset on a local master (tests) a folder is
+    created and registered as the checkpoint dir.  On a cluster that is an error: each
+    executor would write to its own disk.
     """
     sc = _context(spark)
     d = sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None
@@ -105,6 +107,8 @@ def scratch_dir(spark) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        if sc is not None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="protoflow-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(local)
@@ -123,10 +127,15 @@ def open_fs(uri: str):
     """(pyarrow FileSystem, path) for a URI or plain path, usable inside tasks."""
     import pyarrow.fs as pafs
 
-    parsed = urlparse(uri)
-    if parsed.scheme in ("", "file"):
-        return pafs.LocalFileSystem(), (parsed.path if parsed.scheme else uri)
-    return pafs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition(":") if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", uri) else ("", "", uri)
+    if scheme in ("", "file"):
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/") if scheme else rest
+    if scheme == "dbfs":                                  # mounted on every node
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    # Hadoop spells paths as they are; a URI needs '#', '?', '%' and spaces quoted
+    same = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    fs, path = pafs.FileSystem.from_uri(f"{same}:{quote(rest, safe='/:@')}")
+    return fs, path
 
 
 def spread(df, min_partitions: int | None = None):

@@ -74,7 +74,7 @@ def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | N
     plan = build_plan(desc_set, msg, fields, opts)
     keep = tuple(keep)
     extra = (_id_col,) if _id_col and _id_col not in keep and _id_col != col else ()
-    src = df.select(*keep, *extra, col)
+    src = df.select(*dict.fromkeys([*keep, *extra, col]))
     out_fields = _fields_of(src, keep)
     produced = [n.name for n in plan] if expanded else [out]
     if mode == "permissive":

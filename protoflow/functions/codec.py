@@ -83,7 +83,7 @@ def _frac(nanos: int) -> str:
 def timestamp_text(seconds: int, nanos: int) -> str:
     """RFC 3339 text as the protobuf JSON mapping writes it (0, 3, 6 or 9 fraction digits)."""
     day = _EPOCH + _dt.timedelta(seconds=seconds)
-    return day.strftime("%Y-%m-%dT%H:%M:%S") + _frac(nanos) + "Z"
+    return f"{day.year:04d}" + day.strftime("-%m-%dT%H:%M:%S") + _frac(nanos) + "Z"
 
 
 def duration_text(seconds: int, nanos: int) -> str:
@@ -340,9 +340,9 @@ def decode_batches(batches, desc_set: bytes, message: str, fields, opts: Options
                     errors.append(f"{type(e).__name__}: {e}")
             try:
                 arrays = _columns(plan, msgs, opts)
-            except DecodeError:
+            except Exception as e:  # noqa: BLE001 - a value that cannot be converted, found row by row
                 if not permissive:
-                    raise
+                    raise e if isinstance(e, DecodeError) else DecodeError(f"cannot convert {message}: {e}") from e
                 arrays, msgs, errors = _rebuild_rowwise(plan, msgs, errors, opts)
             yield _assemble(part, keep, plan, arrays, msgs, errors, permissive, expanded, out)
 
@@ -352,6 +352,9 @@ def _plan_selection(nodes: list, desc) -> dict:
     sel: dict = {}
     for n in nodes:
         if n.kind == "oneof_case":
+            # every member decides the case, also those that are not selected
+            for member in desc.oneofs_by_name[n.attr].fields:
+                sel.setdefault(member.name, None)
             continue
         sub = None
         if n.kind == "message":
@@ -361,7 +364,7 @@ def _plan_selection(nodes: list, desc) -> dict:
                 sub = _plan_selection(n.children, sub_desc)
                 if all(v is None for v in sub.values()) and len(sub) == len(sub_desc.fields):
                     sub = None
-        sel[n.attr] = sub
+        sel[n.attr] = sub          # a selection of its own replaces the mere presence above
     return sel
 
 
@@ -372,9 +375,9 @@ def _rebuild_rowwise(plan, msgs, errors, opts):
             continue
         try:
             _columns(plan, [m], opts)
-        except DecodeError as e:
+        except Exception as e:  # noqa: BLE001 - recorded with the row
             msgs[i] = None
-            errors[i] = f"DecodeError: {e}"
+            errors[i] = f"{type(e).__name__}: {e}"
     return _columns(plan, msgs, opts), msgs, errors
 
 
@@ -665,10 +668,10 @@ def _prep(node: Node, arr: pa.Array, element: bool = False) -> pa.Array:
             raise _Slow()
         return pa.StructArray.from_arrays([sec, nanos], names=["seconds", "nanos"], mask=arr.is_null())
     if k == "wrapper":
-        inner = arr.cast(pa.uint64()) if pa.types.is_decimal(t) else arr
+        inner = _from_decimal(node, arr) if pa.types.is_decimal(t) else arr
         return pa.StructArray.from_arrays([inner], names=["value"], mask=arr.is_null())
     if k == "uint64" or (k == "scalar" and pa.types.is_decimal(t)):
-        return arr.cast(pa.uint64()) if pa.types.is_decimal(t) else arr
+        return _from_decimal(node, arr) if pa.types.is_decimal(t) else arr
     if k == "message":
         if not pa.types.is_struct(t):
             raise TypeError(f"message field {node.name!r} needs a struct column, got {t}")
@@ -689,6 +692,15 @@ def _prep(node: Node, arr: pa.Array, element: bool = False) -> pa.Array:
     raise _Slow()
 
 
+def _from_decimal(node, arr: pa.Array) -> pa.Array:
+    """A decimal column as the numbers its field takes."""
+    target = arrow_type(node.dtype)
+    if pa.types.is_floating(target):
+        return arr.cast(pa.float64())
+    unsigned = node.kind == "uint64" or node.full_name.endswith("UInt64Value")
+    return arr.cast(pa.uint64() if unsigned else pa.int64())
+
+
 def _pylist(arr: pa.Array) -> list:
     """Arrow -> python values column-wise: leaf columns convert in bulk, structs are
     zipped into dicts, lists sliced by offsets, maps zipped into dicts (much faster

@@ -8,7 +8,6 @@ driver once per query, or once per task when a decoder is rebuilt from bytes.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from typing import Any, Callable
 
@@ -261,13 +260,30 @@ def describe_rows(desc_set: bytes, message: str, **options) -> list[tuple]:
 # ---------------------------------------------------------------------------
 # Names
 # ---------------------------------------------------------------------------
-_CAMEL_SPLIT = re.compile(r"(?<!^)(?=[A-Z])")
-_CUSTOM_DIGIT = re.compile(r"custom(\d)")
-
-
-def snake_name(name: str) -> str:
-    """camelCase -> snake_case, then ``customN`` -> ``custom_N`` (camel-casing drops it)."""
-    return _CUSTOM_DIGIT.sub(r"custom_\1", _CAMEL_SPLIT.sub("_", name).lower())
+def snake_name(name: str, proto_names: dict | None = None) -> str:
+    """The proto spelling of a camelCase name.
+
+    ``proto_names`` ({camelCase: proto name}, see ``proto_spelling``) decides where it has
+    the name.  Else a capital starts a new part, and so does a number at the end: camel-casing
+    drops the underscore before it (``custom1`` was ``custom_1``).
+    """
+    if proto_names and name in proto_names:
+        return proto_names[name]
+    stem = name.rstrip("0123456789")
+    parts = [""]
+    for ch in stem:
+        if ch.isupper() and parts[-1]:
+            parts.append("")
+        parts[-1] += ch.lower()
+    if stem and stem != name and not stem.endswith("_"):
+        parts.append("")
+    parts[-1] += name[len(stem):]
+    return "_".join(parts)
+
+
+def proto_spelling(desc_set: bytes, message: str) -> dict:
+    """{camelCase name: proto name} of a message's top-level fields."""
+    return {f.camelcase_name: f.name for f in message_descriptor(desc_set, message).fields}
 
 
 def camel_name(name: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import descriptors as D
 from ..functions.api import decode, field_presence
 from ..functions.descriptors import message_descriptor
-from ..functions.schema import VIEW_COLUMNS_90, VIEW_RENAMES, snake_name
+from ..functions.schema import VIEW_COLUMNS_90, VIEW_RENAMES, proto_spelling, snake_name
 
 
 def flatten_view(df: DataFrame, col: str = "value", message=None, fields=VIEW_COLUMNS_90,
@@ -95,10 +95,11 @@ def flatten_populated(df: DataFrame, col: str = "value", message=None, exclude=(
     return decode(df, message, col=col, fields=order, keep=keep, absent=absent, timestamp=timestamp)
 
 
-def snake_names(df: DataFrame) -> DataFrame:
-    """camelCase columns -> snake_case (``customN`` repaired to ``custom_N``);
-    fails when two columns map to one name."""
-    new = [snake_name(c) for c in df.columns]
+def snake_names(df: DataFrame, message=None) -> DataFrame:
+    """camelCase columns -> the proto names of ``message`` where it is given, else snake_case by
+    rule; fails when two columns map to one name."""
+    known = proto_spelling(*message) if message else None
+    new = [snake_name(c, known) for c in df.columns]
     dup = {n for n in new if new.count(n) > 1}
     if dup:
         raise ValueError(f"snake_names would collide on {sorted(dup)}")

@@ -217,7 +217,7 @@ def q18_populated(spark, sf_dir):
 
 def q19_snake_names(spark, sf_dir):
     dec = decode(_views_bytes(spark, sf_dir), D.view_record(), names="camel", **NTZ)
-    return snake_names(dec).select("view_id", "property_id", "custom_2", "custom_3", "watch_time",
+    return snake_names(dec, D.view_record()).select("view_id", "property_id", "custom_2", "custom_3", "watch_time",
                                    "used_fullscreen", "player_source_duration")
 
 
@@ -354,7 +354,7 @@ def q34_raw_landing(spark, sf_dir):
     landed = land_raw_day(spark, base, "*/*/*", new_scratch(spark, "raw"))
     return landed.groupBy("view_date").agg(
         F.count(F.lit(1)).alias("n_files"),
-        F.count(F.when(F.col("length") > 0, 1)).alias("n_nonempty"))
+        F.count(F.when(F.col("length") == F.length("content"), 1)).alias("n_nonempty"))
 
 
 def q35_unpivot(spark, sf_dir):

@@ -10,20 +10,14 @@ from __future__ import annotations
 
 from ..functions.descriptors import VIEW_RECORD_FIELDS
 from ..functions.schema import VIEW_COLUMNS_90, VIEW_RENAMES
-from ..sources.fixtures import MAX_EVENTS_PER_VIEW
 
 SPLIT_DATE = "2024-01-16 00:00:00"
 
-# A user with at most MAX_EVENTS_PER_VIEW events is one view (split 0).  Larger users are
-# split by Spark's xxhash64, which DuckDB lacks: their split is left NULL here so that a
-# difference would show.  No user in the provided tables comes near the limit; the split
-# itself is tested against brute force in tests/test_operators.py.
-VIEWS_CTE = f"""
-_c AS (SELECT user_id, count(*) AS _n FROM events GROUP BY user_id),
+# A view is a run of 5000 consecutive events of a user; rows without a user are one more user.
+VIEWS_CTE = """
 _e AS (
-  SELECT e.*,
-         CASE WHEN _c._n IS NULL OR _c._n <= {MAX_EVENTS_PER_VIEW} THEN 0 END AS _split
-  FROM events e LEFT JOIN _c ON e.user_id = _c.user_id),
+  SELECT e.*, (row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) - 1) // 5000 AS _split
+  FROM events e),
 _ev AS (
   SELECT _e.*,
          coalesce(CAST(user_id AS VARCHAR), 'none') || '-' || CAST(_split AS VARCHAR) AS view_id,
@@ -32,7 +26,7 @@ _ev AS (
   FROM _e),
 views AS (
   SELECT coalesce(CAST(user_id AS VARCHAR), 'none') || '-' || CAST(_split AS VARCHAR) AS view_id,
-         'property-' || CAST(((user_id % 7) + 7) % 7 AS VARCHAR) AS property_id,
+         'property-' || coalesce(CAST(((user_id % 7) + 7) % 7 AS VARCHAR), 'none') AS property_id,
          min(ts) AS view_start, max(ts) AS view_end,
          TRY_CAST(user_id AS INTEGER) AS asn,
          min(event_type) AS custom_2,

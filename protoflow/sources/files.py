@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._session import ensure_shipped, open_fs
+from .._session import ensure_shipped, open_fs, shuffle_partitions
 
 DATE_HOUR = r"/(\d{4})/(\d{2})/(\d{2})/(\d{2})/"
 BINARY_FILE_SCHEMA = T.StructType([
@@ -100,33 +100,57 @@ def read_raw(spark: SparkSession, base: str, day: str | None = None, hours=None,
 
 
 IO_THREADS = 16      # concurrent file operations per task (object stores are latency-bound)
+READ_BYTES = 32 << 20    # content handed on at once by a reading task
 
 
-def _read_paths(batches, path_col: str):
+def _read_paths(batches, path_col: str, permissive: bool):
     from concurrent.futures import ThreadPoolExecutor
 
     def read_one(p):
-        fs, local = open_fs(p)
-        with fs.open_input_stream(local) as fh:
-            return fh.read()
+        try:
+            fs, local = open_fs(p)
+            with fs.open_input_stream(local) as fh:
+                return fh.read()
+        except FileNotFoundError:
+            if not permissive:
+                raise
+            return None
+
+    def out(paths, blobs):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(paths, pa.string()), pa.array([None if b is None else len(b) for b in blobs], pa.int64()),
+             pa.array(blobs, pa.binary())], names=[path_col, "length", "content"])
 
     with ThreadPoolExecutor(max_workers=IO_THREADS) as pool:
         for batch in batches:
             paths = batch.column(path_col).to_pylist()
-            blobs = list(pool.map(read_one, paths))              # order preserved
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, pa.string()), pa.array([len(b) for b in blobs], pa.int64()),
-                 pa.array(blobs, pa.binary())], names=[path_col, "length", "content"])
-
-
-def read_listed(files: DataFrame, path_col: str = "path") -> DataFrame:
+            done, blobs, size = 0, [], 0
+            for i in range(0, len(paths), IO_THREADS):           # files in flight, order preserved
+                for b in pool.map(read_one, paths[i:i + IO_THREADS]):
+                    blobs.append(b)
+                    size += len(b or b"")
+                if size >= READ_BYTES:
+                    yield out(paths[done:done + len(blobs)], blobs)
+                    done, blobs, size = done + len(blobs), [], 0
+            if blobs:
+                yield out(paths[done:], blobs)
+
+
+def read_listed(files: DataFrame, path_col: str = "path", partitions: int | None = None,
+                mode: str = "failfast") -> DataFrame:
     """Content of exactly the files in ``files`` (e.g. a sample of a listing), read by the
     executors: path, length, content.  The list stays distributed (never collected), and
     files outside it are never opened - a join against a full binaryFile scan would read
-    every file first."""
+    every file first.
+
+    Paths are dealt by a hash to ``partitions`` tasks (the session's shuffle width unless
+    given): a list of paths is small whatever the files hold, so it must not be merged into
+    one task by size.  A file that has gone fails the task, or has NULL content with
+    ``mode="permissive"``."""
     ensure_shipped(files.sparkSession)
-    fn = partial(_read_paths, path_col=path_col)
-    return files.select(path_col).mapInArrow(
+    fn = partial(_read_paths, path_col=path_col, permissive=mode == "permissive")
+    dealt = files.select(path_col).repartition(partitions or shuffle_partitions(files.sparkSession), path_col)
+    return dealt.mapInArrow(
         fn, T.StructType([T.StructField(path_col, T.StringType(), True),
                           T.StructField("length", T.LongType(), True),
                           T.StructField("content", T.BinaryType(), True)]))
@@ -141,7 +165,7 @@ def read_messages(spark: SparkSession, base: str | None, message, day: str | Non
     from ..functions.api import decode
 
     if files is not None:
-        raw = with_path_partition(read_listed(files))
+        raw = with_path_partition(read_listed(files, mode=decode_options.get("mode", "failfast")))
     else:
         raw = read_raw(spark, base, day, hours, glob, contains)
     return decode(raw, message, col="content", keep=keep, **decode_options)
@@ -159,7 +183,8 @@ def land_raw_day(spark: SparkSession, base: str, day: str, path: str) -> DataFra
     Returns the whole landed table read back (path, modificationTime, length, content,
     view_date); ``day`` may be a glob such as ``"*/*/*"`` to land every day in one job.
     """
-    raw = read_raw(spark, base, day).drop("view_hour")
+    # rebalanced by day: a few files per day whatever the number of scan tasks
+    raw = read_raw(spark, base, day).drop("view_hour").hint("rebalance", "view_date")
     (raw.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("view_date").parquet(path))
     return spark.read.parquet(path)
@@ -191,7 +216,9 @@ def _write_files(batches, base: str, path_col: str, content_col: str):
     with ThreadPoolExecutor(max_workers=IO_THREADS) as pool:
         for batch in batches:
             rels = batch.column(path_col).to_pylist()
-            blobs = [b or b"" for b in batch.column(content_col).to_pylist()]
+            blobs = batch.column(content_col).to_pylist()
+            if None in blobs:                    # an empty file would read back as a message with nothing set
+                raise ValueError(f"{content_col} is NULL for {rels[blobs.index(None)]!r}: no message to write")
             paths = [f"{root.rstrip('/')}/{rel.lstrip('/')}" for rel in rels]
             for parent in {p.rsplit("/", 1)[0] for p in paths} - made:
                 fs.create_dir(parent, recursive=True)

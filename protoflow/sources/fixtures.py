@@ -4,23 +4,22 @@ The reference's inputs were private message files; here every message is built
 from ``events`` / ``orders`` rows, so the work grows with the tables:
 
 * EventMsg  - one message per ``events`` row (``value`` unset for ``error``).
-* view record - one message per view = the events of one user, in (ts, event_id)
-  order.  A user with more than ``max_events`` events is split into
-  ``ceil(n / max_events)`` views by a hash of the event, so no message and no
-  group grows without bound even when one user holds a third of all rows.
+* view record - one message per view = ``VIEW_EVENTS`` consecutive events of one user
+  (the last run may be shorter), in (ts, event_id) order, so no message and no group
+  grows without bound even when one user holds a third of all rows.
 * OrderMsg  - one message per ``orders`` row (enums, bytes, unsigned, wrappers, map).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .._session import shuffle_partitions, spread
 from ..functions import descriptors as D
 from ..functions.api import encode
 
-MAX_EVENTS_PER_VIEW = 5000
+VIEW_EVENTS = 5000      # a view is a run of this many consecutive events of a user (the last may be shorter)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,23 +46,31 @@ def event_messages(spark: SparkSession, sf_dir: str, version: int = 1, keep=())
     return encode(rows, D.event_msg(version), keep=keep)
 
 
-def view_rows(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS_PER_VIEW) -> DataFrame:
+def event_places(ev: DataFrame) -> DataFrame:
+    """``ev`` with ``_place``: each event's place (from 0) among its user's events by (ts, event_id).
+
+    Small counts per user and hour give the place of an hour's first event; events are then
+    ranked inside their hour, so a user who holds a third of all rows is never sorted in one
+    task.  Rows without a user are the events of one NULL user.
+    """
+    hour = F.date_trunc("hour", F.col("ts"))
+    counts = ev.groupBy(F.col("user_id").alias("_u"), hour.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_u").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("_u", "_h", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("user_id", "_hour").orderBy("ts", "event_id")) - 1
+    placed = ev.withColumn("_hour", hour).join(
+        firsts, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("_hour").eqNullSafe(F.col("_h")))
+    return placed.withColumn("_place", F.col("_first") + rank).drop("_u", "_h", "_first", "_hour")
+
+
+def view_rows(spark: SparkSession, sf_dir: str, view_events: int = VIEW_EVENTS) -> DataFrame:
     """One row per view with the view-record fields as columns (ready for ``encode``)."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value",
                                                "props")
-    # Split factor per user from a partial (map-side combined) count; the join back is
-    # planned by AQE: broadcast when the measured count table is small, otherwise a
-    # shuffle join whose skewed partitions AQE splits.
-    counts = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-    ev = (ev.join(counts, "user_id", "left")
-            # a hash, not event_id modulo: ids handed out with a stride would all share one
-            # residue and put a hot user back into a single view
-            .withColumn("_split", F.coalesce(
-                F.pmod(F.xxhash64("event_id", "ts", "event_type"), F.ceil(F.col("_n") / F.lit(max_events))),
-                F.lit(0))))
-    # Hash-partition on the view key with the session's shuffle width: every key is
-    # bounded (<= max_events rows), so no partition can be skewed, and the explicit
-    # width keeps the Python encode that follows spread over all cores.
+    ev = event_places(ev).withColumn("_split", F.floor(F.col("_place") / view_events).cast("long")).drop("_place")
+    # Hash-partition on the view key with the session's shuffle width: no key has more than
+    # ``view_events`` rows, so no partition can be skewed, and the explicit width keeps the
+    # Python encode that follows spread over all cores.
     ev = ev.repartition(shuffle_partitions(spark), "user_id", "_split")
     grouped = ev.groupBy("user_id", "_split").agg(
         F.min("ts").alias("view_start"),
@@ -97,7 +104,8 @@ def view_rows(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS_PER
     uid = F.coalesce(F.col("user_id").cast("string"), F.lit("none"))
     return grouped.select(
         F.concat(uid, F.lit("-"), F.col("_split").cast("string")).alias("view_id"),
-        F.concat(F.lit("property-"), F.pmod(F.col("user_id"), F.lit(7)).cast("string")).alias("property_id"),
+        F.concat(F.lit("property-"), F.coalesce(F.pmod(F.col("user_id"), F.lit(7)).cast("string"),
+                                                F.lit("none"))).alias("property_id"),
         "view_start", "view_end",
         events.alias("events"),
         F.col("user_id").try_cast("int").alias("asn"),
@@ -117,10 +125,10 @@ def relpath_of(view_start: str = "view_start", view_id: str = "view_id"):
                     F.col(view_id), F.lit(".pb"))
 
 
-def view_messages(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS_PER_VIEW,
+def view_messages(spark: SparkSession, sf_dir: str, view_events: int = VIEW_EVENTS,
                   message=None) -> DataFrame:
     """view_id, relpath, value (view-record bytes)."""
-    rows = view_rows(spark, sf_dir, max_events).withColumn("relpath", relpath_of())
+    rows = view_rows(spark, sf_dir, view_events).withColumn("relpath", relpath_of())
     return encode(rows, message or D.view_record(), keep=("view_id", "relpath"))
 
 

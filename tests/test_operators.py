@@ -58,10 +58,9 @@ def test_pick_file_is_smallest_hash(spark, sf_small):
 
 
 def test_view_split_bounds_messages(spark, sf_small):
-    rows = FX.view_rows(spark, sf_small, max_events=5)
+    rows = FX.view_rows(spark, sf_small, view_events=5)
     dec = rows.select("view_id", F.size("events").alias("n"), "events")
-    # users above max_events are split by event_id modulo: about max_events per view
-    assert dec.agg(F.max("n")).first()[0] <= 3 * 5
+    assert dec.agg(F.max("n")).first()[0] == 5               # runs of five events, never more
     assert dec.count() > spark.read.parquet(f"{sf_small}/events.parquet").select("user_id").distinct().count()
     ev = spark.read.parquet(f"{sf_small}/events.parquet")
     assert dec.agg(F.sum("n")).first()[0] == ev.count()      # no event dropped or duplicated
