@@ -36,7 +36,7 @@ GROUP = 32             # nodes of a group, on average
 GROUP_SHINGLES = 1 << 18
 SLOTS = 1 << 22        # counters of the sketch that orders the shingles; its size bounds what is broadcast
 PAGE = 1 << 16
-BROADCAST = 32 << 20   # bytes of row keys that may be broadcast to pick the candidate texts
+BROADCAST = 32 << 20   # bytes of keys that may be broadcast to the candidate texts and sets
 
 
 def shingle_sets(texts: list[bytes], n: int = WORDS):
@@ -273,11 +273,10 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int,
     active = (nodes.groupBy("node", "size", "low").agg(F.min("row").alias("row"))
               .join(post.select("node").distinct(), "node", "left_semi"))
     active = written(_grouped_by(active, "low"), "groups")
-    wanted, nodes_wanted = active.select("row"), active.select("node")
-    if active.count() * 16 <= BROADCAST:                  # else both join by a shuffle
-        wanted, nodes_wanted = F.broadcast(wanted), F.broadcast(nodes_wanted)
-    picked = docs.join(wanted, "row", "left_semi")
-    sets = written(_node_sets(picked, n).join(nodes_wanted, "node", "left_semi")
+    # Keys of a checked size are sent to the texts and sets; beyond it both sides are shuffled.
+    sent = F.broadcast if active.count() * 24 <= BROADCAST else (lambda keys: keys)
+    picked = docs.join(sent(active.select("row")), "row", "left_semi")
+    sets = written(_node_sets(picked, n).join(sent(active.select("node")), "node", "left_semi")
                    .dropDuplicates(["node"]), "sets")
     matrix = post.join(active.select("node", "group"), "node").groupBy("token", "group").agg(F.min("size").alias("low"))
     first = F.min("group").over(Window.partitionBy("token"))
@@ -286,7 +285,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int,
         F.col("c") >= needed(F.ceil(F.col("low") * percent / 100 - 1e-9), percent)).select("a", "b")
     own = active.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(
         F.col("group").alias("a"), F.col("group").alias("b"))
-    members = active.select("node", "group").join(sets, "node")
+    members = sets.join(sent(active.select("node", "group")), "node")
     first = written(_open(own.unionByName(star), members, percent), "links-1")
 
     roots = components(first)
@@ -310,7 +309,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int,
                                 F.col("low").alias("bl"), F.col("high").alias("bh")), "y")
              .where((F.col("ah") * 100 >= F.col("bl") * percent) & (F.col("bh") * 100 >= F.col("al") * percent))
              .select("a", "b").distinct())
-    members = placed.select("node", "group").join(sets, "node")
+    members = sets.join(sent(placed.select("node", "group")), "node")
     second = written(_open(pairs, members, percent), "links-2")
     return first.unionByName(second)
 
