@@ -37,7 +37,7 @@ def _fields_of(df: DataFrame, names) -> list[T.StructField]:
 def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | None = None,
            fields=None, keep=(), absent: str = "null", names: str = "proto",
            enums: str = "name", uint64: str = "long", timestamp: str = "timestamp",
-           duration: str = "interval", oneof_case: bool = False, max_depth: int = 16,
+           duration: str = "interval", oneof_case: bool = False, max_depth: int = 16, max_recursion: int = 3,
            type_overrides=None, mode: str = "failfast", expanded: bool = True,
            out: str = "value", engine: str = "python", float_digits: int | None = None,
            registry=None, _registry=None, _id_col=None) -> DataFrame:
@@ -54,7 +54,7 @@ def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | N
         return decode_registered(df, registry, _resolve(message, descriptor_set), col=col, keep=keep,
                                  mode=mode, fields=fields, absent=absent, names=names, enums=enums,
                                  uint64=uint64, timestamp=timestamp, duration=duration,
-                                 oneof_case=oneof_case, max_depth=max_depth,
+                                 oneof_case=oneof_case, max_depth=max_depth, max_recursion=max_recursion,
                                  type_overrides=type_overrides, expanded=expanded, out=out,
                                  float_digits=float_digits)
     desc_set, msg = _resolve(message, descriptor_set)
@@ -70,7 +70,7 @@ def decode(df: DataFrame, message, col: str = "value", descriptor_set: bytes | N
         raise ValueError("mode must be 'failfast' or 'permissive'")
     opts = make_options(absent=absent, names=names, enums=enums, uint64=uint64,
                         timestamp=timestamp, duration=duration, oneof_case=oneof_case,
-                        max_depth=max_depth, type_overrides=type_overrides, float_digits=float_digits)
+                        max_depth=max_depth, max_recursion=max_recursion, type_overrides=type_overrides, float_digits=float_digits)
     plan = build_plan(desc_set, msg, fields, opts)
     keep = tuple(keep)
     extra = (_id_col,) if _id_col and _id_col not in keep and _id_col != col else ()
@@ -171,22 +171,51 @@ def encode(df: DataFrame, message=None, cols=None, col: str | None = None, out:
 
 def decode_json(df: DataFrame, message, col: str = "value", out: str = "content",
                 descriptor_set: bytes | None = None, names: str = "camel",
-                int64_as_string: bool = False, keep=None, float_digits: int | None = None) -> DataFrame:
+                int64_as_string: bool = False, keep=None, float_digits: int | None = None,
+                mapping: str = "spark", mode: str = "failfast") -> DataFrame:
     """``withColumn``-shaped: input columns + JSON text of the message in ``out``.
 
-    Unset fields are omitted (``to_json`` drops NULLs); the JSON itself is made by
+    ``mapping="protobuf"`` writes the protobuf JSON mapping in the pass that parses: fields at
+    their proto3 default are left out, Struct, Value and Any are objects, 64-bit integers are quoted
+    (in maps too), uint32 is not.  ``mapping="spark"`` goes by the decoded columns: unset fields are omitted (``to_json`` drops NULLs); the JSON itself is made by
     Spark's native ``to_json`` so only the parse runs in Python.  With
     ``int64_as_string`` 64-bit integers are quoted as the protobuf JSON mapping does.
     """
     keep = tuple(c for c in df.columns if c != out) if keep is None else tuple(keep)
+    if mapping not in ("spark", "protobuf"):
+        raise ValueError("mapping must be 'spark' or 'protobuf'")
+    if mapping == "protobuf":
+        if int64_as_string or float_digits is not None:
+            raise ValueError("int64_as_string and float_digits belong to mapping='spark'")
+        return _protobuf_json(df, message, col, out, descriptor_set, names, keep, mode)
     decoded = decode(df, message, col=col, descriptor_set=descriptor_set, keep=keep,
                      names=names, timestamp="string", duration="string", expanded=False,
-                     out="_msg", float_digits=float_digits)
+                     out="_msg", float_digits=float_digits, mode=mode)
     st = decoded.schema["_msg"].dataType
     value = F.col("_msg")
     if int64_as_string:
         value = _quote_longs(value, st)
-    return decoded.select(*keep, F.to_json(value).alias(out))
+    error = ("_error",) if mode == "permissive" else ()
+    return decoded.select(*keep, F.to_json(value).alias(out), *error)
+
+
+def _protobuf_json(df, message, col, out, descriptor_set, names, keep, mode):
+    if mode not in ("failfast", "permissive"):
+        raise ValueError("mode must be 'failfast' or 'permissive'")
+    if names not in ("proto", "camel"):
+        raise ValueError("names must be 'proto' or 'camel'")
+    desc_set, msg = _resolve(message, descriptor_set)
+    permissive = mode == "permissive"
+    made = [out, "_error"] if permissive else [out]
+    clash = sorted(set(keep) & set(made))
+    if clash:
+        raise ValueError(f"kept column(s) {clash} collide with the output; rename them first")
+    src = df.select(*dict.fromkeys([*keep, col]))
+    ensure_shipped(df.sparkSession)
+    fn = partial(codec.json_batches, desc_set=desc_set, message=msg, col=col, keep=keep, out=out, names=names,
+                 permissive=permissive)
+    return src.mapInArrow(fn, T.StructType(_fields_of(src, keep) + [T.StructField(n, T.StringType(), True)
+                                                                    for n in made]))
 
 
 def _quote_longs(c: Column, dt: T.DataType) -> Column:

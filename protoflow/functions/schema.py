@@ -47,19 +47,22 @@ PROTO_TYPE_NAMES = {
 class Options:
     """Decode/encode options (all have a reference-compatible setting)."""
 
-    absent: str = "null"              # "null": unset -> NULL; "default": unset -> proto default
+    absent: str = "null"              # unset -> "null": NULL; "default": proto default; "primitive":
+                                      # default, but messages and members of a oneof stay NULL
     names: str = "proto"              # "proto" field names or "camel" (JSON names)
     enums: str = "name"               # "name" (string) or "int"
     uint64: str = "long"              # "long" (error >= 2^63) or "decimal" (DecimalType(20,0))
     timestamp: str = "timestamp"      # "timestamp" | "timestamp_ntz" | "string" | "epoch_seconds"
     duration: str = "interval"        # "interval" | "string" | "micros"
     oneof_case: bool = False          # add "<oneof>_case" string columns
-    max_depth: int = 16               # recursion cut-off; deeper messages become JSON text
+    max_depth: int = 16               # nesting cut-off; deeper messages become JSON text
+    max_recursion: int = 3            # so often a type is unfolded inside itself, then JSON text: with
+                                      # several such fields each level multiplies the columns
     type_overrides: tuple = ()        # ((full_name, fn(message) -> value, DataType), ...)
     float_digits: int | None = None   # round float/double values to this many significant digits
 
     def __post_init__(self):
-        checks = {"absent": ("null", "default"), "names": ("proto", "camel"),
+        checks = {"absent": ("null", "default", "primitive"), "names": ("proto", "camel"),
                   "enums": ("name", "int"), "uint64": ("long", "decimal"),
                   "timestamp": ("timestamp", "timestamp_ntz", "string", "epoch_seconds"),
                   "duration": ("interval", "string", "micros")}
@@ -68,6 +71,8 @@ class Options:
                 raise ValueError(f"{k}={getattr(self, k)!r}; expected one of {allowed}")
         if self.float_digits is not None and not (1 <= int(self.float_digits) <= 17):
             raise ValueError("float_digits must be between 1 and 17")
+        if self.max_recursion < 1:
+            raise ValueError("max_recursion must be 1 or more")
 
 
 def make_options(type_overrides=None, **kw) -> Options:
@@ -97,6 +102,7 @@ class Node:
     enum_numbers: dict = field(default_factory=dict)
     fn: Callable | None = None    # override converter
     oneof: str | None = None
+    in_oneof: bool = False        # member of a oneof, also of the implied one of a proto3 optional
     full_name: str = ""           # message full name (message-kind nodes)
 
     @property
@@ -162,11 +168,13 @@ def _duration_type(opts: Options) -> T.DataType:
             "micros": T.LongType()}[opts.duration]
 
 
-def _field_node(fd, opts: Options, sel, depth: int) -> Node:
+def _field_node(fd, opts: Options, sel, depth: int, above: tuple = ()) -> Node:
+    """``above`` holds the full names of the messages the field is nested in."""
     name = fd.camelcase_name if opts.names == "camel" else fd.name
     common = dict(name=name, attr=fd.name, repeated=fd.is_repeated,
                   presence=fd.has_presence and not fd.is_repeated, required=fd.is_required,
-                  number=fd.number, proto_type=PROTO_TYPE_NAMES.get(fd.type, str(fd.type)),
+                  number=fd.number, in_oneof=fd.containing_oneof is not None,
+                  proto_type=PROTO_TYPE_NAMES.get(fd.type, str(fd.type)),
                   oneof=(fd.containing_oneof.name if fd.containing_oneof is not None
                          and not getattr(fd.containing_oneof, "is_synthetic", False) else None))
     overrides = {k: (f, dt) for k, f, dt in opts.type_overrides}
@@ -175,8 +183,8 @@ def _field_node(fd, opts: Options, sel, depth: int) -> Node:
         full = mt.full_name
         common["proto_type"] = full
         if mt.GetOptions().map_entry:
-            k = _field_node(mt.fields_by_name["key"], opts, None, depth + 1)
-            v = _field_node(mt.fields_by_name["value"], opts, None, depth + 1)
+            k = _field_node(mt.fields_by_name["key"], opts, None, depth + 1, above)
+            v = _field_node(mt.fields_by_name["value"], opts, None, depth + 1, above)
             common["repeated"] = False
             common["proto_type"] = "map"
             return Node(kind="map", dtype=T.MapType(k.dtype, v.dtype, True), key=k, value=v,
@@ -190,9 +198,9 @@ def _field_node(fd, opts: Options, sel, depth: int) -> Node:
             return Node(kind="duration", dtype=_duration_type(opts), full_name=full, **common)
         if full in WRAPPERS:
             return Node(kind="wrapper", dtype=WRAPPERS[full], full_name=full, **common)
-        if full in JSON_TYPES or depth >= opts.max_depth:
+        if full in JSON_TYPES or depth >= opts.max_depth or above.count(full) > opts.max_recursion:
             return Node(kind="json", dtype=T.StringType(), full_name=full, **common)
-        children = _message_nodes(mt, opts, sel, depth + 1)
+        children = _message_nodes(mt, opts, sel, depth + 1, above)
         return Node(kind="message", dtype=T.StructType([c.to_field() for c in children]),
                     children=children, full_name=full, **common)
     kind, dtype = _scalar_type(fd, opts)
@@ -205,14 +213,15 @@ def _field_node(fd, opts: Options, sel, depth: int) -> Node:
     return node
 
 
-def _message_nodes(desc, opts: Options, sel, depth: int) -> list[Node]:
+def _message_nodes(desc, opts: Options, sel, depth: int, above: tuple = ()) -> list[Node]:
     nodes = []
+    above = (*above, desc.full_name)
     oneofs_seen = []
     for fd in desc.fields:
         if sel is not None and fd.name not in sel and fd.camelcase_name not in sel:
             continue
         sub = None if sel is None else sel.get(fd.name, sel.get(fd.camelcase_name))
-        nodes.append(_field_node(fd, opts, sub, depth))
+        nodes.append(_field_node(fd, opts, sub, depth, above))
         o = nodes[-1].oneof
         if opts.oneof_case and o and o not in oneofs_seen:
             oneofs_seen.append(o)
@@ -243,17 +252,18 @@ def describe_rows(desc_set: bytes, message: str, **options) -> list[tuple]:
     opts = make_options(**options)
     rows: list[tuple] = []
 
-    def walk(desc, prefix: str, depth: int):
+    def walk(desc, prefix: str, depth: int, above: tuple):
+        above = (*above, desc.full_name)
         for fd in desc.fields:
-            node = _field_node(fd, opts, None, depth)
+            node = _field_node(fd, opts, None, depth, above)
             label = "repeated" if fd.is_repeated else ("required" if fd.is_required else "optional")
             path = f"{prefix}{node.name}"
             rows.append((desc.full_name, path, fd.number, node.proto_type, label,
                          node.spark_type.simpleString()))
             if node.kind == "message" and depth < opts.max_depth:
-                walk(fd.message_type, path + ".", depth + 1)
+                walk(fd.message_type, path + ".", depth + 1, above)
 
-    walk(message_descriptor(desc_set, message), "", 0)
+    walk(message_descriptor(desc_set, message), "", 0, ())
     return rows
 
 

@@ -35,6 +35,31 @@ def empty_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], REGISTRY_SCHEMA)
 
 
+def save_registry(registry: DataFrame, path: str) -> None:
+    """Append the rows of ``registry`` that ``path`` (a Parquet folder) does not hold yet.
+
+    Ids are given by one writer at a time: ``load_registry``, ``register_schema``, ``save_registry``.
+    An id that the folder holds with another schema is an error and nothing is written.
+    """
+    spark = registry.sparkSession
+    old = load_registry(spark, path).select("schema_id", F.struct("subject", "fingerprint").alias("_old"))
+    both = registry.join(old, "schema_id", "left")
+    bad = both.where(F.col("_old").isNotNull() & (F.col("_old") != F.struct("subject", "fingerprint"))) \
+        .select("schema_id").first()
+    if bad is not None:
+        raise ValueError(f"schema id {bad[0]} is saved with another schema; load the registry and register again")
+    new = both.where(F.col("_old").isNull()).drop("_old").select(*REGISTRY_SCHEMA.names)
+    new.coalesce(1).write.mode("append").parquet(path)
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry saved at ``path``; no schemas if the folder is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return empty_registry(spark)
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(path)
+
+
 def _fingerprint(desc_set: bytes, message: str) -> str:
     return hashlib.sha256(message.encode() + b"\0" + desc_set).hexdigest()
 
@@ -139,14 +164,20 @@ def encode_registered(df: DataFrame, registry: DataFrame, subject: str | None =
 
 
 def decode_registered(df: DataFrame, registry: DataFrame, reader, col: str = "value",
-                      keep=(), mode: str = "failfast", **decode_options) -> DataFrame:
+                      keep=(), mode: str = "failfast", subject: str | None = None, **decode_options) -> DataFrame:
     """Unframe natively, then parse every payload into the ``reader`` schema.
 
     Writers' extra tags are skipped and the reader's new fields stay NULL (the
-    wire format is tag-addressed).  A schema id missing from the registry or a bad
-    magic byte fails the task, or gives a NULL row + ``_error`` when permissive.
+    wire format is tag-addressed).  A schema id must be registered for the reader's message
+    (and ``subject``, if given); any other id or a bad magic byte fails the task, or gives a
+    NULL row + ``_error`` when permissive.
     """
-    reg = registry_map(registry)
+    if isinstance(registry, dict):
+        mine = {k: v for k, v in registry.items() if v[1] == reader[1] and subject in (None, v[2])}
+    else:
+        mine = registry.where(F.col("message_name") == reader[1])
+        mine = mine if subject is None else mine.where(F.col("subject") == subject)
+    reg = registry_map(mine)
     keep = tuple(keep)
     un = unframe(df, col)
     un = un.withColumn("_schema_id", F.when(F.col("_magic") == 0, F.col("_schema_id")))

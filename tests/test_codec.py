@@ -43,6 +43,55 @@ def test_presence_null_vs_default(spark):
     assert dflt["a"]["asn"] == 0 and dflt["a"]["browser"] == "" and dflt["a"]["events"] == []
 
 
+def test_presence_primitive_leaves_messages_and_oneofs(spark):
+    cls = D.message_class(*VIEW)
+    m = cls(view_id="v")
+    m.events.add(type="a")
+    got = decode(_bytes_df(spark, [m, None]), VIEW, keep=("id",), absent="primitive").orderBy("id").collect()
+    assert got[0]["asn"] == 0 and got[0]["browser"] == "" and got[0]["view_start"] is None
+    event = got[0]["events"][0]
+    assert event["orientation_info"] is None and event["rendition_info"] is None
+    assert got[1]["asn"] is None and got[1]["events"] is None
+    order = D.message_class(*ORDER)(order_key=5)
+    row = decode(_bytes_df(spark, [order]), ORDER, absent="primitive").first()
+    assert row["order_key"] == 5 and row["counters"] == {} and row["attrs"] is None
+    for f in D.message_descriptor(*ORDER).fields:
+        if f.containing_oneof is not None:
+            assert row[f.name] is None
+
+
+def test_protobuf_json_mapping(spark):
+    import json
+
+    from google.protobuf import json_format
+
+    cls = D.message_class(*ORDER)
+    m = cls(order_key=5, counters={"x": 3})
+    m.attrs.update({"a": 1})
+    df = _bytes_df(spark, [m, None, cls()])
+    rows = decode_json(df, ORDER, mapping="protobuf").orderBy("id").collect()
+    got = json.loads(rows[0]["content"])
+    assert got == json.loads(json_format.MessageToJson(m))
+    assert got["attrs"] == {"a": 1.0} and got["counters"] == {"x": "3"}
+    assert rows[1]["content"] is None and rows[2]["content"] == "{}"
+    assert [r["id"] for r in rows] == [0, 1, 2] and bytes(rows[0]["value"]) == m.SerializeToString()
+    proto = decode_json(df, ORDER, mapping="protobuf", names="proto", keep=("id",)).orderBy("id").first()
+    assert "order_key" in json.loads(proto["content"]) and proto.asDict().keys() == {"id", "content"}
+    empty = decode_json(df.limit(0), ORDER, mapping="protobuf")
+    assert empty.columns == ["id", "value", "content"] and empty.count() == 0
+
+
+@pytest.mark.parametrize("mapping", ["spark", "protobuf"])
+def test_json_of_broken_messages(spark, mapping):
+    good = D.message_class(*ORDER)(order_key=5).SerializeToString()
+    df = spark.createDataFrame([(0, bytearray(good)), (1, bytearray(b"\x0a\xff"))], "id int, value binary")
+    rows = decode_json(df, ORDER, mapping=mapping, mode="permissive").orderBy("id").collect()
+    assert rows[0]["_error"] is None and "5" in rows[0]["content"]
+    assert rows[1]["content"] is None and rows[1]["_error"]
+    with pytest.raises(Exception, match="OrderMsg"):
+        decode_json(df, ORDER, mapping=mapping).collect()
+
+
 def test_oneof_exactly_one(spark):
     cls = D.message_class(*VIEW)
     m = cls(view_id="v")

@@ -12,7 +12,7 @@ from protoflow._session import new_scratch, scratch_dir
 from protoflow.functions import descriptors as D
 from protoflow.functions.api import decode, encode
 from protoflow.operators.registry import (decode_registered, empty_registry, encode_registered, frame,
-                                          register_schema, unframe)
+                                          load_registry, register_schema, save_registry, unframe)
 from protoflow.operators.sampling import pick_file, sample_files
 from protoflow.operators.views import populated_fields, snake_names, union_days, unpivot_fields
 from protoflow.plans.tables import ingest_report, shape, table_detail, write_table
@@ -157,6 +157,35 @@ def test_registry_unknown_id(spark, sf_small):
     assert res.where("_error IS NOT NULL").count() == rows.count()
 
 
+def test_registry_decode_refuses_another_message(spark, sf_small):
+    reg, ev = register_schema(empty_registry(spark), "events-value", D.event_msg(1))
+    reg, order = register_schema(reg, "orders-value", D.order_msg())
+    rows = spark.createDataFrame([(77,)], "order_key long")
+    framed = encode_registered(rows, reg, subject="orders-value")
+    with pytest.raises(Exception, match="not in registry"):
+        decode_registered(framed, reg, D.event_msg(1)).collect()
+    assert decode_registered(framed, reg, D.order_msg()).first()["order_key"] == 77
+    other = decode_registered(framed, reg, D.order_msg(), subject="events-value", mode="permissive").first()
+    assert other["order_key"] is None and "not in registry" in other["_error"]
+
+
+def test_registry_is_saved_and_loaded(spark):
+    path = new_scratch(spark, "registry")
+    reg, _ = register_schema(load_registry(spark, path), "events-value", D.event_msg(1))
+    save_registry(reg, path)
+    save_registry(reg, path)
+    again = load_registry(spark, path)
+    assert again.collect() == reg.collect()
+    more, sid = register_schema(again, "events-value", D.event_msg(2))
+    assert sid == 2
+    save_registry(more, path)
+    assert load_registry(spark, path).count() == 2
+    other, _ = register_schema(empty_registry(spark), "orders-value", D.order_msg())
+    with pytest.raises(ValueError, match="another schema"):
+        save_registry(other, path)
+    assert load_registry(spark, path).count() == 2
+
+
 def test_views_helpers(spark, sf_small):
     dec = decode(FX.view_messages(spark, sf_small), D.view_record(), names="camel",
                  fields=["view_id", "custom_2", "watch_time"])

@@ -80,6 +80,17 @@ def test_recursive_message_is_cut_at_depth():
     assert s.count("child") == 4 and s.endswith("child:string>>>>")   # 3 levels, then JSON text
 
 
+def test_recursion_is_cut_before_it_multiplies():
+    fdp = descriptor_pb2.FileDescriptorProto(name="tree.proto", package="tree", syntax="proto2")
+    node = fdp.message_type.add(name="Node")
+    for i, name in enumerate(("left", "middle", "right"), 1):
+        node.field.add(name=name, number=i, type=11, label=1).type_name = ".tree.Node"
+    ds = D.descriptor_set(fdp)
+    assert spark_schema(ds, "tree.Node").simpleString().count(":string") == 3 ** 4
+    assert spark_schema(ds, "tree.Node", max_recursion=1).simpleString().count(":string") == 3 ** 2
+    assert len(describe_rows(ds, "tree.Node")) == 3 + 9 + 27 + 81
+
+
 def test_fixed_column_sets():
     assert len(VIEW_COLUMNS_90) == 90 and len(VIEW_COLUMNS_94) == 94
     assert VIEW_COLUMNS_90[0] == "view_id" and VIEW_COLUMNS_90[-1] == "stream_type"
