@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from protoflow.llm._tables import written
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-    return row[0], row[1]
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node points at one other, which points at none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return ends.where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,13 +21,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points the larger neighbours of a node at its smallest one (large star), then a
     node's smaller neighbours and itself at the smallest (small star); both are a minimum by key
-    and a join, written to the shared folder.  It ends when a round changes nothing.
+    and a join, written to the shared folder.  It ends when all links are stars.
     """
     edges = written(links.where(F.col("u") != F.col("v"))
                     .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
-    while before != (now := _digest(edges)):
-        before = now
+    while not _only_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where(F.col("v") > F.col("u")).join(least, "u").where(F.col("v") != F.col("m"))

@@ -132,7 +132,7 @@ def _sketch(pages: DataFrame) -> np.ndarray:
         return pa.table({"page": group.column("page").slice(0, 1), "counts": pa.array([level.tobytes()], pa.binary())})
 
     out = np.zeros(SLOTS, np.uint16)
-    for r in pages.groupBy("page").applyInArrow(add_up, "page long, counts binary").toLocalIterator():
+    for r in pages.groupBy("page").applyInArrow(add_up, "page long, counts binary").collect():
         out[r["page"]:r["page"] + PAGE] = np.frombuffer(r["counts"], "<u2")
     return out
 
