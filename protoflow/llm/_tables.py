@@ -14,11 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
+def written(df: DataFrame, kind: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, so a
     lost executor costs a re-read and not a recomputation."""
     path = new_scratch(df.sparkSession, f"llm-{kind}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
