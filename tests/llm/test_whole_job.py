@@ -25,3 +25,17 @@ def test_lm_weights_are_fitted_on_all_words_by_count(spark):
     w, rng = one["weights"].astype(float), np.random.default_rng(1)
     for _ in range(20):                                                   # the best for the whole sum
         assert loss(w) <= loss(w + rng.normal(0, 0.05, w.shape)) * (1 + 1e-6)
+
+
+def test_lm_classes_are_settled_on_all_texts(spark):
+    from protoflow.llm.language_id import features
+
+    words = [["sea", "ship", "wind", "sail"], ["zzz", "qqq", "xkx", "vjv"]]
+    texts = [" ".join(words[i % 10 == 0][(i + j * j) % 4] for j in range(5 + i % 9)) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3)
+    centre = lm_scoring.classes(docs, len(texts), n=2, rows=40).astype(float)
+    x = features([t.encode() for t in texts], lm_scoring.CLASS_GRAMS)
+    near = (x @ centre.T).argmax(axis=1)
+    for i in range(len(centre)):                                          # the mean of all texts nearest to it
+        mean = x[near == i].mean(axis=0)
+        assert np.allclose(centre[i], mean / np.linalg.norm(mean), atol=1e-4)
