@@ -35,13 +35,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # The library finds these strings in the text before it cuts words: such texts are encoded whole.
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.loose = (any(t.get("normalized") for t in spec.get("added_tokens") or []) and bool(spec.get("normalizer"))
+                      or any(c.isspace() or c == _MARK for a in self.added for c in a))
         pre = spec.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [])
         self.known: dict = {}
-        if (pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True)
+        if self.loose:                                   # their strings cannot be told from the text alone
+            self.units = None
+        elif (pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True)
                 and not spec.get("normalizer")):
             self.mark = self._single("\n")
             self.units = self._byte_level if self.mark is not None else None
@@ -122,6 +127,18 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.units is None:
             return self._whole(texts) if texts else []
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if odd:
+            out: list = [b""] * len(texts)
+            for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
+                out[i] = ids
+            left = sorted(set(range(len(texts))) - set(odd))
+            for i, ids in zip(left, self._pieced([texts[i] for i in left])):
+                out[i] = ids
+            return out
+        return self._pieced(texts)
+
+    def _pieced(self, texts: list[str]) -> list[bytes]:
         learn = self._learn_spaced if self.units == self._spaced else self._learn_byte_level
         known, split, missing = self.known, [], set()
         for t in texts:

@@ -1,7 +1,11 @@
 """Nothing is sampled, capped or left out where the whole table is asked for."""
 import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
 
-from protoflow.llm import lm_scoring
+from protoflow.llm import lm_scoring, packing
+from protoflow.llm._tokenize import Encoder
 
 
 def test_lm_weights_are_fitted_on_all_words_by_count(spark):
@@ -39,3 +43,24 @@ def test_lm_classes_are_settled_on_all_texts(spark):
     for i in range(len(centre)):                                          # the mean of all texts nearest to it
         mean = x[near == i].mean(axis=0)
         assert np.allclose(centre[i], mean / np.linalg.norm(mean), atol=1e-4)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_librarys_own_with_added_tokens_in_the_text(name):
+    path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(path)                                 # as it comes, no flag set
+    added = ["<|endoftext|>", "<|startoftext|>"]
+    texts = ["a plain text of words", "", "a <|endoftext|> b", "a<|endoftext|>b", *added, f"{added[0]}{added[1]}",
+             "x\n<|startoftext|>\n y  <|endoftext|> ", "<|endof text|>", "<|ENDOFTEXT|> and a <|endoftext", "■ <|endoftext|>"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    model = Encoder(path)
+    assert model.encode(texts) == want
+    assert model.encode(texts[::-1]) == want[::-1]                        # and from the word store
+
+
+def test_packing_keeps_an_added_token(docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "a <|endoftext|> b"
+    got = packing.pack(docs((1, text)), path, end=1).collect()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [1]
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [want]
