@@ -13,17 +13,16 @@ from pyspark.sql import functions as F
 from protoflow.llm._tables import table, written
 from protoflow.llm.decontamination import decontaminate
 from protoflow.llm.jaccard_join import keep_one
-from protoflow.llm.language_id import UNKNOWN, fit, identify
+from protoflow.llm.language_id import UNKNOWN, fit, identify, limits
 from protoflow.llm.line_dedup import line_dedup
 from protoflow.llm.packing import pack
 
-MIN_SCORE = 0.2        # a language less sure than this is rejected with the unknown ones
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
-    found = identify(docs, fit(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """Documents whose language is recognised; the limits come from the margins of all labelled documents."""
+    model = fit(docs)
+    found = identify(docs, model, least=limits(docs, model))
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

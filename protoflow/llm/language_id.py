@@ -22,6 +22,7 @@ DIM = 2048
 ORDERS = (1, 2, 3)
 TRAIN_ROWS = 6000      # bound of the sample that the classifier is fitted on, all languages together
 UNKNOWN = "und"
+LOW, LIMIT = 0.05, 0.5  # a text is recognised with half of the margin that 95 % of its language's labelled texts have
 _LETTER = re.compile(rb"[A-Za-z]")
 _SHIFT = np.uint64(64 - 11)
 
@@ -156,11 +157,59 @@ def classify(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, score
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+def margins(model: dict, x: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """The least raw margin by which the machines of its language take each vector (0 with one language alone)."""
+    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    out = np.full(len(x), np.inf)
+    for i in np.unique(lang).tolist():
+        mine = lang == i
+        sides = [model["family"][k] for k, g in enumerate(model["families"]) if i in g and model["family"]]
+        sides += [w if a == i else -w for (a, b), w in model["pairs"].items() if i in (a, b)]
+        for w in sides:
+            out[mine] = np.minimum(out[mine], x[mine] @ w)
+    return np.where(np.isinf(out), 0, out)
+
+
+def _has_letter(text: bytes) -> bool:
+    return bool(_LETTER.search(text)) or any(map(str.isalpha, text.decode()))
+
+
+def limits(labelled: DataFrame, model: dict, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """The least raw margin of a recognised text, by language: ``LIMIT`` times the margin that all but
+    ``LOW`` of the language's labelled and rightly told texts have.  All labelled rows are read."""
+    if not model["langs"]:
+        return {}
+    ensure_shipped(labelled.sparkSession)
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    src = only(labelled, text=text, lang=lang).where("text is not null and lang is not null")
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = shared.value
+        number = {n: i for i, n in enumerate(model["langs"])}
+        for batch in batches:
+            texts, names = texts_of(batch.column(0)), batch.column(1).to_pylist()
+            for a, b in grouped(texts, 1 << 21):
+                x = features(texts[a:b])
+                k, _ = classify(model, x)
+                right = np.array([number.get(n) == i and _has_letter(t)
+                                  for n, i, t in zip(names[a:b], k.tolist(), texts[a:b])], bool)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n for n, r in zip(names[a:b], right) if r], pa.string()),
+                     pa.array(margins(model, x[right], k[right]), pa.float64())], names=["lang", "margin"])
+
+    rows = src.mapInArrow(run, "lang string, margin double").groupBy("lang").agg(
+        F.percentile_approx("margin", LOW, 10000).alias("low")).collect()      # one row per language
+    return {r["lang"]: LIMIT * max(r["low"], 0.0) for r in rows}
+
+
+def identify(docs: DataFrame, model: dict, text: str = "text", least: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1); only the text is read for them.
 
     NULL texts, texts without a letter, and all texts under a model without languages are
-    ``und`` with score 0.  Equal texts get equal results.  Columns named ``lang_pred`` or ``score`` are
+    ``und`` with score 0, and with ``least`` (see ``limits``) so are texts with a smaller raw margin
+    than their language's.  Equal texts get equal results.  Columns named ``lang_pred`` or ``score`` are
     replaced; an empty table gives an empty result.
     """
     from protoflow.llm._tables import without
@@ -181,9 +230,13 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             pred, score = [], []
             for a, b in grouped(texts, 1 << 21):
                 part = texts[a:b]
-                letter = [bool(_LETTER.search(t)) or any(map(str.isalpha, t.decode())) for t in part]
+                letter = [_has_letter(t) for t in part]
                 if model["langs"]:
-                    k, s = classify(model, features(part))
+                    x = features(part)
+                    k, s = classify(model, x)
+                    if least is not None:
+                        bound = np.array([least.get(n, 0.0) for n in model["langs"]])[k]
+                        letter = (np.array(letter, bool) & (margins(model, x, k) >= bound)).tolist()
                 else:
                     k, s, letter = np.zeros(b - a, int), np.zeros(b - a), [False] * (b - a)
                 pred += [model["langs"][i] if y else UNKNOWN for i, y in zip(k.tolist(), letter)]

@@ -64,3 +64,20 @@ def test_packing_keeps_an_added_token(docs):
     got = packing.pack(docs((1, text)), path, end=1).collect()
     want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [1]
     assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [want]
+
+
+def test_language_stage_rejects_foreign_and_junk_texts(spark):
+    import corpus_pipeline as C
+
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bad = ["wczoraj wieczorem poszliśmy na długi spacer po lesie i widzieliśmy bardzo dużo różnych ptaków oraz zwierząt",
+           "eilen illalla menimme pitkälle kävelylle metsään ja näimme monta erilaista lintua ja eläintä joen rannalla",
+           "вчера вечером мы пошли на долгую прогулку в лес и увидели много разных птиц и зверей у реки",
+           "x 12345 !!! 99 ## 00", "qzx kjq wvx zzqk xxjv qqw zkx jjv xqz wkq vvx", "for(i=0;i<n;++i){a[i]=b[i]^0xff;}//}}"]
+    good = ["the ship sailed on the sea and the wind was high in the night"]
+    docs = base.unionByName(spark.createDataFrame(
+        [(10**6 + i, t, None, "z", len(t)) for i, t in enumerate(bad + good)], base.schema))
+    kept = {r["doc_id"] for r in C.language_id(spark, docs, "").select("doc_id").collect()}
+    assert {i for i in kept if i >= 10**6} == {10**6 + len(bad)}
+    clean = base.where("length(text) > 60").select("doc_id").collect()
+    assert sum(r["doc_id"] in kept for r in clean) >= 0.99 * len(clean)
