@@ -81,3 +81,21 @@ def test_language_stage_rejects_foreign_and_junk_texts(spark):
     assert {i for i in kept if i >= 10**6} == {10**6 + len(bad)}
     clean = base.where("length(text) > 60").select("doc_id").collect()
     assert sum(r["doc_id"] in kept for r in clean) >= 0.99 * len(clean)
+
+
+def test_lm_score_depends_on_the_order_of_words(docs):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    line = ["the", "ship", "left", "a", "harbour", "in", "wind", "and", "rain"]
+    rows = [(i, " ".join(line[(i + j) % 9] for j in range(30))) for i in range(60)]
+    words = rows[0][1].split()
+    rng.shuffle(words)
+    rows += [(100, rows[4][1]), (101, " ".join(words))]
+    for chunk in (16 << 20, 500):
+        got = {r["doc_id"]: r for r in lm_scoring.score(docs(*rows), F.col("doc_id") >= 100, chunk_bytes=chunk).collect()}
+        assert got[100]["score"] > got[101]["score"] + 5
+        assert abs(got[100]["base_score"] - got[101]["base_score"]) < 1
+    assert all(r["score"] < 0 and np.isfinite(r["score"]) for r in got.values())
