@@ -8,6 +8,11 @@ from protoflow.llm import lm_scoring, packing
 from protoflow.llm._tokenize import Encoder
 
 
+def test_lm_model_has_its_full_size():
+    assert dict(lm_scoring.ORDERS) == {1: 16, 2: 18, 3: 20, 4: 21, 0: 22}
+    assert (lm_scoring.CLASSES, lm_scoring.CLASS_GRAMS) == (8, (1, 2, 3))
+
+
 def test_lm_weights_are_fitted_on_all_words_by_count(spark):
     words = [(f"{'abcdefgh'[i % 8]}{'xyz'[i % 3]}{i * i % 997}".encode(), 1 + i * 7919 % 50) for i in range(3000)]
     words = sorted(dict(words).items())
