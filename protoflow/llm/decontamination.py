@@ -4,10 +4,10 @@ Items are short and documents long, so similarity says nothing and containment i
 for: the share of an item's distinct five-word shingles that a document has.  An item with
 n shingles that lies in a document by a share ``t`` or more misses at most
 ``n - ceil(t n)`` of them, so one of its ``n - ceil(t n) + 1`` smallest shingle hashes must
-be present.  Items are partitioned by size (powers of two); each partition has its own
-sketch length and the largest hash value any of its sketches holds.  Documents keep only
-the hashes below the largest of these cuts, and meet the sketches in one join: the search
-misses nothing, and the pairs found are verified on the shingles themselves.
+be present.  Documents keep only the hashes below the largest that any sketch holds, and
+meet the sketches in one join: the search misses nothing, and the pairs found are verified on
+the shingles themselves.  Size partitions (powers of two) are nominal: the join is on the hash
+alone, and one short item lifts the cut to nearly the whole hash range.
 """
 
 from __future__ import annotations
