@@ -138,6 +138,62 @@ def open_fs(uri: str):
     return fs, path
 
 
+def _hadoop(spark, uri: str):
+    """(FileSystem, Path) of the session's file system layer, for small files on the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def create_once(spark, uri: str, data: bytes) -> bool:
+    """Create a small file with ``data`` unless it is there; False if another writer was first.
+
+    The content appears at once: it is written aside and then linked (local folders) or renamed to
+    its name.  A rename onto an existing name fails on HDFS and the stores that follow it; a store
+    without an exclusive rename gives no protection against two writers at the same instant.
+    """
+    fs, path = _hadoop(spark, uri)
+    aside = f"{uri.rsplit('/', 1)[0]}/.{uri.rsplit('/', 1)[1]}.{uuid.uuid4().hex}"
+    if fs.getUri().getScheme() == "file":
+        local, tmp = path.toUri().getPath(), spark._jvm.org.apache.hadoop.fs.Path(aside).toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(tmp, "wb") as fh:
+            fh.write(data)
+        try:
+            os.link(tmp, local)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(tmp)
+    _, tmp = _hadoop(spark, aside)
+    stream = fs.create(tmp, False)
+    stream.write(bytearray(data))
+    stream.close()
+    if not fs.exists(path) and fs.rename(tmp, path):
+        return True
+    fs.delete(tmp, False)
+    return False
+
+
+def small_files(spark, folder: str) -> list[str]:
+    """Sorted paths of the files directly in ``folder`` without hidden ones; none if it is not there."""
+    fs, path = _hadoop(spark, folder)
+    if not fs.exists(path):
+        return []
+    return sorted(str(f.getPath()) for f in fs.listStatus(path)
+                  if f.isFile() and not f.getPath().getName().startswith("."))
+
+
+def read_small(spark, uri: str) -> bytes:
+    """The bytes of one small file."""
+    fs, path = _hadoop(spark, uri)
+    stream = fs.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def spread(df, min_partitions: int | None = None):
     """Give a Python-heavy stage at least one partition per core.
 

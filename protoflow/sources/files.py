@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._session import ensure_shipped, open_fs, shuffle_partitions
+from .listing import TARGET_BYTES, balanced, list_tree
 
 DATE_HOUR = r"/(\d{4})/(\d{2})/(\d{2})/(\d{2})/"
 BINARY_FILE_SCHEMA = T.StructType([
@@ -137,19 +138,25 @@ def _read_paths(batches, path_col: str, permissive: bool):
 
 
 def read_listed(files: DataFrame, path_col: str = "path", partitions: int | None = None,
-                mode: str = "failfast") -> DataFrame:
+                mode: str = "failfast", target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Content of exactly the files in ``files`` (e.g. a sample of a listing), read by the
     executors: path, length, content.  The list stays distributed (never collected), and
     files outside it are never opened - a join against a full binaryFile scan would read
     every file first.
 
-    Paths are dealt by a hash to ``partitions`` tasks (the session's shuffle width unless
-    given): a list of paths is small whatever the files hold, so it must not be merged into
-    one task by size.  A file that has gone fails the task, or has NULL content with
+    With a ``length`` column the read is planned by bytes: each task reads a range of about
+    ``target_bytes`` of the running sum of lengths (less when there is little to read, so that
+    every core has some).  Without lengths, or with ``partitions`` given, paths are dealt by a
+    hash to that many tasks.  A file that has gone fails the task, or has NULL content with
     ``mode="permissive"``."""
-    ensure_shipped(files.sparkSession)
+    spark = files.sparkSession
+    ensure_shipped(spark)
     fn = partial(_read_paths, path_col=path_col, permissive=mode == "permissive")
-    dealt = files.select(path_col).repartition(partitions or shuffle_partitions(files.sparkSession), path_col)
+    if partitions is None and "length" in files.columns:
+        dealt = balanced(files.select(path_col, "length"), path_col, target_bytes=target_bytes,
+                         min_partitions=shuffle_partitions(spark)).select(path_col)
+    else:
+        dealt = files.select(path_col).repartition(partitions or shuffle_partitions(spark), path_col)
     return dealt.mapInArrow(
         fn, T.StructType([T.StructField(path_col, T.StringType(), True),
                           T.StructField("length", T.LongType(), True),
@@ -159,11 +166,18 @@ def read_listed(files: DataFrame, path_col: str = "path", partitions: int | None
 def read_messages(spark: SparkSession, base: str | None, message, day: str | None = None, hours=None,
                   glob: str | None = None, contains: str | None = None,
                   keep=("path", "view_date", "view_hour"), files: DataFrame | None = None,
-                  **decode_options) -> DataFrame:
-    """One scan over the files, decoded on the executors: never a loop over files.
+                  listing: str = "scan", **decode_options) -> DataFrame:
+    """Messages of the files, decoded on the executors: never a loop over files.
+
+    ``listing="scan"`` plans one file scan (Spark's index of the files is on the driver);
+    ``listing="tasks"`` lists by tasks and reads by byte ranges, for trees of any size.
     With ``files`` (a DataFrame of paths, e.g. from ``sample_files``) only those are read."""
     from ..functions.api import decode
 
+    if listing not in ("scan", "tasks"):
+        raise ValueError("listing must be 'scan' or 'tasks'")
+    if files is None and listing == "tasks":
+        files = list_tree(spark, base, days=day, hours=hours, glob=glob, contains=contains)
     if files is not None:
         raw = with_path_partition(read_listed(files, mode=decode_options.get("mode", "failfast")))
     else:
