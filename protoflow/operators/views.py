@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import descriptors as D
 from ..functions.api import decode, field_presence
 from ..functions.descriptors import message_descriptor
+from ..functions.lattice import conform, join_all
 from ..functions.schema import VIEW_COLUMNS_90, VIEW_RENAMES, proto_spelling, snake_name
 
 
@@ -107,11 +108,15 @@ def snake_names(df: DataFrame, message=None) -> DataFrame:
 
 
 def union_days(*dfs: DataFrame) -> DataFrame:
-    """UNION ALL by name; columns missing on one side are NULL; duplicates kept.
-    One plan node per input frame (a few days / versions), never one per file."""
+    """UNION ALL by name over the join of the schemas; duplicates kept.
+
+    What a side lacks is NULL at every depth (also inside structs, arrays and maps) and numbers
+    widen; types without a common one are a ``SchemaConflict``.  One plan node per input frame (a
+    few days / versions), never one per file."""
     if not dfs:
         raise ValueError("union_days needs at least one DataFrame")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+    schema = join_all(df.schema for df in dfs)
+    return reduce(DataFrame.unionByName, [conform(df, schema) for df in dfs])
 
 
 def unpivot_fields(df: DataFrame, key: str, fields) -> DataFrame:

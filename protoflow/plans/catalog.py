@@ -26,9 +26,10 @@ from ..operators.views import (explode_events, flatten_populated, flatten_view,
                                populated_fields,
                                snake_names, union_days, unpivot_fields)
 from ..sources import fixtures as FX
-from ..sources.files import land_raw_day, list_files, normalize_path, read_messages, write_message_files
+from ..sources.files import land_raw_day, normalize_path, read_messages, with_path_partition, write_message_files
+from ..sources.listing import list_tree
 from ..streaming.ingest import ingest_records, ingest_stream
-from .tables import ingest_report, shape, table_detail, write_table
+from .tables import ingest_report, read_table, shape, table_detail, write_table
 
 NTZ = dict(timestamp="timestamp_ntz")
 SPLIT_DATE = "2024-01-16 00:00:00"       # q25: the two "day slices" meet here
@@ -231,8 +232,7 @@ def q20_describe_message(spark, sf_dir):
 
 def q21_files(spark, sf_dir):
     base = view_tree(spark, sf_dir)
-    from ..sources.files import with_path_partition
-    files = with_path_partition(list_files(spark, base, glob="*.pb"))
+    files = with_path_partition(list_tree(spark, base, glob="*.pb"))
     return files.groupBy("view_date", "view_hour").agg(F.count(F.lit(1)).alias("n_files"))
 
 
@@ -245,7 +245,7 @@ def q22_path_date(spark, sf_dir):
 
 def _listing(spark, sf_dir):
     base = view_tree(spark, sf_dir)
-    files = list_files(spark, base, glob="*.pb")
+    files = list_tree(spark, base, glob="*.pb")
     return files.withColumn("rel", relpath_col(base)).withColumn("day", subdir("rel", None, level=3))
 
 
@@ -397,14 +397,14 @@ def q39_hour_folders(spark, sf_dir):
 def q40_path_contains(spark, sf_dir):
     """Path substring filter: files of views whose id starts with '1'."""
     base = view_tree(spark, sf_dir)
-    files = list_files(spark, base, glob="*.pb", contains="/view-1")
+    files = list_tree(spark, base, glob="*.pb", contains="/view-1")
     return files.select(F.regexp_extract("path", r"view-([^/]+)\.pb$", 1).alias("view_id"))
 
 
 def q41_normalize_path(spark, sf_dir):
     """Prefix rewrite of listed paths (scheme/mount spelling), counted per day folder."""
     base = view_tree(spark, sf_dir)
-    files = list_files(spark, base, glob="*.pb")
+    files = list_tree(spark, base, glob="*.pb")
     seen = base if ":" in base.split("/", 1)[0] else "file:" + base     # as the scan spells it
     local = normalize_path("path", seen.rstrip("/") + "/", "/mnt/views/")
     out = files.select(local.alias("local_path"))
@@ -448,6 +448,58 @@ def q45_read_sampled(spark, sf_dir):
     return dec.select("view_id", "view_date", "watch_time")
 
 
+SOME_DAYS = ("2024/01/01", "2024/01/0[3-9]")     # q46: one day and a pattern of days, three hours
+SOME_HOURS = (0, 2, 13)
+
+
+def q46_days_and_hours(spark, sf_dir):
+    """A strict subset of days and hours: folders outside it are never listed, files are read by byte ranges."""
+    base = view_tree(spark, sf_dir)
+    files = list_tree(spark, base, days=SOME_DAYS, hours=SOME_HOURS)
+    dec = read_messages(spark, None, D.view_record(), files=files, fields=["view_id", "watch_time"],
+                        keep=("view_date", "view_hour"))
+    return dec.select("view_id", "view_date", "view_hour", "watch_time")
+
+
+def _event_slices(spark, sf_dir):
+    """The days before the split as version 1 of the event rows, the others as version 2: a new column, a
+    number that widened, and a struct with a new field."""
+    from ..functions.api import encode
+    rows = FX.event_rows(spark, sf_dir)
+    early = F.coalesce(F.col("ts") < F.lit(SPLIT_DATE).cast("timestamp_ntz"), F.lit(True))
+    a = decode(encode(rows.where(early), D.event_msg(1)), D.event_msg(1), **NTZ)
+    late = rows.where(~early).withColumn("source", F.concat(F.col("event_type"), F.lit("-src")))
+    b = decode(encode(late, D.event_msg(2)), D.event_msg(2), **NTZ)
+    day = F.to_date("ts").alias("view_date")
+    old = a.select("event_id", F.col("user_id").cast("int").alias("user"), F.struct("event_type").alias("info"), day)
+    new = b.select("event_id", F.col("user_id").alias("user"), F.struct("event_type", "value").alias("info"), "source", day)
+    return old, new
+
+
+def q47_growing_table(spark, sf_dir):
+    """A path table and a catalog table whose schema grows with the second write; both keep every column."""
+    old, new = _event_slices(spark, sf_dir)
+    path, name = new_scratch(spark, "growing"), f"protoflow_growing_{uuid.uuid4().hex[:10]}"
+    write_table(old, path=path)
+    write_table(new, path=path)
+    write_table(old, path=path + "-named", name=name)
+    write_table(new, path=path + "-named", name=name)
+    tables = [read_table(spark, path).withColumn("kept", F.lit("path")), spark.table(name).withColumn("kept", F.lit("name"))]
+    return union_days(*tables).groupBy("kept", "view_date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.sum("user").alias("users"),
+        F.count("source").alias("n_source"), F.count("info.event_type").alias("n_type"), F.max("info.value").alias("max_value"))
+
+
+def q48_union_versions(spark, sf_dir):
+    """Union of views decoded by two readers that differ inside the event list."""
+    msgs = _views_bytes(spark, sf_dir)
+    a = decode(msgs, D.view_record(), fields=["view_id", "watch_time", "events.type"]).where("watch_time % 2 = 0")
+    b = decode(msgs, D.view_record(), fields=["view_id", "watch_time", "events.sequence_number", "events.type", "custom_2"])
+    both = union_days(a, b.where("watch_time % 2 = 1"))
+    return both.select("view_id", "watch_time", "custom_2", F.size("events").alias("n_events"),
+                       F.array_max(F.transform("events", lambda e: e["sequence_number"])).alias("last"))
+
+
 QUERIES = {f.__name__: f for f in [
     q00_min_slice, q01_roundtrip, q02_struct_expand, q03_flatten_default, q04_flatten_null,
     q05_field_list, q06_business_names, q07_epoch_seconds, q08_timestamp_modes, q08b_timestamp_text,
@@ -457,7 +509,8 @@ QUERIES = {f.__name__: f for f in [
     q26_shape, q27_take, q28_table, q29_overwrite, q30_custom_type, q31_enum_modes, q31b_enum_int,
     q32_wide_types, q33_stream, q34_raw_landing, q35_unpivot, q36_ingest_report, q37_simple_message,
     q38_flatten_populated, q39_hour_folders, q40_path_contains, q41_normalize_path, q42_table_detail,
-    q43_field_presence, q44_record_stream, q45_read_sampled,
+    q43_field_presence, q44_record_stream, q45_read_sampled, q46_days_and_hours,
+    q47_growing_table, q48_union_versions,
 ]}
 
 # Which SURVEY §2 rows each query exercises (the coverage map in the README is built
@@ -512,6 +565,9 @@ SURVEY_ROWS = {
     "q43_field_presence": "C7 (from the bytes)",
     "q44_record_stream": "D13 D14 K9 §2.12 (registry records through a stream)",
     "q45_read_sampled": "S3 S8 (read only the sampled files) - the main ingest path",
+    "q46_days_and_hours": "S1 S2 S7 S8 (strict day and hour subset, listed by tasks, read by bytes)",
+    "q47_growing_table": "K1 K2 C9 (schema grows: new column, wider number, new nested field)",
+    "q48_union_versions": "U1 U2 C9 (union over nested change)",
 }
 assert set(SURVEY_ROWS) == set(QUERIES)
 for _name, _fn in QUERIES.items():

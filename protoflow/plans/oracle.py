@@ -175,6 +175,19 @@ FROM events GROUP BY event_type"""
     q["q22_path_date"] = _with(
         "SELECT view_id, CAST(view_start AS DATE) AS view_date, CAST(hour(view_start) AS INTEGER) AS view_hour, "
         "watch_time FROM views")
+    q["q46_days_and_hours"] = (
+        f"SELECT * FROM ({q['q22_path_date']}) WHERE view_hour IN (0, 2, 13) AND "
+        "(strftime(view_date, '%Y-%m-%d') = '2024-01-01' OR strftime(view_date, '%Y-%m-%d') BETWEEN '2024-01-03' AND '2024-01-09')")
+    early = f"coalesce(ts < TIMESTAMP '{SPLIT_DATE}', true)"
+    q["q47_growing_table"] = (
+        "SELECT kept, CAST(ts AS DATE) AS view_date, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, "
+        "CAST(sum(user_id) AS BIGINT) AS users, "
+        f"count(*) FILTER (WHERE NOT {early}) AS n_source, count(event_type) AS n_type, "
+        f"max(CASE WHEN NOT {early} AND event_type <> 'error' THEN value END) AS max_value "
+        "FROM events CROSS JOIN (VALUES ('path'), ('name')) k(kept) GROUP BY 1, 2")
+    q["q48_union_versions"] = _with(
+        "SELECT view_id, watch_time, CASE WHEN watch_time % 2 = 1 THEN custom_2 END AS custom_2, n_events, "
+        "CASE WHEN watch_time % 2 = 1 THEN CAST(n_events AS BIGINT) END AS last FROM views")
     q["q23_sample"] = _with(
         f"SELECT rel, day FROM (SELECT {_rel()} AS rel, strftime(view_start, '%Y/%m/%d') AS day FROM views) f "
         "QUALIFY row_number() OVER (PARTITION BY day ORDER BY md5(rel), rel) "
