@@ -188,6 +188,16 @@ FROM events GROUP BY event_type"""
     q["q48_union_versions"] = _with(
         "SELECT view_id, watch_time, CASE WHEN watch_time % 2 = 1 THEN custom_2 END AS custom_2, n_events, "
         "CASE WHEN watch_time % 2 = 1 THEN CAST(n_events AS BIGINT) END AS last FROM views")
+    c = "substr(md5(view_id), 1, 1)"
+    q["q49_incremental_landing"] = _with(
+        f"SELECT CAST(view_start AS DATE) AS view_date, count(*) FILTER (WHERE {c} < '3') AS new, "
+        f"count(*) FILTER (WHERE {c} BETWEEN '3' AND '5') AS changed, count(*) FILTER (WHERE {c} BETWEEN '6' AND '7') AS gone, "
+        f"count(*) FILTER (WHERE {c} > '7') AS same, count(*) FILTER (WHERE {c} NOT BETWEEN '6' AND '7') AS n_files, "
+        f"CAST(sum(watch_time) FILTER (WHERE {c} NOT BETWEEN '6' AND '7') AS BIGINT) AS total_watch FROM views GROUP BY 1")
+    q["q50_counted_ingest"] = _with(
+        f"SELECT count(*) AS found, count(*) AS read, count(*) FILTER (WHERE {c} >= '3') AS rows, "
+        f"count(*) FILTER (WHERE {c} < '3') AS bad, count(*) FILTER (WHERE {c} >= '3') AS n_views, "
+        f"CAST(sum(watch_time) FILTER (WHERE {c} >= '3') AS BIGINT) AS total_watch FROM views")
     q["q23_sample"] = _with(
         f"SELECT rel, day FROM (SELECT {_rel()} AS rel, strftime(view_start, '%Y/%m/%d') AS day FROM views) f "
         "QUALIFY row_number() OVER (PARTITION BY day ORDER BY md5(rel), rel) "

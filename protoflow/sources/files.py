@@ -104,7 +104,7 @@ IO_THREADS = 16      # concurrent file operations per task (object stores are la
 READ_BYTES = 32 << 20    # content handed on at once by a reading task
 
 
-def _read_paths(batches, path_col: str, permissive: bool):
+def _read_paths(batches, path_col: str, permissive: bool, keep: tuple = ()):
     from concurrent.futures import ThreadPoolExecutor
 
     def read_one(p):
@@ -117,10 +117,11 @@ def _read_paths(batches, path_col: str, permissive: bool):
                 raise
             return None
 
-    def out(paths, blobs):
+    def out(batch, done, blobs):
+        part = batch.slice(done, len(blobs))
         return pa.RecordBatch.from_arrays(
-            [pa.array(paths, pa.string()), pa.array([None if b is None else len(b) for b in blobs], pa.int64()),
-             pa.array(blobs, pa.binary())], names=[path_col, "length", "content"])
+            [part.column(path_col), pa.array([None if b is None else len(b) for b in blobs], pa.int64()),
+             pa.array(blobs, pa.binary()), *[part.column(k) for k in keep]], names=[path_col, "length", "content", *keep])
 
     with ThreadPoolExecutor(max_workers=IO_THREADS) as pool:
         for batch in batches:
@@ -131,36 +132,36 @@ def _read_paths(batches, path_col: str, permissive: bool):
                     blobs.append(b)
                     size += len(b or b"")
                 if size >= READ_BYTES:
-                    yield out(paths[done:done + len(blobs)], blobs)
+                    yield out(batch, done, blobs)
                     done, blobs, size = done + len(blobs), [], 0
             if blobs:
-                yield out(paths[done:], blobs)
+                yield out(batch, done, blobs)
 
 
 def read_listed(files: DataFrame, path_col: str = "path", partitions: int | None = None,
-                mode: str = "failfast", target_bytes: int = TARGET_BYTES) -> DataFrame:
+                mode: str = "failfast", target_bytes: int = TARGET_BYTES, keep=()) -> DataFrame:
     """Content of exactly the files in ``files`` (e.g. a sample of a listing), read by the
-    executors: path, length, content.  The list stays distributed (never collected), and
-    files outside it are never opened - a join against a full binaryFile scan would read
-    every file first.
+    executors: path, length, content, and the columns of ``keep``.  The list stays distributed
+    (never collected), and files outside it are never opened - a join against a full binaryFile
+    scan would read every file first.
 
     With a ``length`` column the read is planned by bytes: each task reads a range of about
     ``target_bytes`` of the running sum of lengths (less when there is little to read, so that
     every core has some).  Without lengths, or with ``partitions`` given, paths are dealt by a
     hash to that many tasks.  A file that has gone fails the task, or has NULL content with
-    ``mode="permissive"``."""
-    spark = files.sparkSession
+    ``mode="permissive"``; ``length`` is that of the content read."""
+    spark, keep = files.sparkSession, tuple(keep)
     ensure_shipped(spark)
-    fn = partial(_read_paths, path_col=path_col, permissive=mode == "permissive")
+    fn = partial(_read_paths, path_col=path_col, permissive=mode == "permissive", keep=keep)
     if partitions is None and "length" in files.columns:
-        dealt = balanced(files.select(path_col, "length"), path_col, target_bytes=target_bytes,
-                         min_partitions=shuffle_partitions(spark)).select(path_col)
+        dealt = balanced(files.select(path_col, "length", *keep), path_col, target_bytes=target_bytes,
+                         min_partitions=shuffle_partitions(spark)).select(path_col, *keep)
     else:
-        dealt = files.select(path_col).repartition(partitions or shuffle_partitions(spark), path_col)
+        dealt = files.select(path_col, *keep).repartition(partitions or shuffle_partitions(spark), path_col)
     return dealt.mapInArrow(
         fn, T.StructType([T.StructField(path_col, T.StringType(), True),
                           T.StructField("length", T.LongType(), True),
-                          T.StructField("content", T.BinaryType(), True)]))
+                          T.StructField("content", T.BinaryType(), True), *[files.schema[k] for k in keep]]))
 
 
 def read_messages(spark: SparkSession, base: str | None, message, day: str | None = None, hours=None,
@@ -254,3 +255,26 @@ def write_message_files(df: DataFrame, base: str, path_col: str = "relpath",
     written = df.select(path_col, content_col).mapInArrow(fn, "file string, bytes long")
     row = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
     return int(row["n"]), int(row["b"])
+
+
+def _remove_files(batches, path_col: str):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def remove(path):
+        fs, local = open_fs(path)
+        try:
+            fs.delete_file(local)
+        except FileNotFoundError:                # a repeated task finds it gone
+            pass
+
+    with ThreadPoolExecutor(max_workers=IO_THREADS) as pool:
+        for batch in batches:
+            list(pool.map(remove, batch.column(path_col).to_pylist()))
+            yield batch.select([path_col])
+
+
+def remove_message_files(files: DataFrame, path_col: str = "path") -> int:
+    """Delete the files in ``files`` from the executors; returns how many paths were given."""
+    ensure_shipped(files.sparkSession)
+    src = files.select(path_col)
+    return src.mapInArrow(partial(_remove_files, path_col=path_col), src.schema).count()
