@@ -26,6 +26,7 @@ from ..operators.views import (explode_events, flatten_populated, flatten_view,
                                populated_fields,
                                snake_names, union_days, unpivot_fields)
 from ..sources import fixtures as FX
+from ..sources import datasource as DS
 from ..sources.files import (land_raw_day, normalize_path, read_messages, remove_message_files, with_path_partition,
                              write_message_files)
 from ..sources.landing import ingest_files, land_changes, landed_table
@@ -540,6 +541,16 @@ def q50_counted_ingest(spark, sf_dir):
     return counts.drop("bytes").join(totals)
 
 
+def q51_message_source(spark, sf_dir):
+    """Views written by the message file source's writer and read back through it, morning hours only."""
+    DS.register(spark)
+    base = new_scratch(spark, "source")
+    (_views_bytes(spark, sf_dir).select("relpath", F.col("value").alias("content"))
+     .write.format(DS.NAME).mode("append").save(base))
+    raw = spark.read.format(DS.NAME).option("hours", ",".join(map(str, range(12)))).load(base)
+    return decode(raw, D.view_record(), col="content", fields=["view_id", "watch_time"], keep=("view_date", "view_hour"))
+
+
 QUERIES = {f.__name__: f for f in [
     q00_min_slice, q01_roundtrip, q02_struct_expand, q03_flatten_default, q04_flatten_null,
     q05_field_list, q06_business_names, q07_epoch_seconds, q08_timestamp_modes, q08b_timestamp_text,
@@ -551,6 +562,7 @@ QUERIES = {f.__name__: f for f in [
     q38_flatten_populated, q39_hour_folders, q40_path_contains, q41_normalize_path, q42_table_detail,
     q43_field_presence, q44_record_stream, q45_read_sampled, q46_days_and_hours,
     q47_growing_table, q48_union_versions, q49_incremental_landing, q50_counted_ingest,
+    q51_message_source,
 ]}
 
 # Which SURVEY §2 rows each query exercises (the coverage map in the README is built
@@ -610,6 +622,7 @@ SURVEY_ROWS = {
     "q48_union_versions": "U1 U2 C9 (union over nested change)",
     "q49_incremental_landing": "S14 (only new, changed and gone files; their days rewritten)",
     "q50_counted_ingest": "K8 K3 (counts taken by the write's own pass)",
+    "q51_message_source": "S8 S9 S14 S7 (message files as a Spark data source, read and written)",
 }
 assert set(SURVEY_ROWS) == set(QUERIES)
 for _name, _fn in QUERIES.items():

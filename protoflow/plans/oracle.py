@@ -188,6 +188,7 @@ FROM events GROUP BY event_type"""
     q["q48_union_versions"] = _with(
         "SELECT view_id, watch_time, CASE WHEN watch_time % 2 = 1 THEN custom_2 END AS custom_2, n_events, "
         "CASE WHEN watch_time % 2 = 1 THEN CAST(n_events AS BIGINT) END AS last FROM views")
+    q["q51_message_source"] = f"SELECT * FROM ({q['q22_path_date']}) WHERE view_hour < 12"
     c = "substr(md5(view_id), 1, 1)"
     q["q49_incremental_landing"] = _with(
         f"SELECT CAST(view_start AS DATE) AS view_date, count(*) FILTER (WHERE {c} < '3') AS new, "
