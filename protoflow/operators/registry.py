@@ -10,13 +10,16 @@ collected from the data.
 
 from __future__ import annotations
 
-import hashlib
+import base64
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .._session import create_once
 from ..functions.api import decode, encode
+from ..functions.compat import closure_fingerprint, require
 from ..functions.schema import build_plan
 
 REGISTRY_SCHEMA = T.StructType([
@@ -27,7 +30,8 @@ REGISTRY_SCHEMA = T.StructType([
     T.StructField("fingerprint", T.StringType(), False),
     T.StructField("descriptor_set", T.BinaryType(), False),
 ])
-MAX_REGISTRY_ROWS = 100_000     # registries hold schema versions, not data; checked before use
+MAX_REGISTRY_BYTES = 64 << 20   # of descriptors in a task's closure; checked before they are collected
+CLAIM_TRIES = 50
 
 
 def empty_registry(spark: SparkSession) -> DataFrame:
@@ -61,47 +65,108 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fingerprint(desc_set: bytes, message: str) -> str:
-    return hashlib.sha256(message.encode() + b"\0" + desc_set).hexdigest()
+    return closure_fingerprint(desc_set, message)
 
 
-def register_schema(registry: DataFrame, subject: str, message) -> tuple[DataFrame, int]:
+def register_schema(registry: DataFrame, subject: str, message, compatibility: str = "none") -> tuple[DataFrame, int]:
     """Add (subject, schema) unless present; returns (registry, schema_id).
 
     Idempotent: the same subject and schema always get the id they got first.
-    Ids are global (max + 1); versions count per subject.  One aggregation job.
+    Ids are global (max + 1); versions count per subject.  One aggregation job.  With
+    ``compatibility`` (``backward``, ``forward``, ``full``) a schema that breaks it with the
+    subject's newest version is an ``IncompatibleSchema`` error.  For several writers: ``RegistryLog``.
     """
     desc_set, name = message
     fp = _fingerprint(desc_set, name)
-    same = (F.col("subject") == subject)
+    found, top, version, newest = _standing(registry, subject, fp)
+    if found is not None:
+        return registry, found
+    if newest is not None and compatibility != "none":
+        require(compatibility, newest, message)
+    row = registry.sparkSession.createDataFrame(
+        [(subject, top + 1, version + 1, name, fp, bytearray(desc_set))], REGISTRY_SCHEMA)
+    return registry.unionByName(row), top + 1
+
+
+def _standing(registry: DataFrame, subject: str, fp: str):
+    """(id of this subject and schema or None, highest id, versions of the subject, newest schema or None)."""
+    same = F.col("subject") == subject
     stats = registry.agg(
-        F.max(F.when(same & (F.col("fingerprint") == fp), F.col("schema_id"))).alias("found"),
+        F.min(F.when(same & (F.col("fingerprint") == fp), F.col("schema_id"))).alias("found"),
         F.coalesce(F.max("schema_id"), F.lit(0)).alias("m"),
-        F.count(F.when(same, 1)).alias("v")).first()
-    if stats["found"] is not None:
-        return registry, int(stats["found"])
-    sid = int(stats["m"]) + 1
-    row = registry.sparkSession.createDataFrame(
-        [(subject, sid, int(stats["v"]) + 1, name, fp, bytearray(desc_set))], REGISTRY_SCHEMA)
-    return registry.unionByName(row), sid
+        F.count(F.when(same, 1)).alias("v"),
+        F.max(F.when(same, F.struct("version", "descriptor_set", "message_name"))).alias("newest")).first()
+    newest = stats["newest"]
+    return (None if stats["found"] is None else int(stats["found"]), int(stats["m"]), int(stats["v"]),
+            None if newest is None else (bytes(newest["descriptor_set"]), newest["message_name"]))
+
+
+class RegistryLog:
+    """A registry kept as a numbered log in a shared folder, safe with several writers.
+
+    Entry ``n`` is the file ``<n>.json`` and holds the schema with id ``n``; it is created only if it
+    is absent, so an id is given once.  A writer that loses an id reads the log again: the schema
+    may have got an id meanwhile, else it tries the next.  Entries never change.
+    """
+
+    ENTRY = "subject string, schema_id int, version int, message_name string, fingerprint string, descriptor_set string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def load(self) -> DataFrame:
+        """The registry table, in the order of no promise; no rows if nothing is registered."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return empty_registry(self.spark)
+        rows = self.spark.read.schema(self.ENTRY).json(self.path)
+        return rows.withColumn("descriptor_set", F.unbase64("descriptor_set")).select(*REGISTRY_SCHEMA.names)
+
+    def register(self, subject: str, message, compatibility: str = "none") -> int:
+        """The id of (subject, schema), given now unless it has one; see ``register_schema``."""
+        desc_set, name = message
+        fp = _fingerprint(desc_set, name)
+        for _ in range(CLAIM_TRIES):
+            found, top, version, newest = _standing(self.load(), subject, fp)
+            if found is not None:
+                return found
+            if newest is not None and compatibility != "none":
+                require(compatibility, newest, message)
+            entry = {"subject": subject, "schema_id": top + 1, "version": version + 1, "message_name": name,
+                     "fingerprint": fp, "descriptor_set": base64.b64encode(desc_set).decode()}
+            if create_once(self.spark, f"{self.path}/{top + 1:010d}.json", json.dumps(entry).encode()):
+                return top + 1
+        raise RuntimeError(f"{CLAIM_TRIES} ids in a row went to other writers; try again")
 
 
 def registry_snapshot(registry) -> dict[int, tuple[bytes, str, str, int]]:
     """{schema_id: (descriptor_set, message_name, subject, version)}.
 
-    A registry is a catalog of schema versions, not data: it is read with one
-    bounded collect (at most ``MAX_REGISTRY_ROWS`` + 1 rows, else an error) and then
-    shipped inside the task closure.  Passing a snapshot back in skips the read.
+    A registry is a catalog of schema versions, not data: it is read with one collect after its
+    bytes were checked against ``MAX_REGISTRY_BYTES``, and shipped inside the task closure.
+    Passing a snapshot back in skips the read.
     """
     if isinstance(registry, dict):
         return registry
-    rows = registry.select("schema_id", "descriptor_set", "message_name", "subject", "version") \
-        .limit(MAX_REGISTRY_ROWS + 1).collect()
-    if len(rows) > MAX_REGISTRY_ROWS:
-        raise ValueError(f"registry has more than {MAX_REGISTRY_ROWS} rows; refusing to ship it")
+    size = _bytes_of(registry)
+    if size > MAX_REGISTRY_BYTES:
+        raise ValueError(f"the schemas take {size} bytes, over the {MAX_REGISTRY_BYTES} that go into a task; "
+                         "give a part of the registry (a subject, a message, the ids in use)")
+    rows = registry.select("schema_id", "descriptor_set", "message_name", "subject", "version").collect()
     return {int(r["schema_id"]): (bytes(r["descriptor_set"]), r["message_name"], r["subject"],
                                   int(r["version"])) for r in rows}
 
 
+def _bytes_of(registry: DataFrame) -> int:
+    return int(registry.agg(F.coalesce(F.sum(F.octet_length("descriptor_set") + 100), F.lit(0))).first()[0])
+
+
+def used_schemas(registry: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The registry's rows whose id occurs in ``ids``: one aggregation of the ids, then a join."""
+    return registry.join(ids.select(F.col(id_col).alias("schema_id")).distinct(), "schema_id", "left_semi") \
+        .select(*REGISTRY_SCHEMA.names)
+
+
 def registry_map(registry) -> dict[int, tuple[bytes, str]]:
     """{schema_id: (descriptor_set, message_name)} from a registry or a snapshot."""
     return {k: (v[0], v[1]) for k, v in registry_snapshot(registry).items()}
@@ -139,6 +204,14 @@ def encode_registered(df: DataFrame, registry: DataFrame, subject: str | None =
     ``schema_id`` is an int (one schema for all rows) or a column name holding each
     row's writer schema id (mixed versions in one pass).
     """
+    if isinstance(registry, DataFrame):
+        # only the schemas that can occur travel with the tasks
+        if isinstance(schema_id, int):
+            registry = registry.where(F.col("schema_id") == schema_id)
+        elif schema_id is None and subject is not None:
+            registry = registry.where(F.col("subject") == subject)
+        if isinstance(schema_id, str) and _bytes_of(registry) > MAX_REGISTRY_BYTES:
+            registry = used_schemas(registry, df, schema_id)
     snap = registry_snapshot(registry)
     reg = {k: (v[0], v[1]) for k, v in snap.items()}
     keep = tuple(keep)
@@ -170,16 +243,19 @@ def decode_registered(df: DataFrame, registry: DataFrame, reader, col: str = "va
     Writers' extra tags are skipped and the reader's new fields stay NULL (the
     wire format is tag-addressed).  A schema id must be registered for the reader's message
     (and ``subject``, if given); any other id or a bad magic byte fails the task, or gives a
-    NULL row + ``_error`` when permissive.
+    NULL row + ``_error`` when permissive.  If the message's schemas are too large for a task's
+    closure, only those of the ids that occur in ``df`` are shipped (one more pass over the headers).
     """
+    keep = tuple(keep)
+    un = unframe(df, col)
+    un = un.withColumn("_schema_id", F.when(F.col("_magic") == 0, F.col("_schema_id")))
     if isinstance(registry, dict):
         mine = {k: v for k, v in registry.items() if v[1] == reader[1] and subject in (None, v[2])}
     else:
         mine = registry.where(F.col("message_name") == reader[1])
         mine = mine if subject is None else mine.where(F.col("subject") == subject)
+        if not df.isStreaming and _bytes_of(mine) > MAX_REGISTRY_BYTES:
+            mine = used_schemas(mine, un, "_schema_id")
     reg = registry_map(mine)
-    keep = tuple(keep)
-    un = unframe(df, col)
-    un = un.withColumn("_schema_id", F.when(F.col("_magic") == 0, F.col("_schema_id")))
     return decode(un, reader, col="_payload", keep=tuple(dict.fromkeys([*keep, "_schema_id"])),
                   mode=mode, _registry=reg, _id_col="_schema_id", **decode_options)

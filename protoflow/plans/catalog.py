@@ -19,8 +19,8 @@ from .._session import _app_key, new_scratch
 from ..functions import descriptors as D
 from ..functions.api import decode, decode_json, describe_message, field_presence, validate_required
 from ..functions.codec import timestamp_text
-from ..operators.registry import (decode_registered, empty_registry, encode_registered, register_schema,
-                                  registry_snapshot)
+from ..functions.compat import compatibility
+from ..operators.registry import RegistryLog, decode_registered, encode_registered, registry_snapshot
 from ..operators.sampling import pick_file, sample_files, subdir
 from ..operators.views import (explode_events, flatten_populated, flatten_view, flatten_view_94,
                                populated_fields,
@@ -164,11 +164,11 @@ def q12_json(spark, sf_dir):
 
 
 def _registry(spark, *versions):
-    """Registry table with the given EventMsg versions, read once into a snapshot."""
-    reg = empty_registry(spark)
+    """The given EventMsg versions registered in a log in the shared folder, read back into a snapshot."""
+    log = RegistryLog(spark, new_scratch(spark, "registry"))
     for v in versions:
-        reg, _ = register_schema(reg, "events-value", D.event_msg(v))
-    return registry_snapshot(reg)
+        log.register("events-value", D.event_msg(v), compatibility="full")
+    return registry_snapshot(log.load())
 
 
 def q13_registry(spark, sf_dir):
@@ -551,6 +551,62 @@ def q51_message_source(spark, sf_dir):
     return decode(raw, D.view_record(), col="content", fields=["view_id", "watch_time"], keep=("view_date", "view_hour"))
 
 
+# q52: one change each to version 1 of the event message, the field to look at, and how it reads as before
+SCHEMA_CHANGES = ("add_optional", "remove_field", "add_required", "narrow_number", "number_to_text", "other_tag",
+                  "list_of_text", "shorter_float")
+
+
+def changed_event(change: str):
+    """Version 1 of the event message with one planted change."""
+    fdp = D.event_msg_file(1)
+    msg = fdp.message_type[0]
+    by = {f.name: f for f in msg.field}
+    if change == "add_optional":
+        msg.field.add(name="note", number=50, type=D.FDP.TYPE_STRING, label=D.FDP.LABEL_OPTIONAL)
+    elif change == "add_required":
+        msg.field.add(name="note", number=50, type=D.FDP.TYPE_STRING, label=D.FDP.LABEL_REQUIRED)
+    elif change == "remove_field":
+        msg.field.remove(by["props"])
+    elif change == "narrow_number":
+        by["user_id"].type = D.FDP.TYPE_INT32
+    elif change == "number_to_text":
+        by["user_id"].type = D.FDP.TYPE_STRING
+    elif change == "other_tag":
+        by["props"].number = 60
+    elif change == "list_of_text":
+        by["event_type"].label = D.FDP.LABEL_REPEATED
+    elif change == "shorter_float":
+        by["value"].type = D.FDP.TYPE_FLOAT
+    else:
+        raise ValueError(change)
+    return D.descriptor_set(fdp), "protoflow.fixtures.EventMsg"
+
+
+def q52_compatibility(spark, sf_dir):
+    """Verdicts on planted schema changes beside what really happens: all events are written with the old
+    schema and read with the changed one, and the rows whose looked-at field reads as before are counted."""
+    old = D.event_msg(1)
+    msgs = FX.event_messages(spark, sf_dir, keep=("event_id", "user_id", "event_type", "props")).withColumnsRenamed(
+        {"event_id": "_id", "user_id": "_user", "event_type": "_type", "props": "_props"})
+    kept = {
+        "add_optional": F.col("note").isNull(), "add_required": F.col("note").isNotNull(), "remove_field": F.lit(True),
+        "narrow_number": F.col("user_id").eqNullSafe(F.col("_user")),
+        "number_to_text": F.col("user_id").eqNullSafe(F.col("_user").cast("string")),
+        "other_tag": F.col("props").eqNullSafe(F.col("_props")),
+        "list_of_text": F.col("event_type").eqNullSafe(F.array("_type")),
+        "shorter_float": F.col("value").isNotNull()}
+    parts = []
+    for change in SCHEMA_CHANGES:
+        new = changed_event(change)
+        level, back, ahead = compatibility(old, new)
+        dec = decode(msgs, new, keep=("_id", "_user", "_type", "_props"), absent="null", **NTZ)
+        parts.append(dec.agg(F.count(F.lit(1)).alias("n"), F.count_if(kept[change]).alias("n_as_before")).select(
+            F.lit(change).alias("change"), F.lit(level).alias("level"),
+            F.lit(",".join(sorted({i.kind for i in back}))).alias("reading_old"),
+            F.lit(",".join(sorted({i.kind for i in ahead}))).alias("reading_new"), "n", "n_as_before"))
+    return union_days(*parts)
+
+
 QUERIES = {f.__name__: f for f in [
     q00_min_slice, q01_roundtrip, q02_struct_expand, q03_flatten_default, q04_flatten_null,
     q05_field_list, q06_business_names, q07_epoch_seconds, q08_timestamp_modes, q08b_timestamp_text,
@@ -562,7 +618,7 @@ QUERIES = {f.__name__: f for f in [
     q38_flatten_populated, q39_hour_folders, q40_path_contains, q41_normalize_path, q42_table_detail,
     q43_field_presence, q44_record_stream, q45_read_sampled, q46_days_and_hours,
     q47_growing_table, q48_union_versions, q49_incremental_landing, q50_counted_ingest,
-    q51_message_source,
+    q51_message_source, q52_compatibility,
 ]}
 
 # Which SURVEY §2 rows each query exercises (the coverage map in the README is built
@@ -622,6 +678,7 @@ SURVEY_ROWS = {
     "q48_union_versions": "U1 U2 C9 (union over nested change)",
     "q49_incremental_landing": "S14 (only new, changed and gone files; their days rewritten)",
     "q50_counted_ingest": "K8 K3 (counts taken by the write's own pass)",
+    "q52_compatibility": "D15 C9 (verdicts on schema changes beside what a reader really gets)",
     "q51_message_source": "S8 S9 S14 S7 (message files as a Spark data source, read and written)",
 }
 assert set(SURVEY_ROWS) == set(QUERIES)

@@ -189,6 +189,16 @@ FROM events GROUP BY event_type"""
         "SELECT view_id, watch_time, CASE WHEN watch_time % 2 = 1 THEN custom_2 END AS custom_2, n_events, "
         "CASE WHEN watch_time % 2 = 1 THEN CAST(n_events AS BIGINT) END AS last FROM views")
     q["q51_message_source"] = f"SELECT * FROM ({q['q22_path_date']}) WHERE view_hour < 12"
+    q["q52_compatibility"] = """
+        SELECT change, level, reading_old, reading_new, count(*) AS n, count(*) FILTER (WHERE CASE how
+            WHEN 'all' THEN true WHEN 'none' THEN false WHEN 'no user' THEN user_id IS NULL WHEN 'no props' THEN props IS NULL
+            END) AS n_as_before
+        FROM events CROSS JOIN (VALUES
+            ('add_optional', 'full', '', '', 'all'), ('remove_field', 'full', '', '', 'all'),
+            ('add_required', 'forward', 'required', '', 'none'), ('narrow_number', 'forward', 'range', '', 'all'),
+            ('number_to_text', 'none', 'type', 'type', 'no user'), ('other_tag', 'none', 'moved', 'moved', 'no props'),
+            ('list_of_text', 'backward', '', 'repeated', 'all'), ('shorter_float', 'none', 'type', 'type', 'none')
+        ) c(change, level, reading_old, reading_new, how) GROUP BY 1, 2, 3, 4"""
     c = "substr(md5(view_id), 1, 1)"
     q["q49_incremental_landing"] = _with(
         f"SELECT CAST(view_start AS DATE) AS view_date, count(*) FILTER (WHERE {c} < '3') AS new, "
