@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .._session import new_scratch
+
 BUCKET_ROWS = 1_000_000
 _H60 = float(1 << 60)
 
@@ -92,3 +94,110 @@ def sample_tree(files: DataFrame, base: str, prop: float, seed: int = 0,
     picked = sample_files(grouped.where(F.col("_top") != ""), prop, by="_top", key="path",
                           seed=seed, bucket_rows=bucket_rows)
     return loose.unionByName(picked).drop("_top")
+
+
+# ---------------------------------------------------------------------------
+# The same sample by selection: rows stay where they are
+# ---------------------------------------------------------------------------
+PREFIX = 3                    # hex digits of the md5 per round: 4096 counts for a group
+BOUNDARY_ROWS = 1_000_000     # a group's boundary bucket is ranked in one task up to this size
+CUT_ROWS = 1_000_000          # cuts (a row per group) are broadcast up to this number
+
+
+def _keys(df: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col(key).alias("_key"),
+                     order_hash(F.col(key), seed).alias("_h"))
+
+
+def _match(a: DataFrame, b: DataFrame, pairs) -> Column:
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[d]) for c, d in pairs])
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A written table with a broadcast hint if it is small enough."""
+    return F.broadcast(df) if rows <= CUT_ROWS else df
+
+
+def _cuts(df: DataFrame, prop: float, by: list[str], key: str, seed: int) -> tuple[DataFrame, int, int]:
+    """(g..., _hc, _kc, _take, _ties per group with a sample; groups; most rows left out of a tie).
+
+    Counts by md5 prefix give the bucket where the k-th row of a group lies; its prefix is made
+    longer, with counts of that bucket alone, until it is small enough to be ranked in one task.
+    """
+    spark = df.sparkSession
+    g = [f"_g{i}" for i in range(len(by))]
+    keys = _keys(df, by, key, seed)
+    digits = PREFIX
+    prefix = F.substring("_h", 1, digits)
+    prefix = F.when(F.col("_h").isNull(), F.raise_error(F.lit(f"a row has no {key}"))).otherwise(prefix)
+    counts = keys.groupBy(*g, prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*g)
+    target = counts.withColumn("_k", F.floor(F.sum("_c").over(whole) * F.lit(float(prop)))).where("_k > 0")
+    upto = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def boundary(counted: DataFrame) -> DataFrame:
+        """The bucket of each group that holds its k-th row, and k counted from its first row."""
+        path = new_scratch(spark, "cuts")
+        done = counted.withColumn("_upto", F.sum("_c").over(upto))
+        (done.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k")))
+             .select(*g, "_p", F.col("_c"), (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_k")).write.parquet(path))
+        return spark.read.parquet(path)
+
+    def inside(buckets: DataFrame, groups: int) -> DataFrame:
+        """Group, key, hash and k of the rows in the boundary buckets; all other rows end here."""
+        named = buckets.select(*[F.col(c).alias(c + "_b") for c in g], F.col("_p").alias("_pb"), "_k")
+        return keys.join(_small(named, groups), _match(keys, named, [(c, c + "_b") for c in g])
+                         & (F.substring("_h", 1, digits) == F.col("_pb")))
+
+    buckets = boundary(target)
+    size = buckets.agg(F.count(F.lit(1)).alias("n"), F.max("_c").alias("most")).first()
+    groups = int(size["n"])
+    while groups and size["most"] > BOUNDARY_ROWS and digits < 32:
+        rows = inside(buckets, groups)
+        digits = min(digits + PREFIX, 32)
+        buckets = boundary(rows.groupBy(*g, F.substring("_h", 1, digits).alias("_p"), "_k").agg(F.count(F.lit(1)).alias("_c")))
+        size = buckets.agg(F.max("_c").alias("most")).first()
+    path = new_scratch(spark, "cut-rows")
+    ranked = inside(buckets, groups).groupBy(*g, "_k", "_h", "_key").agg(F.count(F.lit(1)).alias("_ties"))
+    order = Window.partitionBy(*g).orderBy("_h", "_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = ranked.withColumn("_upto", F.sum("_ties").over(order))
+    (at.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_ties") < F.col("_k")))
+       .select(*g, F.col("_h").alias("_hc"), F.col("_key").alias("_kc"), (F.col("_k") - F.col("_upto") + F.col("_ties")).alias("_take"),
+               "_ties").write.parquet(path))
+    cuts = spark.read.parquet(path)
+    left = cuts.agg(F.max(F.col("_ties") - F.col("_take"))).first()[0]
+    return cuts, groups, int(left or 0)
+
+
+def flag_sample(df: DataFrame, prop: float, by, key: str = "path", seed: int = 0, out: str = "selected") -> DataFrame:
+    """``df`` with a boolean ``out``: true for the rows that ``sample_files`` keeps.
+
+    The md5 of the k-th row of each group is found by selection: one pass counts md5 prefixes, one
+    looks at the keys of the boundary buckets, and the result is a comparison on the way: rows are
+    neither shuffled nor sorted.  Both passes read only ``by`` and ``key``.  Where rows share the
+    last key of a sample, as many of them are taken as are missing (these rows alone are ranked).
+    NULL groups are one group; a row without a key is an error, since it has no place in the order.
+    """
+    return _flag(df, prop, [by] if isinstance(by, str) else list(by), key, seed, out)
+
+
+def _flag(df: DataFrame, prop: float, by: list[str], key: str, seed: int, out: str) -> DataFrame:
+    cuts, groups, left = _cuts(df, prop, by, key, seed)
+    h = order_hash(F.col(key), seed)
+    data = df.withColumn("_h", h)
+    joined = data.join(_small(cuts, groups), _match(data, cuts, [(c, f"_g{i}") for i, c in enumerate(by)]), "left")
+    before = (F.col("_h") < F.col("_hc")) | ((F.col("_h") == F.col("_hc")) & (F.col(key) < F.col("_kc")))
+    tie = (F.col("_h") == F.col("_hc")) & (F.col(key) == F.col("_kc"))
+    no = F.lit(False)
+    if left == 0:
+        return joined.select(*df.columns, F.coalesce(before | tie, no).alias(out))
+    sure = joined.where(F.coalesce(~tie, F.lit(True))).select(*df.columns, F.coalesce(before, no).alias(out))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(key))
+    return sure.unionByName(joined.where(tie).withColumn(out, rank <= F.col("_take")).select(*df.columns, out))
+
+
+def flag_tree(files: DataFrame, base: str, prop: float, seed: int = 0, out: str = "selected") -> DataFrame:
+    """A listing with the rows of ``sample_tree`` flagged: ``floor(prop * n)`` of each first-level folder, loose files all."""
+    grouped = files.withColumn("_top", subdir("path", base, level=1))
+    return flag_sample(grouped, prop, by="_top", seed=seed, out=out) \
+        .withColumn(out, F.col(out) | (F.col("_top") == "")).drop("_top")

@@ -21,7 +21,7 @@ from ..functions.api import decode, decode_json, describe_message, field_presenc
 from ..functions.codec import timestamp_text
 from ..functions.compat import compatibility
 from ..operators.registry import RegistryLog, decode_registered, encode_registered, registry_snapshot
-from ..operators.sampling import pick_file, sample_files, subdir
+from ..operators.sampling import flag_sample, flag_tree, pick_file, sample_files, subdir
 from ..operators.views import (explode_events, flatten_populated, flatten_view, flatten_view_94,
                                populated_fields,
                                snake_names, union_days, unpivot_fields)
@@ -32,7 +32,7 @@ from ..sources.files import (land_raw_day, normalize_path, read_messages, remove
 from ..sources.landing import ingest_files, land_changes, landed_table
 from ..sources.listing import list_tree
 from ..streaming.ingest import ingest_records, ingest_stream
-from .tables import ingest_report, read_table, shape, table_detail, write_table
+from .tables import flagged_report, read_table, shape, table_detail, write_table
 
 NTZ = dict(timestamp="timestamp_ntz")
 SPLIT_DATE = "2024-01-16 00:00:00"       # q25: the two "day slices" meet here
@@ -253,7 +253,7 @@ def _listing(spark, sf_dir):
 
 
 def q23_sample(spark, sf_dir):
-    return sample_files(_listing(spark, sf_dir), 0.25, by="day", key="rel").select("rel", "day")
+    return flag_sample(_listing(spark, sf_dir), 0.25, by="day", key="rel").where("selected").select("rel", "day")
 
 
 def q23b_sample_events(spark, sf_dir):
@@ -367,9 +367,8 @@ def q35_unpivot(spark, sf_dir):
 
 
 def q36_ingest_report(spark, sf_dir):
-    files = _listing(spark, sf_dir)
-    chosen = sample_files(files, 0.25, by="day", key="rel")
-    return ingest_report(files, chosen, key="rel", by="day").select("day", "n_found", "n_selected")
+    flagged = flag_sample(_listing(spark, sf_dir), 0.25, by="day", key="rel")
+    return flagged_report(flagged, by="day").select("day", "n_found", "n_selected")
 
 
 def q37_simple_message(spark, sf_dir):
@@ -445,7 +444,7 @@ def q44_record_stream(spark, sf_dir):
 def q45_read_sampled(spark, sf_dir):
     """The main ingest path: list -> sample per day folder -> read only the sampled files
     -> decode (the sample list stays distributed)."""
-    chosen = sample_files(_listing(spark, sf_dir), 0.25, by="day", key="rel")
+    chosen = flag_sample(_listing(spark, sf_dir), 0.25, by="day", key="rel").where("selected")
     dec = read_messages(spark, None, D.view_record(), files=chosen, fields=["view_id", "watch_time"],
                         keep=("view_date",))
     return dec.select("view_id", "view_date", "watch_time")
@@ -607,6 +606,19 @@ def q52_compatibility(spark, sf_dir):
     return union_days(*parts)
 
 
+def q53_sample_tree(spark, sf_dir):
+    """A sample of each first-level folder of a tree whose folders are the views' properties, loose files all kept."""
+    msgs = _views_bytes(spark, sf_dir)
+    base = new_scratch(spark, "tree")
+    c = _md5_class(F.col("view_id"))
+    rel = F.when(c == "0", F.concat(F.col("view_id"), F.lit(".pb"))).otherwise(F.concat(F.lit("c"), c, F.lit("/"), F.col("relpath")))
+    write_message_files(msgs.withColumn("relpath", rel), base)
+    files = list_tree(spark, base)
+    # the order is by the path below the base, which is the same in every run
+    flagged = flag_tree(files.withColumn("path", F.concat(F.lit("/t/"), relpath_col(base))), "/t", 0.25)
+    return flagged.where("selected").select(F.expr("substring(path, 4)").alias("rel"))
+
+
 QUERIES = {f.__name__: f for f in [
     q00_min_slice, q01_roundtrip, q02_struct_expand, q03_flatten_default, q04_flatten_null,
     q05_field_list, q06_business_names, q07_epoch_seconds, q08_timestamp_modes, q08b_timestamp_text,
@@ -618,7 +630,7 @@ QUERIES = {f.__name__: f for f in [
     q38_flatten_populated, q39_hour_folders, q40_path_contains, q41_normalize_path, q42_table_detail,
     q43_field_presence, q44_record_stream, q45_read_sampled, q46_days_and_hours,
     q47_growing_table, q48_union_versions, q49_incremental_landing, q50_counted_ingest,
-    q51_message_source, q52_compatibility,
+    q51_message_source, q52_compatibility, q53_sample_tree,
 ]}
 
 # Which SURVEY §2 rows each query exercises (the coverage map in the README is built
@@ -678,6 +690,7 @@ SURVEY_ROWS = {
     "q48_union_versions": "U1 U2 C9 (union over nested change)",
     "q49_incremental_landing": "S14 (only new, changed and gone files; their days rewritten)",
     "q50_counted_ingest": "K8 K3 (counts taken by the write's own pass)",
+    "q53_sample_tree": "S3 (per first-level folder, loose files kept)",
     "q52_compatibility": "D15 C9 (verdicts on schema changes beside what a reader really gets)",
     "q51_message_source": "S8 S9 S14 S7 (message files as a Spark data source, read and written)",
 }

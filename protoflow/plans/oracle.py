@@ -205,6 +205,10 @@ FROM events GROUP BY event_type"""
         f"count(*) FILTER (WHERE {c} BETWEEN '3' AND '5') AS changed, count(*) FILTER (WHERE {c} BETWEEN '6' AND '7') AS gone, "
         f"count(*) FILTER (WHERE {c} > '7') AS same, count(*) FILTER (WHERE {c} NOT BETWEEN '6' AND '7') AS n_files, "
         f"CAST(sum(watch_time) FILTER (WHERE {c} NOT BETWEEN '6' AND '7') AS BIGINT) AS total_watch FROM views GROUP BY 1")
+    q["q53_sample_tree"] = _with(
+        f"SELECT rel FROM (SELECT {c} AS c, CASE WHEN {c} = '0' THEN view_id || '.pb' ELSE 'c' || {c} || '/' || {_rel()} END AS rel "
+        "FROM views) f QUALIFY c = '0' OR row_number() OVER (PARTITION BY c ORDER BY md5('/t/' || rel), rel) "
+        "<= floor(0.25 * count(*) OVER (PARTITION BY c))")
     q["q50_counted_ingest"] = _with(
         f"SELECT count(*) AS found, count(*) AS read, count(*) FILTER (WHERE {c} >= '3') AS rows, "
         f"count(*) FILTER (WHERE {c} < '3') AS bad, count(*) FILTER (WHERE {c} >= '3') AS n_views, "

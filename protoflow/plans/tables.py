@@ -184,3 +184,10 @@ def ingest_report(files: DataFrame, selected: DataFrame, key: str = "path",
         F.count(F.lit(1)).alias("n_found"),
         F.count("_sel").alias("n_selected"),
     ).withColumn("pct_selected", F.round(F.col("n_selected") * 100.0 / F.col("n_found"), 2))
+
+
+def flagged_report(files: DataFrame, flag: str = "selected", by: str | None = None) -> DataFrame:
+    """``ingest_report`` of a listing whose selected rows are flagged (``flag_sample``): one aggregation, no join."""
+    return files.groupBy(*([by] if by else [])).agg(
+        F.count(F.lit(1)).alias("n_found"), F.count_if(flag).alias("n_selected"),
+    ).withColumn("pct_selected", F.round(F.col("n_selected") * 100.0 / F.col("n_found"), 2))
