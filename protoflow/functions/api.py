@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,18 +245,49 @@ def validate_required(df: DataFrame, message, col: str = "value", out: str = "_v
 
 
 def field_presence(df: DataFrame, message, col: str = "value", descriptor_set: bytes | None = None,
-                   names: str = "proto") -> DataFrame:
+                   names: str = "proto", mode: str = "failfast") -> DataFrame:
     """field, n_set, n_rows over all messages of ``col`` without decoding any value.
 
     Each task parses with a shallow copy of the type (nested messages stay raw bytes)
     and emits one row per field; the per-task rows are summed (a shuffle of
-    #tasks x #fields rows).  Empty repeated fields count as unset.
+    #tasks x #fields rows).  Empty repeated fields count as unset.  With ``mode="permissive"``
+    messages that cannot be read are left out and counted in a column ``n_bad``.
     """
+    if mode not in ("failfast", "permissive"):
+        raise ValueError("mode must be 'failfast' or 'permissive'")
+    desc_set, msg = _resolve(message, descriptor_set)
+    ensure_shipped(df.sparkSession)
+    permissive = mode == "permissive"
+    fn = partial(codec.presence_batches, desc_set=desc_set, message=msg, col=col, names=names, permissive=permissive)
+    per_task = df.select(col).mapInArrow(fn, "field string, n_set long, n_rows long, n_bad long")
+    counts = ["n_set", "n_rows", "n_bad"] if permissive else ["n_set", "n_rows"]
+    return per_task.groupBy("field").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def presence_tree(df: DataFrame, message, col: str = "value", descriptor_set: bytes | None = None,
+                  names: str = "proto", max_depth: int = 16, mode: str = "failfast") -> DataFrame:
+    """field, kind, n_set, n_values, n_parents, n_rows, n_bad for the fields at every depth.
+
+    ``field`` is a dotted path; through lists and maps it goes into every element and value.  ``n_parents``
+    is how often the message that holds the field occurs, ``n_set`` in how many of them it is set,
+    ``n_values`` how many values it has there (list elements, map entries).  A ``oneof`` has a row of
+    its own: how often any of its members is set.  Declared fields that are never set have zeros; a type
+    nested in itself is followed as deep as the data go, ``max_depth`` levels at most.  Each task counts a
+    trie of paths and emits a row per path; no column is decoded.  With ``mode="permissive"``
+    messages that cannot be read are left out and counted in ``n_bad``; NULLs are no messages.
+    """
+    if mode not in ("failfast", "permissive"):
+        raise ValueError("mode must be 'failfast' or 'permissive'")
     desc_set, msg = _resolve(message, descriptor_set)
     ensure_shipped(df.sparkSession)
-    fn = partial(codec.presence_batches, desc_set=desc_set, message=msg, col=col, names=names)
-    per_task = df.select(col).mapInArrow(fn, "field string, n_set long, n_rows long")
-    return per_task.groupBy("field").agg(F.sum("n_set").alias("n_set"), F.sum("n_rows").alias("n_rows"))
+    fn = partial(codec.presence_tree_batches, desc_set=desc_set, message=msg, col=col, names=names, max_depth=max_depth,
+                 permissive=mode == "permissive")
+    counts = ["n_set", "n_values", "n_parents", "n_rows", "n_bad"]
+    per_task = df.select(col).mapInArrow(fn, "field string, kind string, " + ", ".join(f"{c} long" for c in counts))
+    summed = per_task.groupBy("field", "kind").agg(*[F.sum(c).alias(c) for c in counts])
+    # a task that never met a recursive path has no row for it; a row per path, so one task may look at all
+    whole = Window.partitionBy(F.lit(0))
+    return summed.withColumns({c: F.max(c).over(whole) for c in ("n_rows", "n_bad")})
 
 
 def describe_message(spark: SparkSession, message, descriptor_set: bytes | None = None,

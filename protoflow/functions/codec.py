@@ -430,26 +430,115 @@ def json_batches(batches, desc_set: bytes, message: str, col: str, keep: tuple,
             yield pa.RecordBatch.from_arrays(cols, names=heads)
 
 
-def presence_batches(batches, desc_set: bytes, message: str, col: str, names: str):
+def presence_batches(batches, desc_set: bytes, message: str, col: str, names: str, permissive: bool = False):
     """mapInArrow body: one row per top-level field with the number of messages in this
-    task that set it, plus the number of messages; only presence is looked at."""
+    task that set it, plus the number of messages and of bad ones; only presence is looked at."""
     cls = shallow_class(desc_set, message)
     full = message_class(desc_set, message).DESCRIPTOR
     order = [f.number for f in full.fields]
     label = {f.number: (f.camelcase_name if names == "camel" else f.name) for f in full.fields}
     counts = dict.fromkeys(order, 0)
-    rows = 0
+    rows = bad = 0
     for batch in batches:
         for b in batch.column(col).to_pylist():
             if b is None:
                 continue
+            parsed = _parse(cls, b, message, col, permissive)
+            if parsed is None:
+                bad += 1
+                continue
             rows += 1
-            for fd, _v in cls.FromString(b).ListFields():
+            for fd, _v in parsed.ListFields():
                 if fd.number in counts:
                     counts[fd.number] += 1
     yield pa.RecordBatch.from_arrays(
         [pa.array([label[n] for n in order], pa.string()), pa.array([counts[n] for n in order], pa.int64()),
-         pa.array([rows] * len(order), pa.int64())], names=["field", "n_set", "n_rows"])
+         pa.array([rows] * len(order), pa.int64()), pa.array([bad] * len(order), pa.int64())],
+        names=["field", "n_set", "n_rows", "n_bad"])
+
+
+def _parse(cls, data: bytes, message: str, col: str, permissive: bool):
+    try:
+        return cls.FromString(data)
+    except Exception as e:  # noqa: BLE001 - counted as a bad message
+        if permissive:
+            return None
+        raise DecodeError(f"cannot read {message} from column {col!r}: {e}") from e
+
+
+class _Presence:
+    """Counts at one message of the path trie: how often it occurs, and each field and oneof in it."""
+
+    __slots__ = ("occurs", "fields", "oneofs", "below")
+
+    def __init__(self):
+        self.occurs, self.fields, self.oneofs, self.below = 0, {}, {}, {}
+
+    def count(self, msg, depth: int) -> None:
+        self.occurs += 1
+        for fd, value in msg.ListFields():
+            entry = self.fields.get(fd.number)
+            if entry is None:
+                entry = self.fields[fd.number] = [fd, 0, 0]
+            entry[1] += 1
+            entry[2] += len(value) if fd.is_repeated else 1
+            one = fd.containing_oneof
+            if one is not None:
+                self.oneofs[one.name] = self.oneofs.get(one.name, 0) + 1
+            inner = fd.message_type
+            if inner is None or depth <= 1:
+                continue
+            if inner.GetOptions().map_entry:
+                if inner.fields_by_name["value"].message_type is None:
+                    continue
+                items = value.values()
+            else:
+                items = value if fd.is_repeated else (value,)
+            node = self.below.get(fd.number)
+            if node is None:
+                node = self.below[fd.number] = _Presence()
+            for m in items:
+                node.count(m, depth - 1)
+
+
+def _presence_rows(desc, node: _Presence | None, prefix: str, names: str, depth: int, above: tuple):
+    """(path, kind, set, values, occurrences of the parent) of all declared fields, and of recursive ones met."""
+    for fd in desc.fields:
+        path = prefix + (fd.camelcase_name if names == "camel" else fd.name)
+        entry = node.fields.get(fd.number) if node else None
+        yield path, "field", entry[1] if entry else 0, entry[2] if entry else 0, node.occurs if node else 0
+        inner = fd.message_type
+        if inner is not None and inner.GetOptions().map_entry:
+            inner = inner.fields_by_name["value"].message_type
+        if inner is None or depth <= 1:
+            continue
+        child = node.below.get(fd.number) if node else None
+        if child is not None or inner.full_name not in above:
+            yield from _presence_rows(inner, child, path + ".", names, depth - 1, (*above, inner.full_name))
+    for one in desc.oneofs:
+        if not (len(one.fields) == 1 and one.name == f"_{one.fields[0].name}"):      # not proto3's own for ``optional``
+            yield prefix + one.name, "oneof", node.oneofs.get(one.name, 0) if node else 0, 0, node.occurs if node else 0
+
+
+def presence_tree_batches(batches, desc_set: bytes, message: str, col: str, names: str, max_depth: int, permissive: bool):
+    """mapInArrow body: the path trie of this task's messages as rows, counted without building a column."""
+    cls = message_class(desc_set, message)
+    root, bad = _Presence(), 0
+    for batch in batches:
+        for b in batch.column(col).to_pylist():
+            if b is None:
+                continue
+            parsed = _parse(cls, b, message, col, permissive)
+            if parsed is None:
+                bad += 1
+            else:
+                root.count(parsed, max_depth)
+    rows = list(_presence_rows(cls.DESCRIPTOR, root, "", names, max_depth, (cls.DESCRIPTOR.full_name,)))
+    columns = list(zip(*rows)) if rows else [()] * 5
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *[pa.array(c, pa.int64()) for c in columns[2:]],
+         pa.array([root.occurs] * len(rows), pa.int64()), pa.array([bad] * len(rows), pa.int64())],
+        names=["field", "kind", "n_set", "n_values", "n_parents", "n_rows", "n_bad"])
 
 
 def validate_batches(batches, desc_set: bytes, message: str, col: str, keep: tuple, out: str):

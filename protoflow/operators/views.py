@@ -82,18 +82,19 @@ def populated_fields(df: DataFrame, exclude=("events",)) -> DataFrame:
 
 
 def flatten_populated(df: DataFrame, col: str = "value", message=None, exclude=("events",),
-                      absent: str = "default", timestamp: str = "epoch_seconds", keep=()) -> DataFrame:
+                      absent: str = "default", timestamp: str = "epoch_seconds", keep=(), mode: str = "failfast") -> DataFrame:
     """Flat table of the fields that are set somewhere in the data (minus ``exclude``).
 
     The keep-list comes from one presence count over the whole dataset (not from one
     file), read straight from the bytes; only field names reach the driver - at most
-    one per message field.
+    one per message field.  With ``mode="permissive"`` messages that cannot be read take no part in the
+    count and give a row of NULLs with the reason in ``_error``.
     """
     message = message or D.view_record()
-    present = field_presence(df, message, col=col).where("n_set > 0").select("field")
+    present = field_presence(df, message, col=col, mode=mode).where("n_set > 0").select("field")
     names = {r["field"] for r in present.collect()} - set(exclude)
     order = [f.name for f in message_descriptor(*message).fields if f.name in names]   # tag order
-    return decode(df, message, col=col, fields=order, keep=keep, absent=absent, timestamp=timestamp)
+    return decode(df, message, col=col, fields=order, keep=keep, absent=absent, timestamp=timestamp, mode=mode)
 
 
 def snake_names(df: DataFrame, message=None) -> DataFrame:

@@ -205,6 +205,26 @@ FROM events GROUP BY event_type"""
         f"count(*) FILTER (WHERE {c} BETWEEN '3' AND '5') AS changed, count(*) FILTER (WHERE {c} BETWEEN '6' AND '7') AS gone, "
         f"count(*) FILTER (WHERE {c} > '7') AS same, count(*) FILTER (WHERE {c} NOT BETWEEN '6' AND '7') AS n_files, "
         f"CAST(sum(watch_time) FILTER (WHERE {c} NOT BETWEEN '6' AND '7') AS BIGINT) AS total_watch FROM views GROUP BY 1")
+    inside = {"events": "n", "events.sequence_number": "n", "events.server_time": "n", "events.viewer_time": "n",
+              "events.playhead_time": "n", "events.type": "n", "events.orientation_info": "clicks",
+              "events.rendition_info": "seen", "events.info": "clicks + seen"}
+    inside |= {f"events.orientation_info.{x}": "clicks" for x in "xyz"}
+    inside |= {f"events.rendition_info.{x}": "seen" for x in ("width", "height", "bitrate")} | {"events.rendition_info.fps": "fps"}
+    parents = {f: "clicks" if ".orientation_info." in f else "seen" if ".rendition_info." in f else "n" for f in inside}
+    kinds = {"events.info": "oneof"}
+    lines = " UNION ALL ".join(
+        f"SELECT '{f}' AS field, '{kinds.get(f, 'field')}' AS kind, "
+        f"{'good' if f == 'events' else s} AS n_set, {'good' if f == 'events' else parents[f]} AS n_parents, "
+        "good AS n_rows, bad AS n_bad FROM t" for f, s in inside.items())
+    q["q54_presence_at_depth"] = (
+        f"WITH {VIEWS_CTE}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks, "
+        "count(*) FILTER (WHERE event_type = 'view') AS seen, count(value) FILTER (WHERE event_type = 'view') AS fps, "
+        f"(SELECT count(*) FROM views WHERE {c} >= '3') AS good, (SELECT count(*) FROM views WHERE {c} < '3') AS bad "
+        f"FROM _ev WHERE {c} >= '3') " + lines)
+    n_set = len(SET_FIELDS - {"events", "view_id"}) + 2
+    q["q55_flatten_dirty"] = _with(
+        f"SELECT view_id, {c} >= '3' AS ok, CASE WHEN {c} >= '3' THEN watch_time END AS watch_time, "
+        f"CASE WHEN {c} >= '3' THEN custom_2 END AS custom_2, CAST({n_set} AS INTEGER) AS n_cols FROM views")
     q["q53_sample_tree"] = _with(
         f"SELECT rel FROM (SELECT {c} AS c, CASE WHEN {c} = '0' THEN view_id || '.pb' ELSE 'c' || {c} || '/' || {_rel()} END AS rel "
         "FROM views) f QUALIFY c = '0' OR row_number() OVER (PARTITION BY c ORDER BY md5('/t/' || rel), rel) "

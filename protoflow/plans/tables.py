@@ -167,9 +167,12 @@ def table_detail(spark: SparkSession, name: str) -> DataFrame:
         "size_bytes long")
 
 
-def shape(df: DataFrame) -> DataFrame:
-    """n_rows, n_cols as a one-row DataFrame (the count runs as one aggregation job)."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(df.columns)).alias("n_cols"))
+def shape(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """n_rows, n_cols as a one-row DataFrame (the count runs as one aggregation job).
+
+    ``rows`` is a DataFrame with as many rows that is cheaper to count, e.g. the messages that
+    ``df`` decodes one by one: Spark cannot see that a decode keeps the number of rows."""
+    return (df if rows is None else rows).agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(df.columns)).alias("n_cols"))
 
 
 def ingest_report(files: DataFrame, selected: DataFrame, key: str = "path",

@@ -1,0 +1,131 @@
+"""Presence at every depth against a plain walk over the messages, and on unreadable input."""
+import random
+from collections import Counter
+
+import pytest
+from google.protobuf import descriptor_pb2
+
+from protoflow.functions import descriptors as D
+from protoflow.functions.api import field_presence, presence_tree
+from protoflow.functions.descriptors import FDP, message_class
+from protoflow.operators.views import flatten_populated, populated_fields
+from protoflow.functions.api import decode
+from protoflow.sources import fixtures as FX
+
+
+def message():
+    """A type with nested, repeated, map, oneof and recursive fields."""
+    fdp = descriptor_pb2.FileDescriptorProto(name="p.proto", package="p", syntax="proto2")
+    inner = fdp.message_type.add(name="In")
+    inner.field.add(name="a", number=1, type=FDP.TYPE_INT32, label=FDP.LABEL_OPTIONAL)
+    inner.field.add(name="b", number=2, type=FDP.TYPE_STRING, label=FDP.LABEL_REPEATED)
+    m = fdp.message_type.add(name="M")
+    m.oneof_decl.add(name="pick")
+    for i, (name, type_, label, tn) in enumerate([
+            ("one", FDP.TYPE_MESSAGE, FDP.LABEL_OPTIONAL, ".p.In"), ("many", FDP.TYPE_MESSAGE, FDP.LABEL_REPEATED, ".p.In"),
+            ("self", FDP.TYPE_MESSAGE, FDP.LABEL_OPTIONAL, ".p.M"), ("x", FDP.TYPE_INT64, FDP.LABEL_OPTIONAL, None),
+            ("y", FDP.TYPE_STRING, FDP.LABEL_OPTIONAL, None), ("never", FDP.TYPE_BOOL, FDP.LABEL_OPTIONAL, None)], 1):
+        f = m.field.add(name=name, number=i, type=type_, label=label)
+        if tn:
+            f.type_name = tn
+        if name in "xy":
+            f.oneof_index = 0
+    D._map_entry(m, "named", "string", "In", {"In": "message:.p.In", "__self__": ".p.M"}, 10)
+    return D.descriptor_set(fdp), "p.M"
+
+
+def fill(cls, rng, depth=0):
+    m = cls()
+
+    def inner(i):
+        if rng.random() < 0.7:
+            i.a = rng.randrange(3)
+        i.b.extend("b" * rng.randrange(3))
+
+    if rng.random() < 0.5:
+        inner(m.one)
+        m.one.SetInParent()
+    for _ in range(rng.randrange(3)):
+        inner(m.many.add())
+    for k in "kl"[:rng.randrange(3)]:
+        inner(m.named[k])
+    pick = rng.randrange(3)
+    if pick == 1:
+        m.x = 0
+    elif pick == 2:
+        m.y = ""
+    if depth < 4 and rng.random() < 0.6:
+        m.self.CopyFrom(fill(cls, rng, depth + 1))
+        m.self.SetInParent()
+    return m
+
+
+def walk(m, prefix, found, parents):
+    parents[prefix] += 1
+    for fd, v in m.ListFields():
+        path = prefix + fd.name
+        found[path, "set"] += 1
+        found[path, "values"] += len(v) if fd.is_repeated else 1
+        if fd.containing_oneof is not None:
+            found[prefix + fd.containing_oneof.name, "set"] += 1
+        if fd.message_type is not None:
+            items = v.values() if fd.message_type.GetOptions().map_entry else v if fd.is_repeated else [v]
+            for x in items:
+                walk(x, path + ".", found, parents)
+
+
+def test_equals_a_walk(spark):
+    msg = message()
+    cls, rng = message_class(*msg), random.Random(4)
+    msgs = [fill(cls, rng) for _ in range(200)]
+    found, parents = Counter(), Counter()
+    for m in msgs:
+        walk(m, "", found, parents)
+    rows = [(bytearray(m.SerializeToString()),) for m in msgs] + [(None,), (bytearray(b"\x0a\x05x"),), (bytearray(b"\xff"),)]
+    df = spark.createDataFrame(rows, "value binary").repartition(7)
+    got = presence_tree(df, msg, mode="permissive").collect()
+    by = {r["field"]: r for r in got}
+    assert len(by) == len(got) and {r["n_rows"] for r in got} == {200} and {r["n_bad"] for r in got} == {2}
+    assert {p for p, _ in found} <= set(by)
+    for p, r in by.items():
+        assert (r["n_set"], r["n_values"]) == (found[p, "set"], found[p, "values"]), p
+        assert r["n_parents"] == parents[p.rpartition(".")[0] + "." if "." in p else ""], p
+        assert r["kind"] == ("oneof" if p.split(".")[-1] == "pick" else "field")
+    assert by["never"]["n_set"] == 0 and by["self.self.self.named.b"]["n_parents"] > 0
+    shallow = {r["field"]: r["n_set"] for r in presence_tree(df, msg, mode="permissive", max_depth=2).collect()}
+    assert shallow["many.a"] == by["many.a"]["n_set"] and "self.one.a" not in shallow
+
+
+def test_bad_messages_end_the_strict_count_only(spark):
+    df = spark.createDataFrame([(bytearray(b"\xff"),), (bytearray(b""),)], "value binary")
+    for count in (field_presence, presence_tree):
+        with pytest.raises(Exception, match="cannot read"):
+            count(df, D.simple_message()).collect()
+    got = field_presence(df, D.simple_message(), mode="permissive").collect()
+    assert {(r["n_set"], r["n_rows"], r["n_bad"]) for r in got} == {(0, 1, 1)}
+    with pytest.raises(ValueError, match="mode"):
+        presence_tree(df, D.simple_message(), mode="x")
+
+
+def test_flatten_populated_takes_dirty_input(spark, sf_small):
+    msgs = FX.view_messages(spark, sf_small).select("view_id", "value").limit(5)
+    bad = msgs.unionByName(spark.createDataFrame([("bad", bytearray(b"\xff\xff"))], "view_id string, value binary"))
+    bad = bad.withColumnRenamed("view_id", "name")
+    flat = flatten_populated(bad, keep=("name",), mode="permissive")
+    assert flat.where("_error is not null").select("name").collect() == [("bad",)] and flat.where("_error is null").count() == 5
+    with pytest.raises(Exception, match="cannot read"):
+        flatten_populated(bad, keep=("name",))
+
+
+def test_top_level_agrees_with_the_decoded_columns(spark, sf_small):
+    msgs = FX.view_messages(spark, sf_small)
+    dec = decode(msgs, D.view_record())
+    want = {(r["field"], r["n_set"]) for r in populated_fields(dec, exclude=()).collect()}
+    assert {(r["field"], r["n_set"]) for r in presence_tree(msgs, D.view_record(), max_depth=1).collect()} == want
+    camel = presence_tree(msgs, D.view_record(), names="camel").where("field = 'events.sequenceNumber'").first()
+    assert camel["n_set"] == camel["n_parents"] > camel["n_rows"]
+
+
+def test_no_messages(spark):
+    df = spark.createDataFrame([], "value binary")
+    assert {(r["n_set"], r["n_rows"]) for r in presence_tree(df, D.simple_message()).collect()} <= {(0, 0)}
