@@ -225,6 +225,9 @@ FROM events GROUP BY event_type"""
     q["q55_flatten_dirty"] = _with(
         f"SELECT view_id, {c} >= '3' AS ok, CASE WHEN {c} >= '3' THEN watch_time END AS watch_time, "
         f"CASE WHEN {c} >= '3' THEN custom_2 END AS custom_2, CAST({n_set} AS INTEGER) AS n_cols FROM views")
+    q["q56_stream_bad_records"] = _with(
+        f"SELECT CAST(view_start AS DATE) AS view_date, view_id, CASE WHEN {c} < '3' THEN 'bad' ELSE 'row' END AS kind, "
+        f"CASE WHEN {c} >= '3' THEN watch_time END AS watch_time FROM views")
     q["q53_sample_tree"] = _with(
         f"SELECT rel FROM (SELECT {c} AS c, CASE WHEN {c} = '0' THEN view_id || '.pb' ELSE 'c' || {c} || '/' || {_rel()} END AS rel "
         "FROM views) f QUALIFY c = '0' OR row_number() OVER (PARTITION BY c ORDER BY md5('/t/' || rel), rel) "

@@ -8,14 +8,23 @@ the output exactly-once.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .._session import _hadoop, create_once, read_small, small_files
 from ..functions.api import decode
 from ..sources.files import BINARY_FILE_SCHEMA, with_path_partition
+from ..sources.landing import write_counted
+
+MAX_FILES = 10_000        # files of one batch, unless the caller says otherwise; the first one too
+LEDGER = "_batches"       # folder of the sink with a file per finished batch
+BATCH = "_batch"          # partition column that a batch's files lie under
 
 
 def message_stream(spark: SparkSession, base: str, message, glob: str | None = None,
-                   max_files_per_trigger: int | None = None,
+                   max_files_per_trigger: int | None = MAX_FILES,
                    keep=("path", "view_date", "view_hour"), **decode_options) -> DataFrame:
     """Streaming DataFrame of decoded messages from files landing under ``base``."""
     r = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
@@ -48,7 +57,7 @@ def ingest_stream(spark: SparkSession, base: str, message, sink: str, checkpoint
 
 
 def record_stream(spark: SparkSession, topic: str, registry, reader, value_col: str = "value",
-                  keep=(), max_files_per_trigger: int | None = None, **decode_options) -> DataFrame:
+                  keep=(), max_files_per_trigger: int | None = MAX_FILES, **decode_options) -> DataFrame:
     """Streaming decode of registry-framed records (a ``value`` binary column, as a message
     bus delivers them) landing as Parquet files under ``topic``: the header is parsed
     natively and each payload is read into ``reader`` whatever version wrote it."""
@@ -78,3 +87,71 @@ def ingest_records(spark: SparkSession, topic: str, registry, reader, sink: str,
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def ingest_days(spark: SparkSession, base: str, message, sink: str, bad_sink: str, checkpoint: str, glob: str | None = None,
+                max_files_per_trigger: int | None = MAX_FILES, keep=("path", "view_date", "view_hour"),
+                available_now: bool = True, processing_time: str | None = None, **decode_options):
+    """Start a stream of message files into two tables: decoded rows in ``sink``, unreadable messages in ``bad_sink``.
+
+    Both are Parquet, partitioned by ``view_date`` and the batch.  A batch overwrites its own
+    partitions and then enters its counts in the sink's ledger, a file created once; a batch that is
+    repeated after a crash finds its entry and does nothing, or finds none and replaces what it had
+    written.  So each file is in exactly one of the tables, once, whenever the run was cut off.
+    ``bad_sink`` holds path, view_date, length, content and ``_error``, enough to read them again.
+    """
+    raw = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true"))
+    if glob:
+        raw = raw.option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        raw = raw.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    stream = with_path_partition(raw.load(base))
+    keep = tuple(dict.fromkeys([*keep, "view_date"]))
+
+    def batch(df: DataFrame, number: int) -> None:
+        _land_batch(df, int(number), message, sink, bad_sink, keep, decode_options)
+
+    w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    elif processing_time:
+        w = w.trigger(processingTime=processing_time)
+    return w.start()
+
+
+def _entry(sink: str, number: int) -> str:
+    return f"{sink.rstrip('/')}/{LEDGER}/{number:012d}.json"
+
+
+def _land_batch(df: DataFrame, number: int, message, sink: str, bad_sink: str, keep: tuple, decode_options: dict) -> None:
+    spark = df.sparkSession
+    if _is_there(spark, _entry(sink, number)):
+        return
+    also = [c for c in ("path", "view_date", "length", "content") if c not in keep]
+    decoded = decode(df, message, col="content", keep=(*keep, *also), mode="permissive", **decode_options)
+    decoded = decoded.withColumn(BATCH, F.lit(number)).persist()
+    try:
+        good = decoded.where(F.col("_error").isNull()).drop("_error", *also)
+        bad = decoded.where(F.col("_error").isNotNull()).select("path", "view_date", "length", "content", "_error", BATCH)
+        counts = {"rows": write_counted(good, lambda d: _replace(d, sink), name="good")["rows"],
+                  "bad": write_counted(bad, lambda d: _replace(d, bad_sink), name="bad")["rows"]}
+    finally:
+        decoded.unpersist()
+    create_once(spark, _entry(sink, number), json.dumps({"batch": number, **counts}).encode())
+
+
+def _is_there(spark: SparkSession, uri: str) -> bool:
+    fs, path = _hadoop(spark, uri)
+    return fs.exists(path)
+
+
+def _replace(df: DataFrame, path: str) -> None:
+    """Write rows over the partitions they belong to."""
+    (df.hint("rebalance", "view_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("view_date", BATCH).parquet(path))
+
+
+def finished_batches(spark: SparkSession, sink: str) -> dict[int, dict]:
+    """{batch: its ledger entry} of the batches that are wholly in the tables."""
+    entries = [json.loads(read_small(spark, f)) for f in small_files(spark, f"{sink.rstrip('/')}/{LEDGER}")]
+    return {e["batch"]: e for e in entries}

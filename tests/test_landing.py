@@ -132,6 +132,17 @@ def test_ingest_counts_files_that_are_gone_and_bad_messages(spark, sf_small):
     assert tuple(got) == (5, 4, size, 3, 1) and spark.read.parquet(path).count() == 3
 
 
+def test_counts_when_no_message_can_be_read(spark):
+    base = tempfile.mkdtemp(prefix="pf-ingest-")
+    for i in range(3):
+        put(f"{base}/2024/01/01/00/{i}.pb", "\x7f\x7f")
+    path = tempfile.mkdtemp(prefix="pf-ingest-") + "/t"
+    got = ingest_files(spark, list_tree(spark, base), D.view_record(), path, fields=["view_id"]).first()
+    assert tuple(got) == (3, 3, 6, 0, 3)
+    none = ingest_files(spark, list_tree(spark, base).limit(0), D.view_record(), path + "0", fields=["view_id"]).first()
+    assert tuple(none) == (0, 0, 0, 0, 0)
+
+
 def test_written_files_are_landed_as_they_are(spark, place):
     _, path = place
     base = tempfile.mkdtemp(prefix="pf-land-")
