@@ -194,6 +194,28 @@ def read_small(spark, uri: str) -> bytes:
         stream.close()
 
 
+def gathered(seen, df, counts: list) -> dict:
+    """What an ``Observation`` gathered.  A write that turns out to have no rows is cut short by the optimizer, and
+    its observation with it: only then are the rows counted by a pass of their own."""
+    try:
+        found = dict(seen.get)
+    except Exception:  # noqa: BLE001 - the session has no row for a plan that was cut short
+        found = {}
+    return found if found else df.agg(*counts).first().asDict()
+
+
+def write_observed(df, path: str, *counts) -> dict:
+    """Write ``df`` as Parquet and return aggregates of its rows, taken by the write itself.
+
+    A task that runs twice may be counted twice, so the counts serve decisions and reports, not results.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    df.observe(seen, *counts).write.parquet(path)
+    return gathered(seen, df, list(counts))
+
+
 def spread(df, min_partitions: int | None = None):
     """Give a Python-heavy stage at least one partition per core.
 

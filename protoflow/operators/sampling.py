@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .._session import new_scratch
+from .._session import new_scratch, write_observed
 
 BUCKET_ROWS = 1_000_000
 _H60 = float(1 << 60)
@@ -135,13 +135,14 @@ def _cuts(df: DataFrame, prop: float, by: list[str], key: str, seed: int) -> tup
     target = counts.withColumn("_k", F.floor(F.sum("_c").over(whole) * F.lit(float(prop)))).where("_k > 0")
     upto = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def boundary(counted: DataFrame) -> DataFrame:
-        """The bucket of each group that holds its k-th row, and k counted from its first row."""
+    def boundary(counted: DataFrame) -> tuple[DataFrame, dict]:
+        """The bucket of each group that holds its k-th row, with k counted from its first row, and their sizes."""
         path = new_scratch(spark, "cuts")
         done = counted.withColumn("_upto", F.sum("_c").over(upto))
-        (done.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k")))
-             .select(*g, "_p", F.col("_c"), (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_k")).write.parquet(path))
-        return spark.read.parquet(path)
+        done = (done.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k")))
+                .select(*g, "_p", F.col("_c"), (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_k")))
+        size = write_observed(done, path, F.count(F.lit(1)).alias("n"), F.max("_c").alias("most"))
+        return spark.read.schema(done.schema).parquet(path), size
 
     def inside(buckets: DataFrame, groups: int) -> DataFrame:
         """Group, key, hash and k of the rows in the boundary buckets; all other rows end here."""
@@ -149,24 +150,21 @@ def _cuts(df: DataFrame, prop: float, by: list[str], key: str, seed: int) -> tup
         return keys.join(_small(named, groups), _match(keys, named, [(c, c + "_b") for c in g])
                          & (F.substring("_h", 1, digits) == F.col("_pb")))
 
-    buckets = boundary(target)
-    size = buckets.agg(F.count(F.lit(1)).alias("n"), F.max("_c").alias("most")).first()
+    buckets, size = boundary(target)
     groups = int(size["n"])
     while groups and size["most"] > BOUNDARY_ROWS and digits < 32:
         rows = inside(buckets, groups)
         digits = min(digits + PREFIX, 32)
-        buckets = boundary(rows.groupBy(*g, F.substring("_h", 1, digits).alias("_p"), "_k").agg(F.count(F.lit(1)).alias("_c")))
-        size = buckets.agg(F.max("_c").alias("most")).first()
+        buckets, size = boundary(rows.groupBy(*g, F.substring("_h", 1, digits).alias("_p"), "_k").agg(F.count(F.lit(1)).alias("_c")))
     path = new_scratch(spark, "cut-rows")
     ranked = inside(buckets, groups).groupBy(*g, "_k", "_h", "_key").agg(F.count(F.lit(1)).alias("_ties"))
     order = Window.partitionBy(*g).orderBy("_h", "_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = ranked.withColumn("_upto", F.sum("_ties").over(order))
-    (at.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_ties") < F.col("_k")))
-       .select(*g, F.col("_h").alias("_hc"), F.col("_key").alias("_kc"), (F.col("_k") - F.col("_upto") + F.col("_ties")).alias("_take"),
-               "_ties").write.parquet(path))
-    cuts = spark.read.parquet(path)
-    left = cuts.agg(F.max(F.col("_ties") - F.col("_take"))).first()[0]
-    return cuts, groups, int(left or 0)
+    cuts = (at.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_ties") < F.col("_k")))
+            .select(*g, F.col("_h").alias("_hc"), F.col("_key").alias("_kc"),
+                    (F.col("_k") - F.col("_upto") + F.col("_ties")).alias("_take"), "_ties"))
+    left = write_observed(cuts, path, F.max(F.col("_ties") - F.col("_take")).alias("left"))["left"]
+    return spark.read.schema(cuts.schema).parquet(path), groups, int(left or 0)
 
 
 def flag_sample(df: DataFrame, prop: float, by, key: str = "path", seed: int = 0, out: str = "selected") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._session import _hadoop, new_scratch
+from .._session import _hadoop, gathered, new_scratch
 from .files import read_listed, with_path_partition
 from .listing import list_tree, spelled
 
@@ -125,17 +125,7 @@ def write_counted(df: DataFrame, write, bytes_col: str | None = None, error_col:
         size = F.octet_length(bytes_col) if isinstance(df.schema[bytes_col].dataType, T.BinaryType) else F.col(bytes_col)
         counts.append(F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes"))
     write(df.observe(seen, *counts))
-    return _gathered(seen, df, counts)
-
-
-def _gathered(seen: Observation, df: DataFrame, counts: list) -> dict:
-    """The observed counts.  A write that turns out to have no rows is cut short by the optimizer, and its
-    observation with it: only then are the rows counted by a pass of their own."""
-    try:
-        found = dict(seen.get)
-    except Exception:  # noqa: BLE001 - the session has no row for a plan that was cut short
-        found = {}
-    return found if found else df.agg(*counts).first().asDict()
+    return gathered(seen, df, counts)
 
 
 def ingest_files(spark: SparkSession, files: DataFrame, message, path: str, partition_by="view_date", keep=("view_date",),
@@ -157,7 +147,7 @@ def ingest_files(spark: SparkSession, files: DataFrame, message, path: str, part
     decoded = decode(change(there) if change else there, message, col="content", keep=keep, mode="permissive", **decode_options)
     done = write_counted(decoded, lambda df: write_table(df.where(F.col("_error").isNull()).drop("_error"), path=path,
                                                          partition_by=partition_by), error_col="_error")
-    counts = _gathered(seen, raw, sums)
+    counts = gathered(seen, raw, sums)
     return spark.createDataFrame(
         [(counts["found"], counts["read"], counts["bytes"], done["rows"] - done["bad"], done["bad"])],
         "found long, read long, bytes long, rows long, bad long")

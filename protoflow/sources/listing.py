@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .._session import ensure_shipped, new_scratch, open_fs, shuffle_partitions
+from .._session import ensure_shipped, new_scratch, open_fs, shuffle_partitions, write_observed
 
 IO_THREADS = 16               # folders in flight per task
 ROUND_FOLDERS = 256           # a task descends below its own folders until it has opened so many
@@ -152,9 +152,10 @@ def walk_tree(spark: SparkSession, base: str, days=None, hours=None, glob: str |
     frontier, left, rounds = spark.createDataFrame([(base, 0)], "path string, depth int").coalesce(1), 1, []
     while left:
         rounds.append(f"{target}/round={len(rounds)}")
-        frontier.mapInArrow(run, WALK_SCHEMA).write.parquet(rounds[-1])
+        # the number of folders left is all the driver learns of the tree
+        left = write_observed(frontier.mapInArrow(run, WALK_SCHEMA), rounds[-1],
+                              F.count_if(F.col("kind") == "left").alias("left"))["left"]
         found = spark.read.schema(WALK_SCHEMA).parquet(rounds[-1]).where("kind = 'left'").select("path", "depth")
-        left = found.count()                                     # all the driver learns of the tree
         frontier = found.repartition(min(left, shuffle_partitions(spark)) or 1, "path")
     return spark.read.schema(WALK_SCHEMA).parquet(*rounds).where("kind <> 'left'")
 
