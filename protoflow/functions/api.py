@@ -109,7 +109,8 @@ def _decode_jvm(df, desc_set, msg, col, fields, keep, absent, names, enums, uint
     """Built-in ``from_protobuf`` path: the parse runs in the JVM, no Python worker."""
     unsupported = {"names": names != "proto", "timestamp": timestamp != "timestamp",
                    "duration": duration != "interval", "oneof_case": oneof_case,
-                   "type_overrides": bool(type_overrides), "absent": absent != "null"}
+                   "type_overrides": bool(type_overrides), "absent": absent != "null",
+                   "nested fields": any("." in p for p in fields or ()), "mode": mode != "failfast"}
     bad = [k for k, v in unsupported.items() if v]
     if bad:
         raise ValueError(f"engine='jvm' does not support options {bad}; use engine='python'")
@@ -117,13 +118,13 @@ def _decode_jvm(df, desc_set, msg, col, fields, keep, absent, names, enums, uint
         raise RuntimeError("engine='jvm' needs the spark-protobuf package on the classpath")
     from pyspark.sql.protobuf.functions import from_protobuf
 
-    opts = {"mode": "PERMISSIVE" if mode == "permissive" else "FAILFAST",
+    opts = {"mode": "FAILFAST",
             "recursive.fields.max.depth": str(max_depth),
             "enums.as.ints": str(enums == "int").lower(),
             "upcast.unsigned.ints": str(uint64 == "decimal").lower(),
             "unwrap.primitive.wrapper.types": "true"}
     st = from_protobuf(F.col(col), msg, options=opts, binaryDescriptorSet=desc_set)
-    top = [p.split(".")[0] for p in fields] if fields else None
+    top = list(fields) if fields else None
     parsed = df.select(*keep, st.alias(out))
     if not expanded:
         return parsed
@@ -175,10 +176,10 @@ def decode_json(df: DataFrame, message, col: str = "value", out: str = "content"
                 mapping: str = "spark", mode: str = "failfast") -> DataFrame:
     """``withColumn``-shaped: input columns + JSON text of the message in ``out``.
 
-    ``mapping="protobuf"`` writes the protobuf JSON mapping in the pass that parses: fields at
-    their proto3 default are left out, Struct, Value and Any are objects, 64-bit integers are quoted
-    (in maps too), uint32 is not.  ``mapping="spark"`` goes by the decoded columns: unset fields are omitted (``to_json`` drops NULLs); the JSON itself is made by
-    Spark's native ``to_json`` so only the parse runs in Python.  With
+    The JSON itself is made by Spark's native ``to_json``, so only the parse runs in Python.
+    ``mapping="protobuf"`` follows the protobuf JSON mapping: fields at their proto3 default are left
+    out, Struct, Value and Any are objects, 64-bit integers are quoted (in maps too), uint32 is not.
+    ``mapping="spark"`` goes by the decoded columns: unset fields are omitted (``to_json`` drops NULLs).  With
     ``int64_as_string`` 64-bit integers are quoted as the protobuf JSON mapping does.
     """
     keep = tuple(c for c in df.columns if c != out) if keep is None else tuple(keep)
@@ -200,22 +201,45 @@ def decode_json(df: DataFrame, message, col: str = "value", out: str = "content"
 
 
 def _protobuf_json(df, message, col, out, descriptor_set, names, keep, mode):
+    """The protobuf JSON mapping from the decoded columns: only what is set is decoded, the text is Spark's."""
     if mode not in ("failfast", "permissive"):
         raise ValueError("mode must be 'failfast' or 'permissive'")
     if names not in ("proto", "camel"):
         raise ValueError("names must be 'proto' or 'camel'")
-    desc_set, msg = _resolve(message, descriptor_set)
-    permissive = mode == "permissive"
-    made = [out, "_error"] if permissive else [out]
-    clash = sorted(set(keep) & set(made))
+    error = ("_error",) if mode == "permissive" else ()
+    clash = sorted(set(keep) & {out, *error})
     if clash:
         raise ValueError(f"kept column(s) {clash} collide with the output; rename them first")
-    src = df.select(*dict.fromkeys([*keep, col]))
-    ensure_shipped(df.sparkSession)
-    fn = partial(codec.json_batches, desc_set=desc_set, message=msg, col=col, keep=keep, out=out, names=names,
-                 permissive=permissive)
-    return src.mapInArrow(fn, T.StructType(_fields_of(src, keep) + [T.StructField(n, T.StringType(), True)
-                                                                    for n in made]))
+    desc_set, msg = _resolve(message, descriptor_set)
+    options = dict(absent="set", names=names, uint64="decimal", timestamp="string", duration="string")
+    decoded = decode(df, (desc_set, msg), col=col, keep=keep, expanded=False, out="_msg", mode=mode, **options)
+    value = _json_struct(F.col("_msg"), build_plan(desc_set, msg, None, make_options(**options)))
+    return decoded.select(*keep, F.to_json(value).alias(out), *error)
+
+
+_QUOTED = {"int64", "uint64", "sint64", "fixed64", "sfixed64",
+           "google.protobuf.Int64Value", "google.protobuf.UInt64Value"}
+
+
+def _json_struct(c: Column, nodes) -> Column:
+    return F.when(c.isNull(), F.lit(None)).otherwise(
+        F.struct(*[_json_field(c.getField(n.name), n).alias(n.name) for n in nodes]))
+
+
+def _json_field(c: Column, node) -> Column:
+    if node.kind == "map":
+        keys = F.transform_keys(c, lambda k, _: k.cast("string"))
+        return F.transform_values(keys, lambda _, v: _json_value(v, node.value))
+    return F.transform(c, lambda x: _json_value(x, node)) if node.repeated else _json_value(c, node)
+
+
+def _json_value(c: Column, node) -> Column:
+    """One value as the mapping writes it: 64-bit integers quoted, Struct, Value and Any as objects."""
+    if node.kind == "message":
+        return _json_struct(c, node.children)
+    if node.kind == "json":
+        return F.parse_json(c)
+    return c.cast("string") if node.proto_type in _QUOTED else c
 
 
 def _quote_longs(c: Column, dt: T.DataType) -> Column:

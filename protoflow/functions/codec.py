@@ -112,6 +112,8 @@ _NOFILL = object()
 def _unset_value(node: Node, opts: Options):
     """What an unset field of a present parent reads as (``_NOFILL`` = stays NULL)."""
     default_mode = opts.absent == "default"
+    if opts.absent == "set":
+        return _NOFILL
     if node.kind == "map" or node.repeated:
         return _NOFILL if opts.absent == "null" else ()
     if node.kind in ("timestamp", "duration"):
@@ -402,34 +404,6 @@ def _assemble(part, keep, plan, arrays, msgs, errors, permissive, expanded, out)
     return pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def json_batches(batches, desc_set: bytes, message: str, col: str, keep: tuple, out: str, names: str,
-                 permissive: bool):
-    """mapInArrow body: ``out`` = the protobuf JSON mapping of each message, one line of text."""
-    cls = message_class(desc_set, message)
-    for batch in batches:
-        for part in _slices(batch, col, MAX_SLICE_BYTES):
-            texts: list = []
-            errors: list = []
-            for b in part.column(col).to_pylist():
-                text = error = None
-                try:
-                    if b is not None:
-                        text = json_format.MessageToJson(cls.FromString(b), indent=None,
-                                                         preserving_proto_field_name=names == "proto")
-                except Exception as e:  # noqa: BLE001 - the message is recorded per row
-                    if not permissive:
-                        raise DecodeError(f"cannot read {message} from column {col!r}: {e}") from e
-                    error = f"{type(e).__name__}: {e}"
-                texts.append(text)
-                errors.append(error)
-            cols = [part.column(k) for k in keep] + [pa.array(texts, type=pa.string())]
-            heads = [*keep, out]
-            if permissive:
-                cols.append(pa.array(errors, type=pa.string()))
-                heads.append("_error")
-            yield pa.RecordBatch.from_arrays(cols, names=heads)
-
-
 def presence_batches(batches, desc_set: bytes, message: str, col: str, names: str, permissive: bool = False):
     """mapInArrow body: one row per top-level field with the number of messages in this
     task that set it, plus the number of messages and of bad ones; only presence is looked at."""

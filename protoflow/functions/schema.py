@@ -48,7 +48,8 @@ class Options:
     """Decode/encode options (all have a reference-compatible setting)."""
 
     absent: str = "null"              # unset -> "null": NULL; "default": proto default; "primitive":
-                                      # default, but messages and members of a oneof stay NULL
+                                      # default, but messages and members of a oneof stay NULL; "set":
+                                      # NULL also where a field without presence holds its default
     names: str = "proto"              # "proto" field names or "camel" (JSON names)
     enums: str = "name"               # "name" (string) or "int"
     uint64: str = "long"              # "long" (error >= 2^63) or "decimal" (DecimalType(20,0))
@@ -62,7 +63,7 @@ class Options:
     float_digits: int | None = None   # round float/double values to this many significant digits
 
     def __post_init__(self):
-        checks = {"absent": ("null", "default", "primitive"), "names": ("proto", "camel"),
+        checks = {"absent": ("null", "default", "primitive", "set"), "names": ("proto", "camel"),
                   "enums": ("name", "int"), "uint64": ("long", "decimal"),
                   "timestamp": ("timestamp", "timestamp_ntz", "string", "epoch_seconds"),
                   "duration": ("interval", "string", "micros")}

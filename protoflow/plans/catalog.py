@@ -654,6 +654,26 @@ def q56_stream_bad_records(spark, sf_dir):
     return good.unionByName(bad.select("view_date", view, F.lit("bad").alias("kind"), F.lit(None).cast("int").alias("watch_time")))
 
 
+def q57_primitive_digits(spark, sf_dir):
+    """Defaults for unset scalars and three significant digits of floats."""
+    return decode(FX.event_messages(spark, sf_dir), D.event_msg(), absent="primitive", float_digits=3,
+                  fields=["event_id", "event_type", "value", "props"])
+
+
+def q58_decimal_and_duration_text(spark, sf_dir):
+    """Unsigned 64-bit numbers as decimals beside durations as text, at the places of the order keys."""
+    orders = decode(FX.order_messages(spark, sf_dir), D.order_msg(), fields=["order_key_u64"], uint64="decimal")
+    ex = _events_of_views(spark, sf_dir, duration="string", **NTZ)
+    texts = ex.select("view_id", F.col("sequence_number").cast("decimal(20,0)").alias("number"), F.col("playhead_time").alias("text"))
+    numbers = orders.select(F.lit("order").alias("view_id"), F.col("order_key_u64").alias("number"), F.lit(None).cast("string").alias("text"))
+    return union_days(texts, numbers)
+
+
+def q59_json_text(spark, sf_dir):
+    """The protobuf JSON mapping of whole messages, compared as text."""
+    return decode_json(FX.event_messages(spark, sf_dir, keep=("event_id",)), D.event_msg(), keep=("event_id",), mapping="protobuf")
+
+
 QUERIES = {f.__name__: f for f in [
     q00_min_slice, q01_roundtrip, q02_struct_expand, q03_flatten_default, q04_flatten_null,
     q05_field_list, q06_business_names, q07_epoch_seconds, q08_timestamp_modes, q08b_timestamp_text,
@@ -667,6 +687,7 @@ QUERIES = {f.__name__: f for f in [
     q47_growing_table, q48_union_versions, q49_incremental_landing, q50_counted_ingest,
     q51_message_source, q52_compatibility, q53_sample_tree,
     q54_presence_at_depth, q55_flatten_dirty, q56_stream_bad_records,
+    q57_primitive_digits, q58_decimal_and_duration_text, q59_json_text,
 ]}
 
 # Which SURVEY §2 rows each query exercises (the coverage map in the README is built
@@ -730,6 +751,9 @@ SURVEY_ROWS = {
     "q54_presence_at_depth": "C7 §2.3 (nested presence, bad messages counted)",
     "q55_flatten_dirty": "C7 §2.3 P9 (populated fields of dirty input)",
     "q56_stream_bad_records": "§2.12 §2.3 (bad-record table, batches exactly once)",
+    "q57_primitive_digits": "D3 (absent, float_digits)",
+    "q58_decimal_and_duration_text": "D3 §1.2 (uint64 as decimal, Duration as text)",
+    "q59_json_text": "D10 D11 (whole text of the protobuf mapping)",
     "q52_compatibility": "D15 C9 (verdicts on schema changes beside what a reader really gets)",
     "q51_message_source": "S8 S9 S14 S7 (message files as a Spark data source, read and written)",
 }

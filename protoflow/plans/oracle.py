@@ -228,6 +228,21 @@ FROM events GROUP BY event_type"""
     q["q56_stream_bad_records"] = _with(
         f"SELECT CAST(view_start AS DATE) AS view_date, view_id, CASE WHEN {c} < '3' THEN 'bad' ELSE 'row' END AS kind, "
         f"CASE WHEN {c} >= '3' THEN watch_time END AS watch_time FROM views")
+    q["q57_primitive_digits"] = (
+        f"SELECT event_id, coalesce(event_type, '') AS event_type, coalesce(CAST(printf('%.3g', {_VALUE}) AS DOUBLE), 0.0) AS value, "
+        "coalesce(props, '') AS props FROM events")
+    us = "(epoch_us(ts) - epoch_us(view_start))"
+    q["q58_decimal_and_duration_text"] = _with(
+        "SELECT view_id, CAST(seq AS DECIMAL(20,0)) AS number, CAST(u // 1000000 AS VARCHAR) || CASE "
+        "WHEN u % 1000000 = 0 THEN '' WHEN u % 1000 = 0 THEN '.' || lpad(CAST(u % 1000000 // 1000 AS VARCHAR), 3, '0') "
+        "ELSE '.' || lpad(CAST(u % 1000000 AS VARCHAR), 6, '0') END || 's' AS text "
+        f"FROM (SELECT view_id, seq, {us} AS u FROM _ev) "
+        "UNION ALL SELECT 'order', CAST(o_orderkey AS DECIMAL(20,0)), NULL FROM orders")
+    q["q59_json_text"] = (
+        "SELECT event_id, '{\"eventId\":\"' || event_id || '\",\"ts\":\"' || " + _ts_text("ts") + " || '\"' || "
+        "coalesce(',\"userId\":\"' || user_id || '\"', '') || coalesce(',\"eventType\":' || to_json(event_type), '') || "
+        f"coalesce(',\"value\":' || CAST({_VALUE} AS VARCHAR), '') || coalesce(',\"props\":' || to_json(props), '') || '}}' "
+        "AS content FROM events")
     q["q53_sample_tree"] = _with(
         f"SELECT rel FROM (SELECT {c} AS c, CASE WHEN {c} = '0' THEN view_id || '.pb' ELSE 'c' || {c} || '/' || {_rel()} END AS rel "
         "FROM views) f QUALIFY c = '0' OR row_number() OVER (PARTITION BY c ORDER BY md5('/t/' || rel), rel) "
