@@ -3,6 +3,8 @@
 A word's ids do not depend on its neighbours where the tokenizer's own pre-tokenizer cuts
 the text, so ids are kept by word and a text is put together from them.  Only cuts that the
 pre-tokenizer is sure to make are used; files of another kind are encoded text by text.
+Many new words are encoded in one call and cut where a token is known to begin or end a word;
+a word with a closing punctuation mark is put together from the word and the mark.
 """
 
 from __future__ import annotations
@@ -12,8 +14,11 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 1_000_000      # bound of a worker's store of words; results do not depend on it
+CACHE_WORDS = 1_000_000
+CACHE_BYTES = 160 << 20      # about what a worker's store of words takes at most; results do not depend on it
+ENTRY_BYTES = 170            # of a word beside its text and ids
 BATCH = 4000
+TAILS = ".,;:!?"
 _MARK = "■"             # a character the word-level vocabulary has as one token
 _INNER = re.compile(r"(?<=\S)(?= \S)")
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -28,6 +33,12 @@ def encoder(path: str) -> "Encoder":
     return _LOADED[path]
 
 
+def release() -> None:
+    """Forget the worker's words: called where a reused worker turns to other work, so that they do not add to its memory."""
+    for e in _LOADED.values():
+        e.known, e.held = {}, 0
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -44,23 +55,51 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [])
         self.known: dict = {}
+        self.held = 0                                    # bytes of ``known``, about
+        self.edge = None                                 # of each id: it begins (or ends) a word
         if self.loose:                                   # their strings cannot be told from the text alone
             self.units = None
         elif (pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True)
                 and not spec.get("normalizer")):
             self.mark = self._single("\n")
             self.units = self._byte_level if self.mark is not None else None
+            self._edges(lambda t: t.startswith("\u0120"))       # how such files spell a space
         elif steps and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s" in str(
                 (steps[0].get("pattern") or {}).get("Regex")):
             self.mark = self._single(_MARK)
             self.units = self._spaced if self.mark is not None else None
+            suffix = spec["model"].get("end_of_word_suffix")
+            if suffix and r"[\p{L}]+" in str((steps[0].get("pattern") or {}).get("Regex")):
+                self._edges(lambda t: t.endswith(suffix))
         else:
             self.units = None
+        # closing marks that the pre-tokenizer cuts off a word of letters
+        self.tails: dict = {}
+        if self.units is not None:
+            alone, both, word = (self._whole(x) for x in (list(TAILS), ["ab" + c for c in TAILS], ["ab"]))
+            self.tails = {c: alone[i] for i, c in enumerate(TAILS) if both[i] == word[0] + alone[i]}
 
     def _single(self, text: str) -> int | None:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return ids[0] if len(ids) == 1 else None
 
+    def _edges(self, is_edge) -> None:
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if is_edge(t)]] = True
+
+    def _run(self, text: str, n: int, first: bool) -> list[bytes] | None:
+        """Ids of the ``n`` words of ``text``, cut where a token begins (``first``) or ends a word; None if that
+        does not give ``n`` words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != n or n == 0 or (at[0] != 0 if first else at[-1] != len(ids) - 1):
+            return None
+        data = ids.tobytes()
+        begin = (at if first else np.concatenate([[0], at[:-1] + 1])) * 4
+        end = (np.concatenate([at[1:], [len(ids)]]) if first else at + 1) * 4
+        return [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,6 +126,14 @@ class Encoder:
         plain = [i for i, w in enumerate(words) if _MARK not in w]
         odd = [i for i, w in enumerate(words) if _MARK in w]
         out: list = [b""] * len(words)
+        if self.edge is not None:
+            letters = [i for i in plain if words[i].isalpha() and words[i].lower().isalpha()]
+            found = self._run(" ".join([words[i] for i in letters]), len(letters), False)
+            if found is not None:
+                for i, ids in zip(letters, found):
+                    out[i] = ids
+                known = set(letters)
+                plain = [i for i in plain if i not in known]
         for i, ids in zip(plain, self._joined([words[i] for i in plain], f" {_MARK} ")):
             out[i] = ids
         for i, ids in zip(odd, self._whole([words[i] for i in odd]) if odd else []):
@@ -115,6 +162,13 @@ class Encoder:
                 lines.append(i)
             else:
                 rest.append(i)
+        single = [i for i in plain if " " not in new[i]] if self.edge is not None else []
+        found = self._run("".join([" " + new[i] for i in single]), len(single), True)
+        if found is not None:
+            for i, ids in zip(single, found):
+                out[i] = ids
+            known = set(single)
+            plain = [i for i in plain if i not in known]
         for i, ids in zip(plain, self._joined([" " + new[i] for i in plain], "\n")):
             out[i] = ids
         for i, ids in zip(lines, self._joined([new[i][1:] for i in lines], "\n")):
@@ -147,14 +201,26 @@ class Encoder:
             gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
             missing.update([units[i] for i in gaps])
             split.append((units, ids, gaps, head))
-        new, fresh = list(missing), {}
+        # a word of letters with a closing mark is the word's ids and the mark's
+        stems, tails = {}, self.tails
+        spaced = self.units == self._spaced
+        for u in missing:
+            w = u.decode() if spaced else u
+            if w[-1:] in tails and (w[:-1].isalpha() or (w[:1] == "\n" and w[1:-1].isalpha())):
+                stems[u] = (u[:-1], tails[w[-1]])
+        new = list({x for x, _ in stems.values() if x not in known} | {u for u in missing if u not in stems})
+        fresh: dict = {}
         for i in range(0, len(new), BATCH):
             fresh.update(zip(new[i:i + BATCH], learn(new[i:i + BATCH])))
-        room = CACHE_WORDS - len(known)
-        if room >= len(fresh):
-            known.update(fresh)
-        else:
-            known.update((w, fresh[w]) for w in new[:max(room, 0)])
+        for w, ids in fresh.items():
+            if self.held >= CACHE_BYTES or len(known) >= CACHE_WORDS:
+                break
+            if w not in known:
+                known[w] = ids
+                self.held += len(w) + len(ids) + ENTRY_BYTES
+        for u, (stem, tail) in stems.items():
+            ids = known.get(stem)
+            fresh[u] = (fresh[stem] if ids is None else ids) + tail
         out = []
         for units, ids, gaps, head in split:
             for i in gaps:

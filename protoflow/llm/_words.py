@@ -70,11 +70,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts)
 
 
-def grouped(texts: list[bytes], limit: int = SLICE):
-    """Index ranges of consecutive texts with at most ``limit`` bytes together (one text at least)."""
+def grouped(texts: list[bytes], limit: int = SLICE, most: int | None = None):
+    """Index ranges of consecutive texts with at most ``limit`` bytes together (one text at least), and at most
+    ``most`` texts where a step takes memory per text."""
     begin, total = 0, 0
     for i, t in enumerate(texts):
-        if i > begin and total + len(t) > limit:
+        if i > begin and (total + len(t) > limit or i - begin == most):
             yield begin, i
             begin, total = i, 0
         total += len(t) + 1

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protoflow.llm._tables import ensure_shipped, only
+from protoflow.llm._tokenize import release
 from protoflow.llm._words import LOWER, grouped, texts_of
 
 DIM = 2048
@@ -23,6 +24,7 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 6000      # bound of the sample that the classifier is fitted on, all languages together
 UNKNOWN = "und"
 LOW, LIMIT = 0.05, 0.5  # a text is recognised with half of the margin that 95 % of its language's labelled texts have
+TEXTS = 1024           # texts whose vectors are held at once
 _LETTER = re.compile(rb"[A-Za-z]")
 _SHIFT = np.uint64(64 - 11)
 
@@ -30,7 +32,7 @@ _SHIFT = np.uint64(64 - 11)
 def features(texts: list[bytes], orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     """One unit vector per text (zero for an empty one); grams do not cross texts."""
     out = np.zeros((len(texts), DIM), np.float32)
-    for a, b in grouped(texts, 1 << 20):
+    for a, b in grouped(texts, 1 << 20, 256):
         sizes = np.array([len(t) for t in texts[a:b]])
         data = np.frombuffer(b"".join(t.translate(LOWER) for t in texts[a:b]), np.uint8).astype(np.uint64)
         of = np.repeat(np.arange(b - a), sizes)
@@ -100,10 +102,13 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     def run(batches):
         import pyarrow as pa
 
+        release()
         for batch in batches:
-            x = features(texts_of(batch.column(0))).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([v.tobytes() for v in x], pa.binary())],
-                                             names=["lang", "x"])
+            texts = texts_of(batch.column(0))
+            for a, b in grouped(texts, 1 << 21, TEXTS):
+                x = features(texts[a:b]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([v.tobytes() for v in x], pa.binary())],
+                                                 names=["lang", "x"])
 
     got = sample.select("text", "lang").mapInArrow(run, "lang string, x binary").toArrow()
     names = np.array(got.column("lang").to_pylist())
@@ -186,11 +191,12 @@ def limits(labelled: DataFrame, model: dict, text: str = "text", lang: str = "la
     def run(batches):
         import pyarrow as pa
 
+        release()
         model = shared.value
         number = {n: i for i, n in enumerate(model["langs"])}
         for batch in batches:
             texts, names = texts_of(batch.column(0)), batch.column(1).to_pylist()
-            for a, b in grouped(texts, 1 << 21):
+            for a, b in grouped(texts, 1 << 21, TEXTS):
                 x = features(texts[a:b])
                 k, _ = classify(model, x)
                 right = np.array([number.get(n) == i and _has_letter(t)
@@ -224,11 +230,12 @@ def identify(docs: DataFrame, model: dict, text: str = "text", least: dict[str,
     def run(batches):
         import pyarrow as pa
 
+        release()
         model = shared.value
         for batch in batches:
             texts = texts_of(batch.column(at))
             pred, score = [], []
-            for a, b in grouped(texts, 1 << 21):
+            for a, b in grouped(texts, 1 << 21, TEXTS):
                 part = texts[a:b]
                 letter = [_has_letter(t) for t in part]
                 if model["langs"]:
