@@ -39,6 +39,11 @@ def release() -> None:
         e.known, e.held = {}, 0
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is letters alone, before and after lower-casing, of scripts all versions of Unicode agree on."""
+    return word.isalpha() and max(word) < "\u0530" and word.lower().isalpha()
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -206,7 +211,7 @@ class Encoder:
         spaced = self.units == self._spaced
         for u in missing:
             w = u.decode() if spaced else u
-            if w[-1:] in tails and (w[:-1].isalpha() or (w[:1] == "\n" and w[1:-1].isalpha())):
+            if w[-1:] in tails and _letters(w[w[:1] == "\n":-1]):
                 stems[u] = (u[:-1], tails[w[-1]])
         new = list({x for x, _ in stems.values() if x not in known} | {u for u in missing if u not in stems})
         fresh: dict = {}
