@@ -16,8 +16,8 @@ below the bound are set aside, and the rest are compared exactly.
 Only connectivity is asked for, so candidates come in two rounds.  The first opens each group
 and, for every shingle, the first group that has it with the others.  The second partitions the linked
 nodes by component and opens the pairs that are still apart.  A family of near copies is
-joined in the first round, and its pairs are never listed.  Each opening emits a spanning
-star of its links.
+joined in the first round, and its pairs are never listed.  Groups are opened in blocks of two buckets, so a
+group is sent to a block once and not to each of its partners; a block emits a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ GROUP = 32             # nodes of a group, on average
 GROUP_SHINGLES = 1 << 18
 SLOTS = 1 << 22        # counters of the sketch that orders the shingles; its size bounds what is broadcast
 PAGE = 1 << 16
+BUCKETS = 4            # least number of buckets of groups; tasks open pairs of buckets
+BUCKET_BYTES = 32 << 20   # of the sets in a bucket
 BROADCAST = 32 << 20   # bytes of keys that may be broadcast to the candidate texts and sets
 
 
@@ -182,20 +184,28 @@ def _node_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
-def _star(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star of every component of the links i-j, towards its smallest node."""
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    leaf = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[leaf], nodes[root[leaf]]
+class _Forest:
+    """Components of numbered places; the root of each is its smallest place."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def link(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
+    def one(self, places: list[int]) -> bool:
+        """Whether all places are in one component."""
+        first = self.root(places[0])
+        return all(self.root(x) == first for x in places[1:])
 
 
 def open_pair(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,29 +237,48 @@ def open_pair(left: list[np.ndarray], right: list[np.ndarray], percent: int) ->
     return np.array(a)[i], np.array(b)[j]
 
 
-def _open(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) found by opening pairs (a, b) of groups; ``members`` has (group, node, shingles)."""
-    pairs = pairs.select("a", "b", F.xxhash64("a", "b").alias("pair"))
-    sides = pairs.select("pair", F.col("a").alias("group"), F.lit(0).alias("side"), (F.col("a") == F.col("b")).alias("own"))
-    sides = sides.unionByName(pairs.where("a != b").select("pair", F.col("b").alias("group"), F.lit(1).alias("side"),
-                                                           F.lit(False).alias("own")))
-    rows = sides.join(members, "group").select("pair", "side", "own", "node", "shingles")
+def _open(pairs: DataFrame, members: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Links (u, v) found by opening pairs (x, y) of units; ``members`` has (unit, group, node, shingles).
 
-    def run(group):
+    Groups fall into ``buckets`` by a hash, and a task opens a block: the groups of two buckets.  A pair of units
+    goes to the blocks of their buckets, and a group to each block that needs it, once: its sets are copied at
+    most twice per bucket, however many partners it has.  Inside a block, groups that earlier links have
+    joined already are not compared again, and the links leave as one spanning forest.
+    """
+    members = members.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int"))
+    homes = members.select("unit", "bucket").distinct()
+    placed = (pairs.join(homes.select(F.col("unit").alias("x"), F.col("bucket").alias("i")), "x")
+              .join(homes.select(F.col("unit").alias("y"), F.col("bucket").alias("j")), "y"))
+    block = F.least("i", "j").cast("long") * buckets + F.greatest("i", "j")
+    placed = placed.select(block.alias("block"), "x", "i", "y", "j")
+    needs = placed.select("block", F.col("x").alias("unit"), F.col("i").alias("bucket")).unionByName(
+        placed.select("block", F.col("y").alias("unit"), F.col("j").alias("bucket"))).distinct()
+    rows = needs.join(members, ["unit", "bucket"]).select("block", "unit", "bucket", "group", "node", "shingles")
+
+    def run(sides, wanted):
         import pyarrow as pa
 
-        side = group.column("side").to_numpy()
-        nodes = group.column("node").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")]
-        left = np.flatnonzero(side == 0)
-        right = left if group.column("own")[0].as_py() else np.flatnonzero(side == 1)
-        u = v = np.zeros(0, np.int64)
-        if len(left) and len(right):
-            i, j = open_pair([sets[x] for x in left], [sets[x] for x in right], percent)
-            u, v = _star(nodes, left[i], right[j])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return rows.groupBy("pair").applyInArrow(run, "u long, v long")
+        nodes, place = np.unique(sides.column("node").to_numpy(), return_inverse=True)
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in sides.column("shingles")]
+        groups: dict = {}                                  # (unit, bucket) -> group -> rows
+        for r, (unit, bucket, group) in enumerate(zip(*[sides.column(c).to_pylist() for c in ("unit", "bucket", "group")])):
+            groups.setdefault((unit, bucket), {}).setdefault(group, []).append(r)
+        forest, place = _Forest(len(nodes)), place.tolist()
+        for x, i, y, j in sorted(zip(*[wanted.column(c).to_pylist() for c in ("x", "i", "y", "j")])):
+            for a, left in groups.get((x, i), {}).items():
+                for b, right in groups.get((y, j), {}).items():
+                    if x == y and b < a:
+                        continue
+                    if forest.one([place[r] for r in left + right]):
+                        continue
+                    for p, q in zip(*[k.tolist() for k in open_pair([sets[r] for r in left], [sets[r] for r in right], percent)]):
+                        forest.link(place[left[p]], place[right[q]])
+        root = np.array([forest.root(x) for x in range(len(nodes))], np.int64)
+        leaf = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.table({"u": pa.array(nodes[leaf], pa.int64()), "v": pa.array(nodes[root[leaf]], pa.int64())})
+
+    wanted = placed.select((F.col("block") + F.lit(0)).alias("at"), "x", "i", "y", "j")     # a column of its own
+    return rows.groupBy("block").cogroup(wanted.groupBy("at")).applyInArrow(run, "u long, v long")
 
 
 def _grouped_by(nodes: DataFrame, by: str) -> DataFrame:
@@ -274,7 +303,9 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int,
               .join(post.select("node").distinct(), "node", "left_semi"))
     active = written(_grouped_by(active, "low"), "groups")
     # Keys of a checked size are sent to the texts and sets; beyond it both sides are shuffled.
-    sent = F.broadcast if active.count() * 24 <= BROADCAST else (lambda keys: keys)
+    total = active.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("shingles")).first()
+    sent = F.broadcast if total["n"] * 24 <= BROADCAST else (lambda keys: keys)
+    buckets = max(BUCKETS, -(-8 * total["shingles"] // BUCKET_BYTES))
     picked = docs.join(sent(active.select("row")), "row", "left_semi")
     sets = written(_node_sets(picked, n).join(sent(active.select("node")), "node", "left_semi")
                    .dropDuplicates(["node"]), "sets")
@@ -285,8 +316,9 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int,
         F.col("c") >= needed(F.ceil(F.col("low") * percent / 100 - 1e-9), percent)).select("a", "b")
     own = active.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(
         F.col("group").alias("a"), F.col("group").alias("b"))
-    members = sets.join(sent(active.select("node", "group")), "node")
-    first = written(_open(own.unionByName(star), members, percent), "links-1")
+    members = sets.join(sent(active.select("node", "group")), "node").withColumn("unit", F.col("group"))
+    pairs = own.unionByName(star).toDF("x", "y")
+    first = written(_open(pairs, members, percent, buckets), "links-1")
 
     roots = components(first)
     placed = active.join(roots, "node", "left")
@@ -302,15 +334,8 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int,
         F.col("x.unit").alias("x"), F.col("y.unit").alias("y")).agg(
         F.count(F.lit(1)).alias("c"), F.min(F.least("x.low", "y.low")).alias("low")).where(
         F.col("c") >= needed(F.col("low"), percent)).select("x", "y")
-    parts = placed.groupBy("unit", "group").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    pairs = (apart.join(parts.select(F.col("unit").alias("x"), F.col("group").alias("a"),
-                                     F.col("low").alias("al"), F.col("high").alias("ah")), "x")
-             .join(parts.select(F.col("unit").alias("y"), F.col("group").alias("b"),
-                                F.col("low").alias("bl"), F.col("high").alias("bh")), "y")
-             .where((F.col("ah") * 100 >= F.col("bl") * percent) & (F.col("bh") * 100 >= F.col("al") * percent))
-             .select("a", "b").distinct())
-    members = sets.join(sent(placed.select("node", "group")), "node")
-    second = written(_open(pairs, members, percent), "links-2")
+    members = sets.join(sent(placed.select("node", "group", "unit")), "node")
+    second = written(_open(apart, members, percent, buckets), "links-2")
     return first.unionByName(second)
 
 
