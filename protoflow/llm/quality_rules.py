@@ -2,8 +2,10 @@
 
 Counts are taken in one pass over the texts.  Rule failures are summed by host; a host's
 failure rate is shrunk towards the corpus by a beta prior fitted to all hosts (method of
-moments), so a host with few pages needs more evidence than a large one.  A host whose
-shrunk rate of any rule exceeds ``max_host_rate`` is rejected with all its documents.
+moments, with the binomial noise of the hosts' own rates taken out), so a host with few pages
+needs more evidence than a large one.  A host is rejected with all its documents when, for any
+rule, its rate two standard deviations below the posterior mean still exceeds both
+``max_host_rate`` and the corpus rate.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ SYMBOLS = b"#*$%&|<>"
 BLANK = b" \t\r\x0b\x0c"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 RULES = ("short", "repeats", "symbols", "dup_lines", "word_length")
-MAX_HOST_RATE = 0.5
+MAX_HOST_RATE = 0.3
+SURE = 2.0             # standard deviations of the posterior
+MAX_WEIGHT = 1e6       # of the prior, in documents: hosts that differ by no more than chance
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 _CHAR = ~IS_SPACE & ((np.arange(256) & 0xC0) != 0x80)     # first byte of a character in a word
@@ -94,39 +98,55 @@ def failures(counts: DataFrame) -> DataFrame:
 
 
 def host_verdicts(failed: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(host, host_docs, rate_<rule> ..., host_rejected): shrunk failure rates of every host."""
+    """(host, host_docs, rate_<rule> ..., host_rejected): shrunk failure rates of every host.
+
+    ``failed`` has a host and the booleans ``fails_<rule>``; a NULL host is a host; without rows there is none."""
     hosts = failed.groupBy("host").agg(
         F.count(F.lit(1)).alias("host_docs"),
         *[F.sum(F.col(f"fails_{r}").cast("long")).alias(f"n_{r}") for r in RULES])
-    n, means, spreads = F.col("host_docs"), [], []
-    for r in RULES:
-        means.append((F.sum(f"n_{r}") / F.sum(n)).alias(f"m_{r}"))
-        rate = F.col(f"n_{r}") / n
-        spreads.append((F.sum(n * rate * rate) / F.sum(n)).alias(f"q_{r}"))
-    prior = hosts.agg(*means, *spreads).collect()[0]          # one row
-    shrunk = []
+    n = F.col("host_docs")
+    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("n"), F.sum(n.cast("double") * n).alias("nn"),
+                     *[F.sum(f"n_{r}").alias(f"k_{r}") for r in RULES],
+                     *[F.sum(F.col(f"n_{r}").cast("double") * F.col(f"n_{r}") / n).alias(f"kk_{r}") for r in RULES]).first()
+    rates, lows = [], []
     for r in RULES:
-        m = prior[f"m_{r}"] or 0.0
-        var = max((prior[f"q_{r}"] or 0.0) - m * m, 0.0)
-        weight = min(max(m * (1 - m) / var - 1, 1.0), 1e4) if var > 0 else 1e4
-        shrunk.append(((F.col(f"n_{r}") + F.lit(m * weight)) / (n + F.lit(weight))).alias(f"rate_{r}"))
-    rated = hosts.select("host", "host_docs", *shrunk)
-    worst = F.greatest(*[F.col(f"rate_{r}") for r in RULES])
-    return rated.withColumn("host_rejected", worst > F.lit(max_rate))
+        m, weight = prior(sums["hosts"], sums["n"] or 0, sums["nn"] or 0.0, sums[f"k_{r}"] or 0, sums[f"kk_{r}"] or 0.0)
+        mean = (F.col(f"n_{r}") + F.lit(m * weight)) / (n + F.lit(weight))
+        rates.append(mean.alias(f"rate_{r}"))
+        low = mean - F.lit(SURE) * F.sqrt(mean * (1 - mean) / (n + F.lit(weight + 1.0)))
+        lows.append(low > F.lit(max(max_rate, m)))
+    rejected = lows[0]
+    for x in lows[1:]:
+        rejected = rejected | x
+    return hosts.select("host", "host_docs", *rates, rejected.alias("host_rejected"))
+
+
+def prior(hosts: int, n: int, nn: float, k: int, kk: float) -> tuple[float, float]:
+    """(mean, weight) of the beta prior of failure rates, from sums over the hosts: their number, documents, squared
+    documents, failures, and squared failures over documents.
+
+    The spread of the hosts' rates about the corpus rate, less what binomial noise alone would give, is
+    the variance between hosts; the weight is the number of documents the prior counts as.
+    """
+    if not n:
+        return 0.0, MAX_WEIGHT
+    m = k / n
+    spread, effective = kk - n * m * m, n - nn / n - (hosts - 1)
+    between = (spread - (hosts - 1) * m * (1 - m)) / effective if effective > 0 else 0.0
+    if between <= 0 or not 0 < m < 1:
+        return m, MAX_WEIGHT
+    return m, min(max(m * (1 - m) / between - 1, 1e-3), MAX_WEIGHT)
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
             max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per row of ``docs``: its key, counts, rules failed, its host's rates, ``kept``.
 
-    A document is kept if it fails no rule and its host is not rejected.  NULL and empty texts
+    A document is kept unless it fails the base rules or its host is rejected; the other rules speak through the host.  NULL and empty texts
     have no words and fail; a NULL host is a host of its own; repeated rows count each time;
     other columns are ignored; an empty table gives an empty result.
     """
     failed = written(failures(rule_counts(docs, key, text, host)), "quality")
     verdicts = host_verdicts(failed, max_host_rate).withColumnRenamed("host", "_pf_host")
     joined = failed.join(verdicts, F.col("host").eqNullSafe(F.col("_pf_host")), "left").drop("_pf_host")
-    broken = F.lit(False)
-    for r in RULES:
-        broken = broken | F.col(f"fails_{r}")
-    return joined.withColumn("kept", ~(broken | F.col("host_rejected"))).withColumnRenamed("key", key)
+    return joined.withColumn("kept", ~(F.col("base_failed") | F.col("host_rejected"))).withColumnRenamed("key", key)
