@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from protoflow.llm._tables import row_key, without
+from protoflow.llm._tables import row_key, without, written
 
 SPACE = "[ \\t-\\r]+"
 WORDS = 5
@@ -66,7 +66,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     split = source.select("k", words(F.col("text")).alias("words"))
     hashes = split.select("k", F.explode(F.array_distinct(F.filter(
         _windows("words", n, lambda s: _positive(F.xxhash64(s))), lambda h: h <= cut))).alias("hash"))
-    found = hashes.join(sketches.select("item", "hash"), "hash").select("k", "item").distinct()
+    found = written(hashes.join(sketches.select("item", "hash"), "hash").select("k", "item").distinct(), "found")
     # Verification reads only the documents found, and compares the shingles as words.
     held = source.join(found.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
     held = held.select("k", "id", words(F.col("text")).alias("words"))

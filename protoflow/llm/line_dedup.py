@@ -1,8 +1,8 @@
 """Removal of lines that many sites share, DataFrame functions only.
 
-A line is known by two hashes of its whole content.  Lines seen often enough to reach the
-threshold get a HyperLogLog sketch of their sites, built by a plain aggregation (sketches
-merge, so a line in a third of all documents is pre-aggregated before the shuffle).  Where
+A line is known by two hashes of its whole content.  Lines are first counted by line and site, in
+tasks before the shuffle, so a line in a third of all documents is a row per site from then on.
+Lines seen often enough to reach the threshold get a HyperLogLog sketch of their sites.  Where
 the estimate lies within ``margin`` of the threshold the sites are counted exactly.  A
 line spread over ``min_sites`` sites or more stays in the document with the smallest id
 that has it and leaves every other document.
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from protoflow.llm._tables import row_key, without, written
 
 MIN_SITES = 3
+SALTS = 16             # parts that the rows of one line are dealt to when the shared lines are joined to them
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -26,15 +27,16 @@ def shared_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = 0
     sketch with 2**10 registers, so only the exactly counted band can decide either way.
     """
     line = ["h1", "h2"]
-    seen = lines.groupBy(*line).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    sites = written(lines.groupBy(*line, "site").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")), "line-sites")
+    seen = sites.groupBy(*line).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     often = seen.where(F.col("n") >= min_sites).select(*line, "first")
-    spread = (lines.select(*line, "site").join(often, line)
+    spread = (sites.select(*line, "site").join(often, line)
               .groupBy(*line).agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min("first").alias("first"))
               .select(*line, "first", F.hll_sketch_estimate("sketch").alias("sites")))
     spread = written(spread.where(F.col("sites") >= min_sites * (1 - margin)), "line-spread")
     clear = spread.where(F.col("sites") > min_sites * (1 + margin)).select(*line, "first")
     near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select(*line, "first")
-    exact = (lines.select(*line, "site").join(near.select(*line), line).distinct()
+    exact = (sites.select(*line, "site").join(near.select(*line), line)
              .groupBy(*line).agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites))
     return clear.unionByName(near.join(exact.select(*line), line))
 
@@ -59,7 +61,10 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: s
              .select("k", "id", "site", "at", F.xxhash64(line).alias("h1"), F.hash(line).alias("h2")))
     lines = written(lines, "lines")
     shared = shared_lines(lines, min_sites)
-    hits = (lines.join(shared, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first")))
+    # the rows of a frequent line are dealt to several tasks, each with a copy of the line's one row
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("k", "at"), F.lit(SALTS)))
+    copies = shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    hits = (salted.join(copies, ["h1", "h2", "salt"]).where(~F.col("id").eqNullSafe(F.col("first")))
             .groupBy("k").agg(F.collect_set("at").alias("_pf_cut"))
             .select(F.col("k").alias("_pf_k"), "_pf_cut"))
     parts = F.split(F.col(text), "\n")
