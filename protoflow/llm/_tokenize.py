@@ -4,7 +4,8 @@ A word's ids do not depend on its neighbours where the tokenizer's own pre-token
 the text, so ids are kept by word and a text is put together from them.  Only cuts that the
 pre-tokenizer is sure to make are used; files of another kind are encoded text by text.
 Many new words are encoded in one call and cut where a token is known to begin or end a word;
-a word with a closing punctuation mark is put together from the word and the mark.
+a word with a closing punctuation mark is put together from the word and the mark.  Texts are cut
+and their words numbered by Arrow, a group of texts at a time, so Python sees each distinct word of a group once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ CACHE_BYTES = 160 << 20      # about what a worker's store of words takes at mos
 ENTRY_BYTES = 170            # of a word beside its text and ids
 BATCH = 4000
 TAILS = ".,;:!?"
+# letters and digits, also in lower case, of scripts all versions of Unicode agree on: a mark after one stands alone
+_BEFORE = frozenset(c for c in map(chr, range(0x530)) if c.isascii() and c.isdigit() or c.isalpha() and c.lower().isalpha())
 _MARK = "■"             # a character the word-level vocabulary has as one token
 _INNER = re.compile(r"(?<=\S)(?= \S)")
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -39,11 +42,6 @@ def release() -> None:
         e.known, e.held = {}, 0
 
 
-def _letters(word: str) -> bool:
-    """Whether a word is letters alone, before and after lower-casing, of scripts all versions of Unicode agree on."""
-    return word.isalpha() and max(word) < "\u0530" and word.lower().isalpha()
-
-
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -78,7 +76,7 @@ class Encoder:
                 self._edges(lambda t: t.endswith(suffix))
         else:
             self.units = None
-        # closing marks that the pre-tokenizer cuts off a word of letters
+        # closing marks that the pre-tokenizer cuts off a word
         self.tails: dict = {}
         if self.units is not None:
             alone, both, word = (self._whole(x) for x in (list(TAILS), ["ab" + c for c in TAILS], ["ab"]))
@@ -123,11 +121,14 @@ class Encoder:
         end = np.concatenate([cuts, [len(ids)]]) * 4
         return [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
 
-    def _spaced(self, text: str) -> tuple[list, bytes]:
-        return text.encode().split(), b""
+    def _spaced(self, texts: list[str]) -> tuple:
+        """(words of each text as an Arrow list, ids before them): cuts at ASCII white space."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        return pc.ascii_split_whitespace(pa.array(texts, pa.string())), [b""] * len(texts)
 
-    def _learn_spaced(self, new: list) -> list[bytes]:
-        words = [w.decode() for w in new]
+    def _learn_spaced(self, words: list[str]) -> list[bytes]:
         plain = [i for i, w in enumerate(words) if _MARK not in w]
         odd = [i for i, w in enumerate(words) if _MARK in w]
         out: list = [b""] * len(words)
@@ -145,16 +146,27 @@ class Encoder:
             out[i] = ids
         return out
 
-    def _byte_level(self, text: str) -> tuple[list, bytes]:
-        """Units after which a cut is sure: a space before a word, or a line's end before one."""
-        if not text:
-            return [], b""
-        if not (any(c in text for c in (_ASCII_SPACES if text.isascii() else _SPACES)) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-                or text[0].isspace() or text[-1].isspace()):
-            first, _, rest = text.replace("\n", " \n").partition(" ")
-            return (rest.split(" ") if rest else []), self._whole([first])[0]
-        first, *rest = _INNER.split(text)
-        return [u[1:] for u in rest], self._whole([first])[0]
+    def _byte_level(self, texts: list[str]) -> tuple:
+        """(units of each text as an Arrow list, ids before them); cuts are sure before a space or a line's end that
+        a word follows."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        first, rest, odd = [], [], {}
+        for i, t in enumerate(texts):
+            if (any(c in t for c in (_ASCII_SPACES if t.isascii() else _SPACES)) or "  " in t or "\n\n" in t or " \n" in t
+                    or "\n " in t or t[:1].isspace() or t[-1:].isspace()):
+                head, *units = _INNER.split(t)
+                odd[i] = [u[1:] for u in units]
+                tail = ""
+            else:
+                head, _, tail = t.replace("\n", " \n").partition(" ")
+            first.append(head)
+            rest.append(tail)
+        units = pc.split_pattern(pa.array(rest, pa.string()), " ")
+        if odd:                                            # few; their units were found one by one
+            units = pa.array([odd.get(i, u) for i, u in enumerate(units.to_pylist())], pa.list_(pa.string()))
+        return units, self._whole(first)
 
     def _learn_byte_level(self, new: list) -> list[bytes]:
         out: list = [b""] * len(new)
@@ -198,40 +210,46 @@ class Encoder:
         return self._pieced(texts)
 
     def _pieced(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        units, heads = self.units(texts)
+        words = units.flatten().dictionary_encode()
+        ids = self._ids_of(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        store, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        number = np.asarray(words.indices)
+        count = size[number]
+        end = np.concatenate([[0], np.cumsum(count)])
+        data = store[np.repeat(start[number] - end[:-1], count) + np.arange(end[-1])].tobytes()
+        bounds = (end[np.asarray(units.offsets)] * 4).tolist()
+        return [h + data[a:b] for h, a, b in zip(heads, bounds, bounds[1:])]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; no word (an empty one) has none."""
         learn = self._learn_spaced if self.units == self._spaced else self._learn_byte_level
-        known, split, missing = self.known, [], set()
-        for t in texts:
-            units, head = self.units(t)
-            ids = list(map(known.get, units))
-            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            missing.update([units[i] for i in gaps])
-            split.append((units, ids, gaps, head))
-        # a word of letters with a closing mark is the word's ids and the mark's
-        stems, tails = {}, self.tails
-        spaced = self.units == self._spaced
-        for u in missing:
-            w = u.decode() if spaced else u
-            if w[-1:] in tails and _letters(w[w[:1] == "\n":-1]):
-                stems[u] = (u[:-1], tails[w[-1]])
-        new = list({x for x, _ in stems.values() if x not in known} | {u for u in missing if u not in stems})
+        known, tails = self.known, self.tails
+        ids = list(map(known.get, words))
+        stems, new = {}, set()
+        for u in [u for u, x in zip(words, ids) if x is None and u]:
+            if u[-1] in tails and u[-2:-1] in _BEFORE:       # the ids of the word without the mark, and the mark's
+                stems[u] = (u[:-1], tails[u[-1]])
+                if u[:-1] not in known:
+                    new.add(u[:-1])
+            else:
+                new.add(u)
         fresh: dict = {}
-        for i in range(0, len(new), BATCH):
-            fresh.update(zip(new[i:i + BATCH], learn(new[i:i + BATCH])))
-        for w, ids in fresh.items():
+        todo = sorted(new)
+        for i in range(0, len(todo), BATCH):
+            fresh.update(zip(todo[i:i + BATCH], learn(todo[i:i + BATCH])))
+        for u, (stem, tail) in stems.items():
+            found = known.get(stem)
+            fresh[u] = (fresh[stem] if found is None else found) + tail
+        for w in todo:
             if self.held >= CACHE_BYTES or len(known) >= CACHE_WORDS:
                 break
-            if w not in known:
-                known[w] = ids
-                self.held += len(w) + len(ids) + ENTRY_BYTES
-        for u, (stem, tail) in stems.items():
-            ids = known.get(stem)
-            fresh[u] = (fresh[stem] if ids is None else ids) + tail
-        out = []
-        for units, ids, gaps, head in split:
-            for i in gaps:
-                ids[i] = fresh[units[i]]
-            out.append(head + b"".join(ids))
-        return out
+            known[w] = fresh[w]
+            self.held += len(w) + len(fresh[w]) + ENTRY_BYTES
+        return [(fresh[u] if u else b"") if x is None else x for u, x in zip(words, ids)]
 
 
 def encode_column(path: str, column, end: int | None):
