@@ -70,8 +70,8 @@ def ensure_shipped(spark) -> None:
 
 
 def _publish_zip(spark, data: bytes) -> str:
-    """Put the package zip in the shared scratch folder (content-addressed name);
-    fall back to a driver-local file only if that folder cannot be written from here."""
+    """Put the package zip in the shared scratch folder (content-addressed name); if that folder cannot be
+    written from here, a file of the driver does, which ``addPyFile`` serves to the executors itself."""
     import hashlib
 
     name = f"protoflow-{hashlib.sha1(data).hexdigest()[:16]}.zip"
@@ -82,7 +82,7 @@ def _publish_zip(spark, data: bytes) -> str:
         with fs.open_output_stream(path) as fh:
             fh.write(data)
         return uri
-    except Exception:  # noqa: BLE001 - e.g. no pyarrow driver for the shared filesystem
+    except (OSError, ValueError, ImportError):       # e.g. no pyarrow driver for the shared filesystem
         folder = tempfile.mkdtemp(prefix="protoflow-py-")
         local = os.path.join(folder, name)
         with open(local, "wb") as fh:
