@@ -101,7 +101,7 @@ def sample_tree(files: DataFrame, base: str, prop: float, seed: int = 0,
 # ---------------------------------------------------------------------------
 PREFIX = 3                    # hex digits of the md5 per round: 4096 counts for a group
 BOUNDARY_ROWS = 1_000_000     # a group's boundary bucket is ranked in one task up to this size
-CUT_ROWS = 1_000_000          # cuts (a row per group) are broadcast up to this number
+CUT_ROWS = 200_000            # cuts (a row per group) are broadcast up to this number
 
 
 def _keys(df: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
