@@ -155,3 +155,39 @@ def test_decode_reslices_large_batches(monkeypatch):
                                     True, "value"))
     assert len(out) > 1
     assert [v for b in out for v in b.column(0).to_pylist()] == [str(i) for i in range(50)]
+
+
+def test_encode_takes_a_large_batch_in_parts(monkeypatch):
+    """Lists, maps and NULLs of a batch come out alike whether it is converted whole or in parts, and no part is large."""
+    import pyarrow as pa
+
+    from protoflow.functions import codec
+    t = pa.list_(pa.struct([("a", pa.int64()), ("m", pa.map_(pa.string(), pa.int64()))]))
+    rows = [None if i % 7 == 0 else [{"a": j, "m": [("k", j)]} for j in range(i % 50)] for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, t), pa.array(range(500))], names=["l", "i"])
+    parts = list(codec._parts(batch, 4096))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert max(p.nbytes for p in parts if p.num_rows > 1) <= 4096
+    assert sum(len(p.column("l").values) for p in parts) == len(batch.column("l").values)    # no part keeps them all
+
+    from pyspark.sql import types as T
+
+    from protoflow.functions.schema import make_options
+    ds, mn = D.view_record()
+    sizes, real = [], codec._fast_rows
+    monkeypatch.setattr(codec, "_fast_rows", lambda b, *a: sizes.append(b.num_rows) or real(b, *a))
+    views = pa.RecordBatch.from_arrays(
+        [pa.array([str(i) for i in range(200)]),
+         pa.array([[{"sequence_number": j, "type": "click"} for j in range(i % 40)] for i in range(200)],
+                  pa.list_(pa.struct([("sequence_number", pa.int64()), ("type", pa.string())])))], names=["view_id", "events"])
+    event = T.StructType().add("sequence_number", T.LongType()).add("type", T.StringType())
+    schema = T.StructType().add("view_id", "string").add("events", T.ArrayType(event))
+
+    def encoded():
+        out = codec.encode_batches([views], ds, mn, schema, ("view_id", "events"), ("view_id",), "value", True, make_options())
+        return [v for b in out for v in b.column("value").to_pylist()]
+
+    whole = encoded()
+    assert sizes == [200]
+    monkeypatch.setattr(codec, "ENCODE_BYTES", 2000)
+    assert encoded() == whole and len(sizes) > 10 and max(sizes[1:]) < 200
