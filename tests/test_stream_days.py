@@ -82,3 +82,26 @@ def test_first_batch_is_bounded(spark, inbox):
     stream = IN.message_stream(spark, inbox, D.simple_message())
     plan = stream._jdf.queryExecution().logical().toString()
     assert IN.MAX_FILES == 10_000 and "binaryFile" in plan
+
+
+def test_a_batch_is_listed_by_a_few_tasks(spark, inbox):
+    """40 files of one batch: no task for each of them, and the session's own settings stay as they were."""
+    cls = message_class(*D.simple_message())
+    for i in range(40):
+        with open(f"{inbox}/2024/01/01/00/more-{i:02d}.pb", "wb") as f:
+            f.write(cls(name="m", quantity=i).SerializeToString())
+    keys = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.streaming.fileSource.log.compactInterval")
+    before = [spark.conf.get(k, None) for k in keys]
+    own = IN.stream_session(spark)
+    assert own.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+    assert int(own.conf.get(keys[0])) <= max(32, spark.sparkContext.defaultParallelism)
+    out = tempfile.mkdtemp(prefix="pf-few-")
+    q = IN.ingest_stream(spark, inbox, D.simple_message(), f"{out}/sink", f"{out}/checkpoint", glob="more-*",
+                         fields=["name", "quantity"])
+    q.awaitTermination()
+    run_id = str(q.runId)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(run_id) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= max(32, spark.sparkContext.defaultParallelism)
+    assert spark.read.parquet(f"{out}/sink").count() == 40
+    assert [spark.conf.get(k, None) for k in keys] == before
