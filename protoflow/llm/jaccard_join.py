@@ -14,9 +14,10 @@ when the two are opened in a task, sets whose overlap with the other group's who
 below the bound are set aside, and the rest are compared exactly.
 
 Only connectivity is asked for, so candidates come in two rounds.  The first opens each group
-and, for every shingle, the first group that has it with the others.  The second partitions the linked
-nodes by component and opens the pairs that are still apart.  A family of near copies is
-joined in the first round, and its pairs are never listed.  Groups are opened in blocks of two buckets, so a
+and, for every shingle, the first group that has it with the others.  The second opens the pairs that are
+still apart: components and groups that meet one first group are packed into a bounded number of units, so
+that few pairs of units are listed however many near copies of one text are left apart; which texts are packed
+together never decides a link.  Groups are opened in blocks of two buckets, so a
 group is sent to a block once and not to each of its partners; a block emits a spanning forest of its links.
 """
 
@@ -34,6 +35,7 @@ WORDS = 3
 PERCENT = 90
 GROUP = 32             # nodes of a group, on average
 GROUP_SHINGLES = 1 << 18
+PACKS = 32             # most units of the nodes that meet one first group
 SLOTS = 1 << 22        # counters of the sketch that orders the shingles; its size bounds what is broadcast
 PAGE = 1 << 16
 BUCKETS = 4            # least number of buckets of groups; tasks open pairs of buckets
@@ -237,8 +239,9 @@ def open_pair(left: list[np.ndarray], right: list[np.ndarray], percent: int) ->
     return np.array(a)[i], np.array(b)[j]
 
 
-def _open(pairs: DataFrame, members: DataFrame, percent: int, buckets: int) -> DataFrame:
+def _open(pairs: DataFrame, members: DataFrame, percent: int, buckets: int, own: bool) -> DataFrame:
     """Links (u, v) found by opening pairs (x, y) of units; ``members`` has (unit, group, node, shingles).
+    Rows of one node are linked already; a group is opened with itself if ``own``.
 
     Groups fall into ``buckets`` by a hash, and a task opens a block: the groups of two buckets.  A pair of units
     goes to the blocks of their buckets, and a group to each block that needs it, once: its sets are copied at
@@ -267,7 +270,7 @@ def _open(pairs: DataFrame, members: DataFrame, percent: int, buckets: int) -> D
         for x, i, y, j in sorted(zip(*[wanted.column(c).to_pylist() for c in ("x", "i", "y", "j")])):
             for a, left in groups.get((x, i), {}).items():
                 for b, right in groups.get((y, j), {}).items():
-                    if x == y and b < a:
+                    if x == y and (b < a or b == a and not own):
                         continue
                     if forest.one([place[r] for r in left + right]):
                         continue
@@ -289,13 +292,31 @@ def _grouped_by(nodes: DataFrame, by: str) -> DataFrame:
         "group", F.xxhash64(F.col(by), F.pmod(F.xxhash64("node"), F.col("parts")))).drop("parts")
 
 
+def _units(active: DataFrame, roots: DataFrame, star: DataFrame) -> DataFrame:
+    """(node, size, group, owner, part, unit): what is linked so far, in units for the second round.
+
+    ``owner`` is a node's component, or its group if it has no link; ``part`` its component or itself.  Owners
+    that meet one first group (by ``star``) share at most PACKS units.
+    """
+    first = star.groupBy(F.col("b").alias("group")).agg(F.min("a").alias("hub"))
+    placed = active.join(roots, "node", "left").join(first, "group", "left").withColumn("hub", F.coalesce("hub", "group"))
+    linked = _grouped_by(placed.where("root is not null").drop("group"), "root")
+    columns = ["node", "size", "group", "hub", F.coalesce("root", "group").alias("owner"), F.coalesce("root", "node").alias("part")]
+    placed = written(linked.select(*columns).unionByName(placed.where("root is null").select(*columns)), "owners")
+    owners = placed.groupBy("owner").agg(F.min("hub").alias("hub"), F.count(F.lit(1)).alias("n"))
+    packs = owners.groupBy("hub").agg(F.least(F.ceil(F.sum("n") / GROUP), F.lit(PACKS)).alias("packs"))
+    owners = owners.join(packs, "hub").select(
+        "owner", F.xxhash64("hub", F.pmod(F.xxhash64("owner"), F.col("packs"))).alias("unit"))
+    return written(placed.drop("hub").join(owners, "owner").select("node", "size", "group", "owner", "part", "unit"), "units")
+
+
 def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
     """Links (u, v) that connect every two nodes a chain of links connects."""
     post = written(_prefixes(docs, sketch, n, percent), "prefixes")
     for _ in range(2):                                    # those that are left may have lost their partners
-        dealt = post.repartition("token")
-        token = dealt.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
-        shared = dealt.join(token.select("token"), "token").distinct()
+        first, last = (f("node").over(Window.partitionBy("token")) for f in (F.min, F.max))     # one shuffle
+        shared = post.select("token", "node", "size", first.alias("a"), last.alias("b")).where("a != b")
+        shared = written(shared.select("token", "node", "size").distinct(), "shared")
         enough = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("s")).where(
             F.col("c") >= least_needed(F.col("s"), percent)).select("node")
         post = written(shared.join(enough, "node"), "matrix").select("token", "node", "size")
@@ -314,19 +335,20 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int,
     star = matrix.select(first.alias("a"), F.col("group").alias("b"), "low").where("a != b")
     star = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("low")).where(
         F.col("c") >= needed(F.ceil(F.col("low") * percent / 100 - 1e-9), percent)).select("a", "b")
+    star = written(star, "star")
     own = active.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(
         F.col("group").alias("a"), F.col("group").alias("b"))
     members = sets.join(sent(active.select("node", "group")), "node").withColumn("unit", F.col("group"))
     pairs = own.unionByName(star).toDF("x", "y")
-    first = written(_open(pairs, members, percent, buckets), "links-1")
-
-    roots = components(first)
-    placed = active.join(roots, "node", "left")
-    linked = _grouped_by(placed.where("root is not null").drop("group"), "root")
-    placed = written(linked.select("node", "size", "group", F.col("root").alias("unit")).unionByName(
-        placed.where("root is null").select("node", "size", "group", F.col("group").alias("unit"))), "units")
-    meets = post.select("token", "node").join(placed.select("node", "unit", "size"), "node").groupBy(
-        "token", "unit").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    first = written(_open(pairs, members, percent, buckets, True), "links-1")
+
+    placed = _units(active, components(first), star)
+    meets = written(post.select("token", "node").join(placed.select("node", "unit", "size", "owner"), "node").groupBy(
+        "token", "unit").agg(F.min("size").alias("low"), F.max("size").alias("high"),
+                             (F.min("owner") != F.max("owner")).alias("several")), "meets")
+    inside = meets.where("several").groupBy("unit").agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("low")).where(
+        F.col("c") >= needed(F.ceil(F.col("low") * percent / 100 - 1e-9), percent)).select(
+        F.col("unit").alias("x"), F.col("unit").alias("y"))
     x, y = meets.alias("x"), meets.alias("y")
     apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.unit") < F.col("y.unit"))
                    & (F.col("x.high") * 100 >= F.col("y.low") * percent)
@@ -334,8 +356,8 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, sketch: np.ndarray, n: int,
         F.col("x.unit").alias("x"), F.col("y.unit").alias("y")).agg(
         F.count(F.lit(1)).alias("c"), F.min(F.least("x.low", "y.low")).alias("low")).where(
         F.col("c") >= needed(F.col("low"), percent)).select("x", "y")
-    members = sets.join(sent(placed.select("node", "group", "unit")), "node")
-    second = written(_open(apart, members, percent, buckets), "links-2")
+    members = sets.join(sent(placed.select("node", "group", "part", "unit")), "node").withColumn("node", F.col("part"))
+    second = written(_open(written(apart.unionByName(inside), "apart"), members, percent, buckets, False), "links-2")
     return first.unionByName(second)
 
 
