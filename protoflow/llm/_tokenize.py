@@ -212,16 +212,17 @@ class Encoder:
     def _pieced(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
+        import pyarrow as pa
+
         units, heads = self.units(texts)
         words = units.flatten().dictionary_encode()
-        ids = self._ids_of(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        store, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        number = np.asarray(words.indices)
-        count = size[number]
-        end = np.concatenate([[0], np.cumsum(count)])
-        data = store[np.repeat(start[number] - end[:-1], count) + np.arange(end[-1])].tobytes()
-        bounds = (end[np.asarray(units.offsets)] * 4).tolist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()       # far cheaper than to_pylist
+        ids = pa.array(self._ids_of(distinct), pa.large_binary()).take(words.indices)
+        if not len(ids):
+            return heads
+        _, ends, data = ids.buffers()
+        data = b"" if data is None else data.to_pybytes()
+        bounds = np.frombuffer(ends, np.int64)[np.asarray(units.offsets)].tolist()
         return [h + data[a:b] for h, a, b in zip(heads, bounds, bounds[1:])]
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
@@ -229,27 +230,39 @@ class Encoder:
         learn = self._learn_spaced if self.units == self._spaced else self._learn_byte_level
         known, tails = self.known, self.tails
         ids = list(map(known.get, words))
-        stems, new = {}, set()
-        for u in [u for u, x in zip(words, ids) if x is None and u]:
-            if u[-1] in tails and u[-2:-1] in _BEFORE:       # the ids of the word without the mark, and the mark's
-                stems[u] = (u[:-1], tails[u[-1]])
-                if u[:-1] not in known:
-                    new.add(u[:-1])
-            else:
+        missing = [i for i, x in enumerate(ids) if x is None]
+        stems, new = [], set()
+        for i in missing:
+            u = words[i]
+            if u[-1:] in tails and u[-2:-1] in _BEFORE:      # the ids of the word without the mark, and the mark's
+                stems.append(i)
+                new.add(u[:-1])
+            elif u:
                 new.add(u)
+            else:
+                ids[i] = b""
+        todo = sorted(new.difference(known) if stems else new)
         fresh: dict = {}
-        todo = sorted(new)
         for i in range(0, len(todo), BATCH):
             fresh.update(zip(todo[i:i + BATCH], learn(todo[i:i + BATCH])))
-        for u, (stem, tail) in stems.items():
+        for i in stems:
+            stem = words[i][:-1]
             found = known.get(stem)
-            fresh[u] = (fresh[stem] if found is None else found) + tail
+            ids[i] = (fresh[stem] if found is None else found) + tails[words[i][-1]]
+        for i in missing:
+            if ids[i] is None:
+                ids[i] = fresh[words[i]]
+        size = sum(map(len, todo)) + sum(map(len, fresh.values())) + ENTRY_BYTES * len(todo)
+        if self.held + size <= CACHE_BYTES and len(known) + len(todo) <= CACHE_WORDS:
+            known.update(fresh)
+            self.held += size
+            return ids
         for w in todo:
             if self.held >= CACHE_BYTES or len(known) >= CACHE_WORDS:
                 break
             known[w] = fresh[w]
             self.held += len(w) + len(fresh[w]) + ENTRY_BYTES
-        return [(fresh[u] if u else b"") if x is None else x for u, x in zip(words, ids)]
+        return ids
 
 
 def encode_column(path: str, column, end: int | None):

@@ -51,3 +51,42 @@ def test_vectors_of_many_tiny_texts():
     assert whole.shape == (2800, language_id.DIM) and (whole[:4] == language_id.features(texts[:4])).all()
     assert (whole.reshape(700, 4, -1) == whole[:4]).all()
     assert [b - a for a, b in grouped(texts, 1 << 20, 1000)] == [1000, 1000, 800]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_words_are_looked_up_without_boxing(name, monkeypatch):
+    import pyarrow as pa
+
+    path = public_tokenizers.path(name)
+    model = _tokenize.Encoder(path)
+    boxed, units = [], model.units
+
+    class Words:                                           # an Arrow list of words that counts what is boxed
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, item):
+            if item == "to_pylist":
+                boxed.append(item)
+            value = getattr(self.inner, item)
+            if item == "dictionary":
+                return Words(value)
+            if callable(value) and item in ("flatten", "dictionary_encode"):
+                return lambda: Words(value())
+            return value
+
+        def __array__(self, *args, **kwargs):
+            return np.asarray(self.inner)
+
+    def counted(texts):
+        found, heads = units(texts)
+        return Words(found), heads
+
+    counted_is_spaced = units == model._spaced
+    monkeypatch.setattr(model, "units", counted)
+    if counted_is_spaced:
+        monkeypatch.setattr(model, "_spaced", counted)
+    texts = ["one two one. two, three", "", " ", "four  one\nété", "x" * 50, "three\n\n three"]
+    assert model.encode(texts) == plain(path, texts) == model.encode(texts)
+    assert model.encode(["", ""]) == [b"", b""] and model.encode([]) == []
+    assert not boxed and isinstance(pa.array(["a"]).to_numpy(zero_copy_only=False).tolist()[0], str)
