@@ -104,3 +104,59 @@ def test_lm_score_depends_on_the_order_of_words(docs):
         assert got[100]["score"] > got[101]["score"] + 5
         assert abs(got[100]["base_score"] - got[101]["base_score"]) < 1
     assert all(r["score"] < 0 and np.isfinite(r["score"]) for r in got.values())
+
+
+def test_lm_chunks_of_a_partition_count_its_texts_together(spark, docs):
+    """Bits that words share are summed once, and what a text scores does not depend on its chunk."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    words = sorted({f"{a}{b}{c}".encode() for a in ("sea", "seal", "s", "") for b in ("", "ward", "wind") for c in ("", "s")} - {b""})
+    times = np.arange(1, len(words) + 1).astype(float)
+    code = lm_scoring.huffman(np.arange(256))
+    whole = lm_scoring.Bits(words, *code)
+    once = lm_scoring.Bits(words, *code, times)
+    assert len(once.y) < len(whole.y)
+    for o in range(len(lm_scoring.ORDERS)):
+        sums = [np.bincount(b.slots[o] * 2 + b.y, n, 2 * lm_scoring.OFFSETS[-1]) for b, n in
+                ((whole, times[whole.word]), (once, once.times[once.place]))]
+        assert (sums[0] == sums[1]).all()
+
+    numbers = np.array([0, 1, 255, 256, 2 ** 63 - 1], np.int64)
+    assert all((lm_scoring._unpacked(lm_scoring._packed(numbers[:i])) == numbers[:i]).all() for i in range(1, 6))
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["the", "ship", "left", "a", "harbour", "in", "wind"], k=rng.randint(0, 12)))) for i in range(80)]
+    rows += [(i, None) for i in (90, 91, None)] + rows[:9]
+    held = F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))
+    found = []
+    for parts, chunk in ((1, 16 << 20), (3, 300), (7, 1)):
+        got = lm_scoring.score(docs(*rows).repartition(parts), held, chunk_bytes=chunk).collect()
+        found.append(sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in got))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+
+
+def test_lm_shuffles_are_removed_when_their_query_has_ended(spark):
+    from protoflow.llm._tables import shuffles_freed
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with shuffles_freed(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
+
+
+def test_lm_asks_for_pairs_and_triples_only(spark):
+    """A context is counted as the word or the pair that it is: it is not sent a second time."""
+    from protoflow.llm.language_id import DIM
+
+    texts = [(i, f"one two three w{i % 3}", i % 4 == 1) for i in range(12)]
+    src = spark.createDataFrame(texts, "key long, text string, held_out boolean").coalesce(1)
+    centres = np.zeros((1, DIM), np.float32)
+    vocab = lm_scoring.vocabulary(src, centres)
+    got = [lm_scoring.follows(vocab, 1, which).collect() for which in (0, 1)]
+    assert [{r["kind"] for r in g} for g in got] == [{0}, {1}]
+    counts = [sorted(lm_scoring._unpacked(bytes(g[0]["counts"])).tolist()) for g in got]
+    first = [sum(not h and i % 3 == j for i, _, h in texts) for j in range(3)]
+    assert counts[0] == sorted([9, 9, 9, *first, *first]) and counts[1] == counts[0]
