@@ -16,9 +16,10 @@ import re
 import numpy as np
 
 CACHE_WORDS = 1_000_000
-CACHE_BYTES = 160 << 20      # about what a worker's store of words takes at most; results do not depend on it
+CACHE_BYTES = 112 << 20      # about what a worker's store of words takes at most; results do not depend on it
 ENTRY_BYTES = 170            # of a word beside its text and ids
 BATCH = 4000
+GROUP_BYTES = 1 << 21        # of texts encoded together
 TAILS = ".,;:!?"
 # letters and digits, also in lower case, of scripts all versions of Unicode agree on: a mark after one stands alone
 _BEFORE = frozenset(c for c in map(chr, range(0x530)) if c.isascii() and c.isdigit() or c.isalpha() and c.lower().isalpha())
@@ -266,11 +267,13 @@ class Encoder:
 
 
 def encode_column(path: str, column, end: int | None):
-    """Ids of an Arrow string column, a bounded number of bytes at a time; ``end`` is appended to each."""
-    from protoflow.llm._words import grouped
+    """Ids of an Arrow string column, a bounded number of bytes at a time; ``end`` is appended to each.
+
+    Only the texts of a group leave Arrow, and what a group took is given back before the next one."""
+    from protoflow.llm._words import column_groups, give_back
 
-    texts = [t or "" for t in column.to_pylist()]
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
     model = encoder(path)
-    for a, b in grouped(texts, 1 << 22):
-        yield a, b, [ids + tail for ids in model.encode(texts[a:b])]
+    for a, b, part in column_groups(column, GROUP_BYTES):
+        yield a, b, [ids + tail for ids in model.encode([t or "" for t in part.to_pylist()])]
+        give_back()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from protoflow.llm._tables import ensure_shipped, only, row_key, written
-from protoflow.llm._words import group_words, grouped, mix64, texts_of, windows
+from protoflow.llm._words import column_groups, group_words, mix64, texts_of, windows
 from protoflow.llm.components import components
 
 WORDS = 3
@@ -65,9 +65,8 @@ def shingle_sets(texts: list[bytes], n: int = WORDS):
 
 def _sets(column, n: int):
     """Slices of an Arrow text column: (first row, last row, shingles, row of each, row bounds)."""
-    texts = texts_of(column, lower=True)
-    for a, b in grouped(texts):
-        w, of = shingle_sets(texts[a:b], n)
+    for a, b, part in column_groups(column):
+        w, of = shingle_sets(texts_of(part, lower=True), n)
         yield a, b, w, of, np.searchsorted(of, np.arange(b - a + 1))
 
 

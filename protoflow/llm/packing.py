@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protoflow.llm._tables import ceil_div, ensure_shipped, only
-from protoflow.llm._tokenize import encode_column
+from protoflow.llm._tokenize import encode_column, release
+from protoflow.llm._words import give_back
 
 LENGTH = 4096
 LARGE = 8              # pieces over 1/8 of a sequence are large
@@ -34,6 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH, key:
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         for batch in batches:
             for a, _, encoded in encode_column(tokenizer, batch.column(1), end):
                 row, piece, start, size, ids = [], [], [], [], []
@@ -161,6 +163,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH, key: s
     def run(group):
         import pyarrow as pa
 
+        release()
+        give_back()
         seq, offset = pack_lengths(group.column("length").to_numpy(), length)
         first = int(group.column("cell")[0].as_py()) << 32
         return (group.drop_columns(["cell"]).append_column("sequence_id", pa.array(seq + first))

@@ -1,0 +1,45 @@
+"""What a Python worker holds while it encodes a batch."""
+
+import tracemalloc
+
+import pyarrow as pa
+import public_tokenizers
+import pytest
+
+from protoflow.llm import _tokenize, _words
+
+
+def peak_of(work) -> int:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_batch_leaves_arrow_a_group_at_a_time(name):
+    path = public_tokenizers.path(name)
+    texts = [f"the same few words of text number {i % 100} come again and again" + " and again" * 100 for i in range(12_000)]
+    column = pa.array([None, "", *texts], pa.string())
+    some = _tokenize.encoder(path).encode(["", "", *texts[:100]])
+    total, right = [0], []
+
+    def work():
+        for a, _, ids in _tokenize.encode_column(path, column, 1):
+            total[0] += len(ids)
+            right.extend(ids[:102] if a == 0 else [])
+
+    peak = peak_of(work)
+    assert total[0] == len(column) and right == [x + b"\x01\0\0\0" for x in some]
+    assert peak < column.nbytes, (peak, column.nbytes)
+
+
+@pytest.mark.parametrize("limit, most", [(1, None), (40, None), (40, 2), (1 << 20, None)])
+def test_parts_of_a_column_are_cut_as_texts_are(limit, most):
+    texts = ["é" * 30, None, "", "a b c", "word " * 9, None, "x"] * 5
+    column = pa.array(["before", *texts], pa.string()).slice(1)
+    found = [(a, b, part.to_pylist()) for a, b, part in _words.column_groups(column, limit, most)]
+    assert found == [(a, b, texts[a:b]) for a, b in _words.grouped(_words.texts_of(column), limit, most)]
+    assert list(_words.column_groups(column.slice(0, 0), limit, most)) == []
